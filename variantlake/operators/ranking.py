@@ -4,13 +4,17 @@ A window ``PARTITION BY g ORDER BY k`` sends every row of a group to one task; w
 one group holding a third of the data that task becomes the job.  ``group_index``
 numbers rows inside their group without that: a range partitioning on
 ``(group, order)`` spreads a hot group over many tasks, each task numbers its rows
-locally, and a small per-(task, group) count table supplies the offsets.
+locally, and a small per-(task, group) count table supplies the offsets.  The
+ordered data is checkpointed once so task ids and local positions stay consistent
+between the count table and the rows (and survive executor loss).
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from variantlake.session import shared_dir
+
 
 def group_index(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
@@ -28,6 +32,10 @@ def group_index(df: DataFrame, group_cols: list[str], order_cols: list, out: str
         .withColumn("_gi_pid", F.spark_partition_id())
         .withColumn("_gi_mid", F.monotonically_increasing_id())
     )
+    # partition ids are only meaningful for one materialisation: pin it (reliable
+    # checkpoint in the shared folder) before deriving offsets from it
+    shared_dir(spark)
+    ordered = ordered.checkpoint(eager=True)
     stats = ordered.groupBy("_gi_pid", *group_cols).agg(
         F.min("_gi_mid").alias("_gi_first"), F.count(F.lit(1)).alias("_gi_cnt")
     )
