@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class _Fail(Exception):
@@ -101,7 +102,7 @@ def normalize_latex_py(s: str):
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_latex(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else normalize_latex_py(v))
 

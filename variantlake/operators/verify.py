@@ -375,15 +375,14 @@ def validate(df: DataFrame, integrand="integrand", var="var", lb="lb", ub="ub",
 def verify_solutions(df: DataFrame, question="question", solution="ground_truth_solution",
                      policy="compat", prefix="check_") -> DataFrame:
     """Numeric check that a supplied solution is an antiderivative of the question."""
-    from variantlake.functions.parse import parse_variant
-
-    p = parse_variant(_c(question))
-    staged = df.withColumns({"_q_integrand": p["integrand"], "_q_var": p["var"],
-                             "_q_lb": p["lb"], "_q_ub": p["ub"]})
-    staged = staged.withColumn("_q_integrand", F.coalesce("_q_integrand", F.lit(None).cast("string")))
-    return score_answers(staged, answer=_c(solution), truth="_q_integrand", var="_q_var",
-                         lb=F.coalesce("_q_lb", F.lit(-math.inf)), ub=F.coalesce("_q_ub", F.lit(math.inf)),
-                         policy=policy, prefix=prefix).drop("_q_integrand", "_q_var", "_q_lb", "_q_ub")
+    from variantlake.functions.parse import parse_problems
+
+    staged = parse_problems(df, question if isinstance(question, str) else "_q_text", prefix="_q_") \
+        if isinstance(question, str) else parse_problems(df.withColumn("_q_text", question), "_q_text", prefix="_q_")
+    out = score_answers(staged, answer=_c(solution), truth="_q_integrand", var="_q_var",
+                        lb=F.coalesce("_q_lb", F.lit(-math.inf)), ub=F.coalesce("_q_ub", F.lit(math.inf)),
+                        policy=policy, prefix=prefix)
+    return out.drop(*[c for c in out.columns if c.startswith("_q_")])
 
 
 def evaluate_points(df: DataFrame, solution="solution", var="x", n: int = 3, points=None,
