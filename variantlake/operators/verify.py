@@ -27,7 +27,7 @@ from variantlake import constants as K
 from variantlake.functions import expr as E
 from variantlake.functions import text as TX
 from variantlake.functions.latex import answers_equal
-from variantlake.session import ship_package
+from variantlake.session import python_tasks, ship_package
 
 # ---------------------------------------------------------------------------
 # per-task caches (bounded)
@@ -81,7 +81,7 @@ POLICIES = {
     "compat": dict(cand_var="x", sqrt_domain=False, atol=K.COMPAT_TOL, rtol=K.COMPAT_RTOL, min_ok=1),
     # stricter: declared variable, sqrt also restricts the domain, tight tolerances
     # and at least half of the probes must evaluate
-    "strict": dict(cand_var=None, sqrt_domain=True, atol=1e-4, rtol=1e-4, min_ok=K.COMPAT_NUM_TESTS // 2),
+    "strict": dict(cand_var=None, sqrt_domain=True, atol=1e-6, rtol=1e-6, min_ok=K.COMPAT_NUM_TESTS // 2),
 }
 
 
@@ -89,6 +89,8 @@ def score_one(answer, truth, var, lb, ub, policy="compat", num_tests=K.COMPAT_NU
     """V6/V7 for one key -> (formal_result, formal_status, successes)."""
     if answer is None or answer == "":
         return 0.0, "NO_INP_IN_TAGS", 0
+    if truth is None or var is None or lb is None or ub is None:
+        return 0.0, "ERROR", 0
     pol = POLICIES[policy]
     cand = E.try_compile(answer)
     if cand is None:
@@ -146,6 +148,8 @@ def score_relative_one(candidate, truth_proc, seed_key, tol=K.COMPAT_TOL,
 
     ``candidate`` and ``truth_proc`` are already extracted and cleaned (legacy dialect).
     """
+    if candidate is None or truth_proc is None:
+        return 0.0, "NO_INP_IN_TAGS"
     try:
         cand = E.compile_expr(candidate)
         m = _TUPLE_BOUNDS.search(truth_proc)
@@ -189,7 +193,7 @@ def score_relative_one(candidate, truth_proc, seed_key, tol=K.COMPAT_TOL,
 
 def score_absolute_one(candidate, truth_proc, seed_key, tol=K.COMPAT_TOL, num_tests=K.ABSOLUTE_NUM_TESTS):
     """V9 (legacy): independent a, b in [-10, 10], absolute tolerance -> bool."""
-    if not candidate:
+    if not candidate or truth_proc is None:
         return False
     integrand = truth_proc.replace("integrate(", "").split(",")[0]
     cand, tr = E.try_compile(candidate), E.try_compile(integrand)
@@ -217,6 +221,8 @@ def score_absolute_one(candidate, truth_proc, seed_key, tol=K.COMPAT_TOL, num_te
 
 def validate_one(integrand, var, lb, ub):
     """V1-V5 for one variant -> (valid, reason)."""
+    if integrand is None or var is None or lb is None or ub is None:
+        return False, "unparsed"
     tr = E.try_compile(integrand)
     if tr is None:
         return False, "syntax"
@@ -273,9 +279,10 @@ def score_answers(df: DataFrame, answer="answer", truth="ground_truth", var="var
         "_truth": _c(truth), "_var": _c(var),
         "_lb": _c(lb).cast("double"), "_ub": _c(ub).cast("double"),
     })
-    keys = (keyed.where(F.col("_answer").isNotNull() & (F.col("_answer") != "") & F.col("_truth").isNotNull())
-            .select(*_KEY).distinct())
-    verdicts = keys.mapInPandas(_score_batches(policy), _SCORED)
+    # no filter before the distinct: a predicate on these columns would be pushed
+    # below the staged parse projections and inline them; NULL keys are cheap in Python
+    keys = keyed.select(*_KEY).distinct()
+    verdicts = keys.repartition(python_tasks(df.sparkSession)).mapInPandas(_score_batches(policy), _SCORED)
     joined = keyed.join(verdicts, on=[keyed[k].eqNullSafe(verdicts[k]) for k in _KEY], how="left")
     joined = joined.select(keyed["*"], verdicts["_result"], verdicts["_status"], verdicts["_successes"])
     no_input = keyed["_answer"].isNull() | (keyed["_answer"] == "")
@@ -291,10 +298,9 @@ def _distinct_apply(df: DataFrame, key_cols: dict, fn, out_fields: list, filt: C
     ship_package(df.sparkSession)
     keyed = df.withColumns(key_cols)
     names = list(key_cols)
-    keys = keyed.select(*names)
-    if filt is not None:
-        keys = keys.where(filt)
-    keys = keys.distinct()
+    # ``filt`` is applied in Python (row functions return defaults for NULL keys):
+    # a filter here would be pushed below staged projections and inline them
+    keys = keyed.select(*names).distinct()
     schema = T.StructType([keys.schema[n] for n in names] + out_fields)
     out_names = [f.name for f in out_fields]
 
@@ -304,7 +310,7 @@ def _distinct_apply(df: DataFrame, key_cols: dict, fn, out_fields: list, filt: C
             res = pd.DataFrame(rows, columns=out_names, index=pdf.index)
             yield pd.concat([pdf[names], res], axis=1)
 
-    verdicts = keys.mapInPandas(run, schema)
+    verdicts = keys.repartition(python_tasks(df.sparkSession)).mapInPandas(run, schema)
     joined = keyed.join(verdicts, on=[keyed[n].eqNullSafe(verdicts[n]) for n in names], how="left")
     return joined.select(keyed["*"], *[verdicts[o] for o in out_names]).drop(*names)
 
@@ -428,7 +434,7 @@ def evaluate_points(df: DataFrame, solution="solution", var="x", n: int = 3, poi
                         break
             yield pd.DataFrame(rows, columns=["_sol", "point_idx", "x", "value"])
 
-    pts = keys.mapInPandas(run, schema)
+    pts = keys.repartition(python_tasks(df.sparkSession)).mapInPandas(run, schema)
     return src.join(pts, "_sol").withColumnRenamed("_sol", "solution")
 
 

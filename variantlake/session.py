@@ -79,3 +79,14 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="variantlake")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
+
+
+def python_tasks(spark: SparkSession) -> int:
+    """Partitions for CPU-heavy Python stages over small (in bytes) key sets.
+
+    AQE would coalesce such a shuffle into a few partitions by size and leave most
+    cores idle, so these stages use an explicit count: at least the shuffle
+    partition setting and twice the default parallelism.
+    """
+    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(conf, 2 * spark.sparkContext.defaultParallelism)
