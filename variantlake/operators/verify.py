@@ -293,6 +293,10 @@ def score_answers(df: DataFrame, answer="answer", truth="ground_truth", var="var
     }).drop(*_KEY, "_result", "_status", "_successes")
 
 
+_PANDAS_DTYPES = {T.LongType: "Int64", T.IntegerType: "Int32", T.BooleanType: "boolean",
+                  T.DoubleType: "float64", T.StringType: object}
+
+
 def _distinct_apply(df: DataFrame, key_cols: dict, fn, out_fields: list, filt: Column | None = None):
     """Generic: distinct key projection -> mapInPandas(fn) -> left join back."""
     ship_package(df.sparkSession)
@@ -304,10 +308,14 @@ def _distinct_apply(df: DataFrame, key_cols: dict, fn, out_fields: list, filt: C
     schema = T.StructType([keys.schema[n] for n in names] + out_fields)
     out_names = [f.name for f in out_fields]
 
+    dtypes = [_PANDAS_DTYPES.get(type(f.dataType), object) for f in out_fields]
+
     def run(batches):
         for pdf in batches:
             rows = [fn(*vals) for vals in zip(*(pdf[n] for n in names))]
-            res = pd.DataFrame(rows, columns=out_names, index=pdf.index)
+            # explicit nullable dtypes: a NULL must not turn 64-bit hashes into floats
+            res = pd.DataFrame({o: pd.Series([r[i] for r in rows], dtype=d, index=pdf.index)
+                                for i, (o, d) in enumerate(zip(out_names, dtypes))})
             yield pd.concat([pdf[names], res], axis=1)
 
     verdicts = keys.repartition(python_tasks(df.sparkSession)).mapInPandas(run, schema)
@@ -363,15 +371,26 @@ def score_exact(df: DataFrame, response="response", truth="ground_truth", out="s
     )
 
 
+def validate_and_fingerprint_one(integrand, var, lb, ub):
+    """V1-V5 plus the dedup fingerprint, from one compilation of the text."""
+    valid, why = validate_one(integrand, var, lb, ub)
+    fp = None
+    if integrand is not None and var is not None:
+        comp = E.try_compile(integrand)
+        fp = E.fingerprint(comp, var) if comp is not None else None
+    return valid, why, fp
+
+
 def validate(df: DataFrame, integrand="integrand", var="var", lb="lb", ub="ub",
-             out="valid", reason="invalid_reason") -> DataFrame:
+             out="valid", reason="invalid_reason", fingerprint: str | None = None) -> DataFrame:
     """V1-V5: syntax (whitelisted parse) then a finite integral over the bounds or domain."""
     keyed_cols = {"_vi": _c(integrand), "_vv": _c(var), "_vlb": _c(lb).cast("double"), "_vub": _c(ub).cast("double")}
-    res = _distinct_apply(
-        df, keyed_cols, validate_one,
-        [T.StructField("_valid", T.BooleanType()), T.StructField("_why", T.StringType())],
-        filt=F.col("_vi").isNotNull() & F.col("_vv").isNotNull(),
-    )
+    fields = [T.StructField("_valid", T.BooleanType()), T.StructField("_why", T.StringType())]
+    fn = validate_one
+    if fingerprint:
+        fields.append(T.StructField(fingerprint, T.LongType()))
+        fn = validate_and_fingerprint_one
+    res = _distinct_apply(df, keyed_cols, fn, fields)
     return res.withColumns({
         out: F.coalesce(F.col("_valid"), F.lit(False)),
         reason: F.when(F.col("_valid").isNull(), F.lit("unparsed")).otherwise(F.col("_why")),
