@@ -48,7 +48,10 @@ _NUM3 = "CAST(p_size * (p_size % 5 + 1) * (p_size % 5 + 1) * (p_size % 5 + 1) AS
 
 ROLLOUTS_SQL = f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_type AS kind,
-  CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) AS rollout_id,
+  concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
+            CAST(l_suppkey AS STRING), CAST(l_quantity AS STRING), CAST(l_extendedprice AS STRING),
+            CAST(l_discount AS STRING), CAST(l_tax AS STRING), l_returnflag, l_linestatus,
+            CAST(l_shipdate AS STRING)) AS rollout_id,
   truth_text AS ground_truth, 'x' AS var,
   CASE WHEN p_type = 'ECONOMY' THEN 0.0 ELSE CAST('-inf' AS DOUBLE) END AS lb,
   CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size % 5 + 1 AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END AS ub,
@@ -91,8 +94,7 @@ def _with_response(answer_col: str = "answer_text") -> str:
 
 def rollouts(spark, sf):
     """The derived rollout table (Spark side)."""
-    table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
-                                        "l_quantity", "l_shipdate").createOrReplaceTempView("lineitem")
+    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
     table(spark, sf, "part").select("p_partkey", "p_type", "p_size").createOrReplaceTempView("part")
     df = spark.sql(ROLLOUTS_SQL)
     return df.withColumn("response", F.expr(_with_response()))
