@@ -6,8 +6,10 @@ set, written out as one character class so SQL oracles can use the same class.
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Unicode White_Space = ASCII controls \t\n\v\f\r, NEL, and the separator categories.
 WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
@@ -162,37 +164,38 @@ def parse_generations(df, col: str = "response", keep: tuple[str, ...] = ()):
     return parsed.where(F.col("variant") != "")
 
 
+def last_boxed_py(s):
+    """P7 on one string: content of the last ``\\boxed{...}``, or the ``\\boxed x$`` form."""
+    if s is None:
+        return None
+    if "\\boxed " in s:
+        return s.split("\\boxed ")[-1].split("$")[0]
+    start = s.rfind("\\boxed")
+    if start < 0:
+        return None  # an \\fbox{...} alone is not unwrapped by the original either
+    depth = 0
+    for i in range(start, len(s)):
+        ch = s[i]
+        if ch == "{":
+            depth += 1
+        elif ch == "}":
+            depth -= 1
+            if depth == 0:
+                whole = s[start:i + 1]
+                return whole[len("\\boxed{"):-1] if whole.startswith("\\boxed{") else None
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def _boxed_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(last_boxed_py)
+
+
 def extract_boxed(col) -> Column:
     """Content of the last ``\\boxed{...}`` (balanced braces) or ``\\boxed x`` form.
 
-    NULL when there is none; a trailing ``\\fbox{...}`` yields NULL too, because
-    the original strips only a ``\\boxed{`` wrapper and fails otherwise.
-    Brace matching is an ``aggregate`` over characters that carries two integers.
+    Brace matching is not regular, and a per-character ``aggregate`` runs
+    interpreted, so the scan is one Arrow-batched Python pass (the Python node
+    materialises it once, however often the result is referenced).
     """
-    s = _c(col)
-    space_form = F.split_part(F.substring_index(s, "\\boxed ", -1), F.lit("$"), F.lit(1))
-    rev_pos = F.locate("dexob\\", F.reverse(s))  # 1-based start of the reversed marker
-    start = F.length(s) - rev_pos - 4  # 1-based start of the last "\boxed"
-    tail = F.substring(s, start, 1 << 30)
-    # state: (depth, end) where end is the 1-based index of the closing brace, 0 = open
-    end = F.aggregate(
-        F.split(tail, ""),
-        F.struct(F.lit(0).alias("d"), F.lit(0).alias("e"), F.lit(0).alias("i")),
-        lambda acc, ch: F.struct(
-            (acc["d"] + F.when(acc["e"] > 0, 0).when(ch == "{", 1).when(ch == "}", -1).otherwise(0)).alias("d"),
-            F.when(acc["e"] > 0, acc["e"])
-            .when((ch == "}") & (acc["d"] - 1 == 0), acc["i"] + 1)
-            .otherwise(0)
-            .alias("e"),
-            (acc["i"] + 1).alias("i"),
-        ),
-        lambda acc: acc["e"],
-    )
-    boxed = F.substring(tail, 1, end)  # "\boxed{...}"
-    inner = F.when((end > 0) & boxed.startswith("\\boxed{"), boxed.substr(F.lit(8), end - F.lit(8)))
-    return (
-        F.when(s.isNull(), F.lit(None).cast("string"))
-        .when(s.contains("\\boxed "), space_form)
-        .when(rev_pos == 0, F.lit(None).cast("string"))
-        .otherwise(inner)
-    )
+    return _boxed_udf(_c(col))

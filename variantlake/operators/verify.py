@@ -313,6 +313,7 @@ def _distinct_apply(df: DataFrame, key_cols: dict, fn, out_fields: list, filt: C
     def run(batches):
         for pdf in batches:
             rows = [fn(*vals) for vals in zip(*(pdf[n] for n in names))]
+            rows = [r if isinstance(r, tuple) else (r,) for r in rows]
             # explicit nullable dtypes: a NULL must not turn 64-bit hashes into floats
             res = pd.DataFrame({o: pd.Series([r[i] for r in rows], dtype=d, index=pdf.index)
                                 for i, (o, d) in enumerate(zip(out_names, dtypes))})
