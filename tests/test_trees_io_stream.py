@@ -104,3 +104,46 @@ def test_entry_contract(spark):
     out = entry.entry(spark)
     assert out.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sinks_roundtrip(spark, tmpdir_path):
+    from variantlake.sources import writers as W
+
+    v = spark.createDataFrame([("q1", 1, "integrate(1, x)", "r", "easier"), ("q1", 0, "integrate(2, x)", "s", "harder"),
+                               ("q2", 0, "integrate(3, x)", "t", "unknown")],
+                              "question string, pos int, variant string, reasoning string, difficulty string")
+    W.write_formatted(v, f"{tmpdir_path}/fmt")
+    back = R.read_formatted(spark, f"{tmpdir_path}/fmt", lines=True)
+    got = {r.question: [x.variant for x in r.variants] for r in back.collect()}
+    assert got == {"q1": ["integrate(2, x)", "integrate(1, x)"], "q2": ["integrate(3, x)"]}
+    with open(f"{tmpdir_path}/array.json", "w") as f:  # the original's top-level array layout
+        json.dump([{"question": "q", "variants": [{"variant": "v", "reasoning": "r", "difficulty": "easier"}]}], f)
+    assert R.read_formatted(spark, f"{tmpdir_path}/array.json").first().variants[0].variant == "v"
+    W.write_question_list(v.select("question").distinct(), f"{tmpdir_path}/ql")
+    assert spark.read.json(f"{tmpdir_path}/ql").count() == 2
+    W.write_generated(v, f"{tmpdir_path}/gen")
+    W.write_report(v, v.groupBy("question").count(), f"{tmpdir_path}/rep")
+    assert spark.read.json(f"{tmpdir_path}/rep/summary").count() == 2
+
+
+def test_parse_dialects_and_v2(spark):
+    from variantlake.functions.parse import parse_problems
+    from variantlake.operators.verify import score_batch, validate_syntax
+
+    df = spark.createDataFrame([("integrate(x**2 + sin(x), x)",), ("integrate(x, (x, 0, pi/2))",)], "p string")
+    rx = {r.p: r.integrand for r in parse_problems(df, "p", dialect="regex").collect()}
+    assert rx["integrate(x**2 + sin(x), x)"] == "x**2 + sin(x)"
+    tp = {r.p: (r.is_definite, r.lb_text, r.ub_text) for r in parse_problems(df, "p", dialect="tuple").collect()}
+    assert tp["integrate(x, (x, 0, pi/2))"] == (True, "0", "pi/2")
+    lg = {r.p: (r.integrand, r.var) for r in parse_problems(df, "p", dialect="legacy").collect()}
+    assert lg["integrate(x**2 + sin(x), x)"] == ("x**2 + sin(x)", " x")
+    s = spark.createDataFrame([("x^2 + C",), ("x**",), ("log(x - 20)",)], "solution string")
+    assert {r.solution: r.formatting_ok for r in validate_syntax(s).collect()} == {
+        "x^2 + C": True, "x**": False, "log(x - 20)": True}
+    r = spark.createDataFrame([("r1", "<answer>x**2</answer>", "<JUDGE_SCORE>1</JUDGE_SCORE>", "2*x", 5, 1)],
+                              "rollout_id string, response string, judge_response string, ground_truth string, "
+                              "response_tokens int, step int").selectExpr(
+        "*", "'x' AS var", "CAST('-inf' AS DOUBLE) AS lb", "CAST('inf' AS DOUBLE) AS ub")
+    scored, metrics = score_batch(r)
+    assert scored.first().reward == 1.0
+    assert {m.metric: m.sum for m in metrics.collect()}["CONFUSION_MATRIX/TP"] == 1.0

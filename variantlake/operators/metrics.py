@@ -170,3 +170,17 @@ def flatten_report(flat: DataFrame, tree="tree_id", reason="reject_reason", fing
         F.count_if(r.isNull() & F.col(fingerprint).isNull()).alias("text_fallback"),
         F.count_if(r.isNull()).alias("kept"),
     )
+
+
+def evaluate_rollouts(rollouts: DataFrame, by=("tree_id",), ks=tuple(K.PASS_AT_K), policy: str = "compat",
+                      response="response", **score_kwargs) -> DataFrame:
+    """A2: score the base question's samples formally, count OK, pass@k for each k.
+
+    Groups with fewer samples than k get no row for that k (the original asserts).
+    """
+    from variantlake.functions.text import extract_answer
+    from variantlake.operators.verify import score_answers
+
+    answered = rollouts.withColumn("answer", extract_answer(F.col(response)))
+    scored = score_answers(answered, policy=policy, **score_kwargs)
+    return pass_at_k(scored, list(by), F.col("formal_status") == "OK", ks=ks)

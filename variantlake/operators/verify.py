@@ -485,3 +485,41 @@ def assign_reward(scored: DataFrame, tokens="response_tokens") -> DataFrame:
         "reward": F.col("judge_result").cast("double"),
         "reward_pos": (_c(tokens) - 1).cast("int"),
     })
+
+
+def syntax_probe_one(text, probe: float = 10.0) -> bool:
+    """V2 (legacy): the cleaned text parses and evaluates at x = probe."""
+    comp = E.try_compile(text)
+    if comp is None:
+        return False
+    try:
+        comp("x", np.array([probe]))
+    except E.ExprError:
+        return False
+    return True
+
+
+def validate_syntax(df: DataFrame, col="solution", out="formatting_ok", probe: float = 10.0) -> DataFrame:
+    """V2: legacy formatting check of a solution text (legacy cleaning, probe at x=10)."""
+    res = _distinct_apply(df, {"_sx": TX.clean_expr(_c(col), "legacy")},
+                          lambda t: syntax_probe_one(t, probe), [T.StructField("_ok", T.BooleanType())])
+    return res.withColumn(out, F.coalesce(F.col("_ok"), F.lit(False))).drop("_ok")
+
+
+def score_with(df: DataFrame, fn, keys: dict, out_fields: list) -> DataFrame:
+    """Plug in a custom row scorer.
+
+    ``keys`` maps key names to columns; ``fn(*key_values)`` returns a tuple matching
+    ``out_fields`` (a list of StructFields).  It runs once per distinct key in Arrow
+    batches and the verdicts are joined back, like the built-in policies.
+    """
+    return _distinct_apply(df, keys, fn, out_fields)
+
+
+def score_batch(rollouts: DataFrame, by=("step",), **kwargs):
+    """The dual return of the original reward call - (scored rows, per-step metrics)."""
+    from variantlake.operators.metrics import confusion, status_metrics
+
+    scored = assign_reward(score_rollouts(rollouts, **kwargs))
+    metrics = status_metrics(scored, by=list(by)).unionByName(confusion(scored, by=list(by)))
+    return scored, metrics

@@ -275,3 +275,33 @@ def q_evaluate_points(spark, sf):
         CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size AS STRING) || '*x**3/3' ELSE {_ANTI} END AS solution FROM part""")
     out = V.evaluate_points(s, solution="solution", n=3, points=_POINTS, keep=("p_partkey",))
     return out.select("p_partkey", "point_idx", "x", F.round("value", 6).alias("value"))
+
+
+@register("evaluate_rollouts", f"""
+WITH r AS ({ROLLOUTS_SQL}),
+g AS (
+  SELECT l_partkey AS question, count(*) AS n,
+         CAST(sum(CASE WHEN ({_EXPECTED_FORMAL}) = 'OK' THEN 1 ELSE 0 END) AS BIGINT) AS c
+  FROM r GROUP BY l_partkey
+), e AS (SELECT question, n, c, unnest([1, 5, 10, 20]) AS k FROM g)
+SELECT question, n, c, k,
+       round(CASE WHEN n - c < k THEN 1.0 WHEN c = 0 THEN 0.0
+                  ELSE 1.0 - list_aggregate(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - k / i), 'product')
+             END, 9) AS pass_at_k
+FROM e WHERE n >= k
+""")
+def q_evaluate_rollouts(spark, sf):
+    from variantlake.operators.metrics import evaluate_rollouts
+
+    r = rollouts(spark, sf).withColumn("question", F.col("l_partkey"))
+    out = evaluate_rollouts(r, by=("question",), ks=(1, 5, 10, 20))
+    return rounded(out.select("question", "n", "c", "k", "pass_at_k"))
+
+
+@register("validate_syntax", """
+SELECT p_partkey, p_type NOT IN ('LARGE') AND NOT (p_type = 'STANDARD' AND p_size > 25) AS formatting_ok FROM part
+""")
+def q_validate_syntax(spark, sf):
+    table(spark, sf, "part").select("p_partkey", "p_type", "p_size").createOrReplaceTempView("part")
+    v = spark.sql(_VALID_SQL)
+    return V.validate_syntax(v, col="integrand").select("p_partkey", "formatting_ok")
