@@ -253,8 +253,9 @@ _SCORED = T.StructType(
 def _score_batches(policy):
     def run(batches):
         for pdf in batches:
-            out = [score_one(a, t, v, lb, ub, policy)
-                   for a, t, v, lb, ub in zip(pdf["_answer"], pdf["_truth"], pdf["_var"], pdf["_lb"], pdf["_ub"])]
+            out = [score_one(a, t, v, lb, ub, policy) if raw else (0.0, "NO_INP_IN_TAGS", 0)
+                   for raw, a, t, v, lb, ub in zip(pdf["_answer"], pdf["_clean"], pdf["_truth"], pdf["_var"],
+                                                   pdf["_lb"], pdf["_ub"])]
             res = pd.DataFrame(out, columns=["_result", "_status", "_successes"], index=pdf.index)
             yield pd.concat([pdf[_KEY], res], axis=1)
     return run
@@ -268,20 +269,23 @@ def score_answers(df: DataFrame, answer="answer", truth="ground_truth", var="var
                   policy: str = "compat", prefix: str = "formal_") -> DataFrame:
     """V6/V7: add ``{prefix}result``, ``{prefix}status``, ``{prefix}successes``.
 
-    ``answer`` is an extracted answer (see ``extract_answer``); it is cleaned here.
-    Definite when both bounds are finite.  NULL/empty answers never reach Python.
+    ``answer`` is an extracted answer (see ``extract_answer``).  The distinct key is
+    the raw answer; cleaning runs on the distinct keys only, so a table sampled
+    50 times per prompt cleans each answer once.  Definite when both bounds are
+    finite.  An answer that is NULL or empty before cleaning is NO_INP_IN_TAGS;
+    one that cleans to nothing fails to parse (NO_SYMPY_EXPR), as in the original.
     """
     ship_package(df.sparkSession)
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}")
     keyed = df.withColumns({
-        "_answer": TX.clean_expr(_c(answer)),
+        "_answer": _c(answer),
         "_truth": _c(truth), "_var": _c(var),
         "_lb": _c(lb).cast("double"), "_ub": _c(ub).cast("double"),
     })
     # no filter before the distinct: a predicate on these columns would be pushed
-    # below the staged parse projections and inline them; NULL keys are cheap in Python
-    keys = keyed.select(*_KEY).distinct()
+    # below staged projections and inline them; NULL keys are cheap in Python
+    keys = keyed.select(*_KEY).distinct().withColumn("_clean", TX.clean_expr(F.col("_answer")))
     verdicts = keys.repartition(python_tasks(df.sparkSession)).mapInPandas(_score_batches(policy), _SCORED)
     joined = keyed.join(verdicts, on=[keyed[k].eqNullSafe(verdicts[k]) for k in _KEY], how="left")
     joined = joined.select(keyed["*"], verdicts["_result"], verdicts["_status"], verdicts["_successes"])
@@ -297,22 +301,29 @@ _PANDAS_DTYPES = {T.LongType: "Int64", T.IntegerType: "Int32", T.BooleanType: "b
                   T.DoubleType: "float64", T.StringType: object}
 
 
-def _distinct_apply(df: DataFrame, key_cols: dict, fn, out_fields: list, filt: Column | None = None):
-    """Generic: distinct key projection -> mapInPandas(fn) -> left join back."""
+def _distinct_apply(df: DataFrame, key_cols: dict, fn, out_fields: list, derived: dict | None = None,
+                    args: list | None = None):
+    """Generic: distinct key projection -> (derived columns) -> mapInPandas(fn) -> join back.
+
+    ``derived`` expressions are computed on the distinct keys only (e.g. cleaning);
+    ``fn`` receives the columns named in ``args`` (default: the keys).  No filter is
+    applied before the distinct: it would be pushed below staged projections and
+    inline them, so row functions return defaults for NULL keys instead.
+    """
     ship_package(df.sparkSession)
     keyed = df.withColumns(key_cols)
     names = list(key_cols)
-    # ``filt`` is applied in Python (row functions return defaults for NULL keys):
-    # a filter here would be pushed below staged projections and inline them
     keys = keyed.select(*names).distinct()
+    if derived:
+        keys = keys.withColumns(derived)
+    args = args or names
     schema = T.StructType([keys.schema[n] for n in names] + out_fields)
     out_names = [f.name for f in out_fields]
-
     dtypes = [_PANDAS_DTYPES.get(type(f.dataType), object) for f in out_fields]
 
     def run(batches):
         for pdf in batches:
-            rows = [fn(*vals) for vals in zip(*(pdf[n] for n in names))]
+            rows = [fn(*vals) for vals in zip(*(pdf[n] for n in args))]
             rows = [r if isinstance(r, tuple) else (r,) for r in rows]
             # explicit nullable dtypes: a NULL must not turn 64-bit hashes into floats
             res = pd.DataFrame({o: pd.Series([r[i] for r in rows], dtype=d, index=pdf.index)
@@ -327,16 +338,13 @@ def _distinct_apply(df: DataFrame, key_cols: dict, fn, out_fields: list, filt: C
 def score_relative(df: DataFrame, response="response", truth="ground_truth", prefix="formal_") -> DataFrame:
     """V8: legacy relative-tolerance scoring of a raw response against ``integrate(...)``."""
     cand = TX.extract_answer(_c(response))
-    keyed_cols = {
-        "_rcand": TX.clean_expr(cand, "legacy"),
-        "_rtruth": TX.clean_expr(_c(truth), "legacy"),
-        "_rseed": _c(truth),
-    }
     out = _distinct_apply(
-        df.withColumn("_rraw", cand), keyed_cols,
-        lambda c, t, s: score_relative_one(c, t, s),
+        df.withColumn("_rraw", cand), {"_rkey": F.col("_rraw"), "_rseed": _c(truth)},
+        lambda c, t, s: score_relative_one(c, t, s) if c else (0.0, "NO_INP_IN_TAGS"),
         [T.StructField("_res", T.DoubleType()), T.StructField("_st", T.StringType())],
-        filt=F.col("_rcand").isNotNull() & F.col("_rtruth").isNotNull(),
+        derived={"_rcand": TX.clean_expr(F.col("_rkey"), "legacy"),
+                 "_rtruth": TX.clean_expr(F.col("_rseed"), "legacy")},
+        args=["_rcand", "_rtruth", "_rseed"],
     )
     no_sol = _c(response).isNull() | (_c(response) == "") | _c(truth).isNull() | (_c(truth) == "")
     no_inp = F.col("_rraw").isNull() | (F.col("_rraw") == "")
@@ -351,15 +359,14 @@ def score_absolute(df: DataFrame, response="response", truth="ground_truth", out
     """V9: legacy boxed-answer check with absolute tolerance -> boolean ``out``."""
     boxed = TX.extract_boxed(_c(response))
     boxed = F.when(TX.contains_word(boxed, "integrate"), F.lit(None)).otherwise(boxed)
-    keyed_cols = {
-        "_acand": F.when(boxed.isNull() | (boxed == ""), F.lit(None)).otherwise(TX.clean_expr(boxed, "legacy_boxed")),
-        "_atruth": TX.clean_expr(_c(truth), "legacy_boxed"),
-        "_aseed": _c(truth),
-    }
     res = _distinct_apply(
-        df, keyed_cols, lambda c, t, s: score_absolute_one(c, t, s),
+        df, {"_abox": boxed, "_aseed": _c(truth)},
+        lambda c, t, s: score_absolute_one(c, t, s),
         [T.StructField("_ok", T.BooleanType())],
-        filt=F.col("_acand").isNotNull() & F.col("_atruth").isNotNull(),
+        derived={"_acand": F.when(F.col("_abox").isNull() | (F.col("_abox") == ""), F.lit(None))
+                 .otherwise(TX.clean_expr(F.col("_abox"), "legacy_boxed")),
+                 "_atruth": TX.clean_expr(F.col("_aseed"), "legacy_boxed")},
+        args=["_acand", "_atruth", "_aseed"],
     )
     return res.withColumn(out, F.coalesce(F.col("_ok"), F.lit(False))).drop("_ok")
 
@@ -501,8 +508,9 @@ def syntax_probe_one(text, probe: float = 10.0) -> bool:
 
 def validate_syntax(df: DataFrame, col="solution", out="formatting_ok", probe: float = 10.0) -> DataFrame:
     """V2: legacy formatting check of a solution text (legacy cleaning, probe at x=10)."""
-    res = _distinct_apply(df, {"_sx": TX.clean_expr(_c(col), "legacy")},
-                          lambda t: syntax_probe_one(t, probe), [T.StructField("_ok", T.BooleanType())])
+    res = _distinct_apply(df, {"_sxraw": _c(col)}, lambda t: syntax_probe_one(t, probe),
+                          [T.StructField("_ok", T.BooleanType())],
+                          derived={"_sx": TX.clean_expr(F.col("_sxraw"), "legacy")}, args=["_sx"])
     return res.withColumn(out, F.coalesce(F.col("_ok"), F.lit(False))).drop("_ok")
 
 
