@@ -109,6 +109,9 @@ def normalize_latex(s: pd.Series) -> pd.Series:
 
 def answers_equal(a: Column, b: Column) -> Column:
     """Both NULL -> true; one NULL -> false; else normalised (or raw) equality."""
+    from variantlake.functions.text import _ship
+
+    _ship()
     na, nb = normalize_latex(a), normalize_latex(b)
     return (
         F.when(a.isNull() & b.isNull(), F.lit(True))

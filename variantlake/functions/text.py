@@ -198,4 +198,16 @@ def extract_boxed(col) -> Column:
     interpreted, so the scan is one Arrow-batched Python pass (the Python node
     materialises it once, however often the result is referenced).
     """
+    _ship()
     return _boxed_udf(_c(col))
+
+
+def _ship():
+    """Python workers must be able to import this package (no-op once per app)."""
+    from pyspark.sql import SparkSession
+
+    from variantlake.session import ship_package
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)

@@ -84,9 +84,12 @@ def ship_package(spark: SparkSession) -> None:
 def python_tasks(spark: SparkSession) -> int:
     """Partitions for CPU-heavy Python stages over small (in bytes) key sets.
 
-    AQE would coalesce such a shuffle into a few partitions by size and leave most
-    cores idle, so these stages use an explicit count: at least the shuffle
-    partition setting and twice the default parallelism.
+    AQE would coalesce such a shuffle by size into a few partitions and leave most
+    cores idle, so these stages get an explicit count that follows the cluster's
+    cores (4 tasks per core for balance); Arrow batches bound memory per task.
+    ``spark.variantlake.pythonTasks`` overrides it.
     """
-    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(conf, 2 * spark.sparkContext.defaultParallelism)
+    override = spark.conf.get("spark.variantlake.pythonTasks", None)
+    if override:
+        return int(override)
+    return max(8, 4 * spark.sparkContext.defaultParallelism)
