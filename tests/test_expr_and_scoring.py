@@ -108,3 +108,30 @@ def test_validate_and_points(spark):
     pts = V.evaluate_points(spark.createDataFrame([("log(x)",)], "solution string"), n=2, points=[-1.0, 2.0, 3.0, 4.0])
     assert [(r.x, round(r.value, 6)) for r in pts.orderBy("point_idx").collect()] == [(2.0, round(math.log(2), 6)),
                                                                                    (3.0, round(math.log(3), 6))]
+
+
+# Question / solution pairs shipped with the original workflow's test questions.
+SOLVED = [
+    ("integrate(cosh(2*x), x)", "sinh(2*x)/2"),
+    ("integrate(12*sinh(x)**2, x)", "6*x*sinh(x)**2 - 6*x*cosh(x)**2 + 6*sinh(x)*cosh(x)"),
+    ("integrate(1/(x**2+4*x+5), x)", "atan(x + 2)"),
+    ("integrate((x+2)/(x**2+2*x+2)+x^3, x)", "x**4/4 + log(x**2 + 2*x + 2)/2 + atan(x + 1)"),
+    ("integrate(exp(x)*sinh(x), x)", "x*exp(x)*sinh(x)/2 - x*exp(x)*cosh(x)/2 + exp(x)*cosh(x)/2"),
+    ("integrate((x-1)/(x**2+3), x)", "log(x**2 + 3)/2 - sqrt(3)*atan(sqrt(3)*x/3)/3"),
+    ("integrate(exp(-2*x)*sin(x), x)", "-2*exp(-2*x)*sin(x)/5 - exp(-2*x)*cos(x)/5"),
+    ("integrate(x/sqrt(1+x**2), x)", "sqrt(x**2 + 1)"),
+    ("integrate((x-1)/sqrt(x**2+1), x)", "sqrt(x**2 + 1) - asinh(x)"),
+    ("integrate(exp(x)*sqrt(1+exp(2*x)), x)", "sqrt(exp(2*x) + 1)*exp(x)/2 + asinh(exp(x))/2"),
+]
+
+
+def test_supplied_solutions_verify_and_wrong_ones_do_not(spark):
+    rows = []
+    for i, (q, s) in enumerate(SOLVED):
+        rows += [(i, "right", q, s), (i, "double", q, f"2*({s})"), (i, "shifted", q, f"{s} + x")]
+    df = spark.createDataFrame(rows, "i int, kind string, question string, ground_truth_solution string")
+    got = {(r.i, r.kind): r.check_status for r in V.verify_solutions(df).collect()}
+    for i in range(len(SOLVED)):
+        assert got[(i, "right")] == "OK", SOLVED[i]
+        assert got[(i, "double")] == "NO_OK", SOLVED[i]
+        assert got[(i, "shifted")] == "NO_OK", SOLVED[i]
