@@ -45,6 +45,11 @@ def _kind(dtype) -> str:
     return s
 
 
+_SPARK_TYPES: dict = {}
+_DUCK_OK = {"bigint": {"BIGINT"}, "int": {"INTEGER"}, "double": {"DOUBLE"}, "string": {"VARCHAR"},
+            "boolean": {"BOOLEAN"}}
+
+
 def _rows(pdf: pd.DataFrame):
     cols = sorted(pdf.columns)
     pdf = pdf[cols]
@@ -65,7 +70,10 @@ def main():
     for name in todo:
         t0 = time.time()
         try:
-            sp = registry.QUERIES[name](spark, sf).toPandas()
+            sdf = registry.QUERIES[name](spark, sf)
+            _SPARK_TYPES.clear()
+            _SPARK_TYPES.update({f.name: f.dataType.simpleString() for f in sdf.schema.fields})
+            sp = sdf.toPandas()
         except Exception as exc:  # noqa: BLE001
             print(f"FAIL {name}: spark error {type(exc).__name__}: {str(exc)[:800]}")
             bad += 1
@@ -81,6 +89,7 @@ def main():
             print(f"FAIL {name}: duckdb error {str(exc)[:800]}")
             bad += 1
             continue
+        duck_types = {c[0]: c[1] for c in con.execute(f"DESCRIBE {sql}").fetchall()}
         c1, r1 = _rows(sp)
         c2, r2 = _rows(dk)
         kinds1 = {c: _kind(sp[c].dtype) for c in sp.columns}
@@ -90,6 +99,10 @@ def main():
         ok = c1 == c2 and len(r1) == len(r2) and h1 == h2
         status = "PASS" if ok else "FAIL"
         extra = "" if kinds1 == kinds2 else f" types spark={kinds1} duck={kinds2}"
+        bad_types = {c: t for c, t in duck_types.items()
+                     if t not in _DUCK_OK.get(_SPARK_TYPES.get(c, ""), {t})}
+        if bad_types:
+            extra += f" sql-types {bad_types} vs spark {[_SPARK_TYPES.get(c) for c in bad_types]}"
         print(f"{status} {name}: rows {len(r1)}/{len(r2)} cols_ok={c1 == c2} spark={t1 - t0:.1f}s{extra}")
         if not ok:
             bad += 1

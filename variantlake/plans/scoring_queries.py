@@ -115,9 +115,9 @@ _EXPECTED_JUDGE = """CASE WHEN answer_text IS NULL THEN 'NO_INP_IN_TAGS'
 WITH r AS ({ROLLOUTS_SQL}),
 e AS (SELECT *, {_EXPECTED_FORMAL} AS formal_status, {_EXPECTED_JUDGE} AS judge_status FROM r)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, formal_status,
-       CASE WHEN formal_status = 'OK' THEN 1.0 ELSE 0.0 END AS formal_result,
+       CAST(CASE WHEN formal_status = 'OK' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS formal_result,
        judge_status, CASE WHEN judge_status = 'OK' THEN 1 ELSE 0 END AS judge_result,
-       CASE WHEN judge_status = 'OK' THEN 1.0 ELSE 0.0 END AS reward,
+       CAST(CASE WHEN judge_status = 'OK' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS reward,
        response_tokens - 1 AS reward_pos
 FROM e
 """)
@@ -161,8 +161,8 @@ SELECT l_orderkey, l_linenumber, l_partkey,
   CASE WHEN answer_text IS NULL THEN 'NO_INP_IN_TAGS'
        WHEN l_linenumber = 4 THEN 'ERROR'
        WHEN l_linenumber IN (1, 2, 7) THEN 'OK' ELSE 'NO_OK' END AS formal_status,
-  CASE WHEN answer_text IS NULL THEN 0.0 WHEN l_linenumber = 4 THEN 0.0
-       WHEN l_linenumber IN (1, 2, 7) THEN 1.05 ELSE 0.05 END AS formal_result
+  CAST(CASE WHEN answer_text IS NULL THEN 0.0 WHEN l_linenumber = 4 THEN 0.0
+       WHEN l_linenumber IN (1, 2, 7) THEN 1.05 ELSE 0.05 END AS DOUBLE) AS formal_result
 FROM r
 """)
 def q_score_relative(spark, sf):
@@ -259,7 +259,7 @@ _POINTS = [-1.0, 0.5, 1.5, 2.5]
 
 @register("evaluate_points", f"""
 WITH s AS (SELECT p_partkey, p_type, CAST(p_size AS DOUBLE) AS a FROM part),
-pts AS (SELECT unnest([-1.0, 0.5, 1.5, 2.5]) AS x, unnest([0, 1, 2, 3]) AS i),
+pts AS (SELECT unnest([-1.0, 0.5, 1.5, 2.5]::DOUBLE[]) AS x, unnest([0, 1, 2, 3]) AS i),
 v AS (
   SELECT p_partkey, p_type, i, x,
     CASE p_type WHEN 'ECONOMY' THEN a * x * x * x / 3 WHEN 'PROMO' THEN a * x * x / 2

@@ -91,7 +91,7 @@ def q_extract_boxed(spark, sf):
 @register("score_exact", f"""
 WITH r AS (SELECT p_partkey, p_name, {_BOXED_SQL} AS t FROM part),
 b AS (SELECT p_partkey, p_name, {_BOXED_EXTRACT_SQL} AS boxed FROM r)
-SELECT p_partkey, CASE WHEN boxed IS NOT NULL AND replace(boxed, ' ', '') = replace(p_name, ' ', '') THEN 1.0 ELSE 0.0 END AS score
+SELECT p_partkey, CAST(CASE WHEN boxed IS NOT NULL AND replace(boxed, ' ', '') = replace(p_name, ' ', '') THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score
 FROM b
 """)
 def q_score_exact(spark, sf):
