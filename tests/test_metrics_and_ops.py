@@ -80,3 +80,30 @@ def test_filter_difficulty_is_null_safe(spark):
                                "evaluation string, difficulty string")
     kept = sorted((r.evaluation or "", r.difficulty or "") for r in PR.filter_difficulty(df).collect())
     assert kept == [("", "easier"), ("easier", ""), ("harder", "harder")]
+
+
+def test_generation_prompts_sample_deterministically(spark):
+    from variantlake import constants as K
+
+    req = spark.createDataFrame([(i, "integrate(x, x)", d, 10) for i, d in enumerate(["easier", "harder", "equivalent",
+                                                                                     "weird"] * 5)],
+                                "request_id int, question string, difficulty string, count int")
+    a = {r.request_id: r for r in PR.to_generation_prompts(req).collect()}
+    b = {r.request_id: tuple(r.transformations_used) for r in PR.to_generation_prompts(req).collect()}
+    for rid, r in a.items():
+        chosen = list(r.transformations_used)
+        pool = K.TRANSFORMATIONS_BY_DIFFICULTY.get(r.difficulty, [K.DEFAULT_TRANSFORMATION])
+        assert len(chosen) == min(len(pool), len(chosen)) and len(chosen) in (1, 3, 5)
+        assert all(c in pool for c in chosen)
+        assert " and ".join(chosen) in r.generation_prompt
+        assert b[rid] == tuple(chosen)  # reruns pick the same ideas
+
+
+def test_formatted_records_are_bounded(spark):
+    from variantlake.operators.flatten import formatted_questions
+
+    v = spark.createDataFrame([("q", i, f"v{i}", "r", "easier") for i in range(25)],
+                              "question string, pos int, variant string, reasoning string, difficulty string")
+    recs = formatted_questions(v, max_items=10).collect()
+    assert [len(r.variants) for r in recs] == [10, 10, 5]
+    assert [x.variant for r in recs for x in r.variants] == [f"v{i}" for i in range(25)]
