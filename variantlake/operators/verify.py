@@ -27,7 +27,7 @@ from variantlake import constants as K
 from variantlake.functions import expr as E
 from variantlake.functions import text as TX
 from variantlake.functions.latex import answers_equal
-from variantlake.session import python_tasks, ship_package
+from variantlake.session import python_tasks, ship_package, spread
 
 # ---------------------------------------------------------------------------
 # per-task caches (bounded)
@@ -339,7 +339,7 @@ def score_relative(df: DataFrame, response="response", truth="ground_truth", pre
     """V8: legacy relative-tolerance scoring of a raw response against ``integrate(...)``."""
     cand = TX.extract_answer(_c(response))
     out = _distinct_apply(
-        df.withColumn("_rraw", cand), {"_rkey": F.col("_rraw"), "_rseed": _c(truth)},
+        spread(df).withColumn("_rraw", cand), {"_rkey": F.col("_rraw"), "_rseed": _c(truth)},
         lambda c, t, s: score_relative_one(c, t, s) if c else (0.0, "NO_INP_IN_TAGS"),
         [T.StructField("_res", T.DoubleType()), T.StructField("_st", T.StringType())],
         derived={"_rcand": TX.clean_expr(F.col("_rkey"), "legacy"),
@@ -360,7 +360,7 @@ def score_absolute(df: DataFrame, response="response", truth="ground_truth", out
     boxed = TX.extract_boxed(_c(response))
     boxed = F.when(TX.contains_word(boxed, "integrate"), F.lit(None)).otherwise(boxed)
     res = _distinct_apply(
-        df, {"_abox": boxed, "_aseed": _c(truth)},
+        spread(df), {"_abox": boxed, "_aseed": _c(truth)},
         lambda c, t, s: score_absolute_one(c, t, s),
         [T.StructField("_ok", T.BooleanType())],
         derived={"_acand": F.when(F.col("_abox").isNull() | (F.col("_abox") == ""), F.lit(None))
@@ -476,7 +476,7 @@ def score_rollouts(rollouts: DataFrame, response="response", judge="judge_respon
 
     An empty answer forces the judge to ``(0, NO_INP_IN_TAGS)``.
     """
-    with_ans = rollouts.withColumn("answer", TX.extract_answer(_c(response), method))
+    with_ans = spread(rollouts).withColumn("answer", TX.extract_answer(_c(response), method))
     scored = score_answers(with_ans, answer="answer", truth=truth, var=var, lb=lb, ub=ub, policy=policy)
     verdict = TX.parse_judge(_c(judge), method)
     empty = F.col("answer").isNull() | (F.col("answer") == "")

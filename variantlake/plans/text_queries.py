@@ -17,6 +17,7 @@ from variantlake.operators.ranking import first_per_group, group_index, top_n_pe
 from variantlake.operators.verify import score_exact
 from variantlake.plans import sqlfrag as S
 from variantlake.plans.registry import register, rounded, table
+from variantlake.session import spread
 
 # ---------------------------------------------------------------------------
 # P6 extract_answer: documents wrapped in answer tags at known places
@@ -45,7 +46,7 @@ SELECT doc_id, {S.extract_answer('response')} AS answer,
 FROM r
 """)
 def q_extract_answer(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", _response_col().alias("response"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", _response_col().alias("response"))
     return docs.select("doc_id", TX.extract_answer("response").alias("answer"),
                        TX.py_strip(TX.after_last("response", "</instruction>")).alias("flexible"))
 
@@ -256,7 +257,7 @@ p AS (
 SELECT * FROM p WHERE variant <> ''
 """)
 def q_parse_generations(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", _gen_col().alias("response"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", _gen_col().alias("response"))
     return TX.parse_generations(docs, "response", keep=("doc_id",))
 
 

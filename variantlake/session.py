@@ -93,3 +93,19 @@ def python_tasks(spark: SparkSession) -> int:
     if override:
         return int(override)
     return max(8, 4 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df):
+    """Round-robin the rows over 4 x cores when the input has clearly fewer partitions.
+
+    CPU-heavy per-row stages (JSON parsing, regex extraction, Arrow UDFs) otherwise
+    run in as many tasks as the source has splits: a single-row-group file is one
+    task.  Inputs that already have enough partitions - any large table - pass
+    through untouched, so this costs a shuffle only where it buys parallelism.
+    """
+    if df.isStreaming:
+        return df
+    target = python_tasks(df.sparkSession)
+    if df.rdd.getNumPartitions() * 4 <= target:
+        return df.repartition(target)
+    return df
