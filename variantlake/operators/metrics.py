@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variantlake import constants as K
-from variantlake.operators.ranking import group_index
 
 
 def _ks_col(ks) -> Column:
@@ -46,18 +45,24 @@ def pass_first_k(df: DataFrame, by: list[str], order: list, correct: str = "corr
                  ks=tuple(K.LEGACY_PASSES), sample_idx: str | None = None) -> DataFrame:
     """A3: did any of the first k samples (in ``order``) pass?  Cumulative intent.
 
-    ``sample_idx`` may be supplied; otherwise it is computed with the skew-safe
-    ``group_index``.  The verdict is the position of the first correct sample, an
-    aggregate: ``first_ok < k``.
+    The position of the first correct sample is the number of samples ordered
+    before it: one aggregation finds each group's smallest correct order key, a
+    second counts the samples below it.  No per-group sort, no window, so a hot
+    group costs two map-side-combined aggregations.  ``sample_idx`` may be given
+    instead of ``order``.
     """
-    idx = sample_idx
-    if idx is None:
-        df = group_index(df, by, order, out="_sample_idx")
-        idx = "_sample_idx"
-    firsts = df.groupBy(*by).agg(
-        F.min(F.when(F.col(correct), F.col(idx))).alias("first_ok"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    if sample_idx is not None:
+        firsts = df.groupBy(*by).agg(
+            F.min(F.when(F.col(correct), F.col(sample_idx))).alias("first_ok"), F.count(F.lit(1)).alias("n"))
+    else:
+        key = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+        keyed = df.select(*by, key.alias("_k"), F.col(correct).alias("_ok"))
+        first_key = keyed.where("_ok").groupBy(*by).agg(F.min("_k").alias("_first"))
+        firsts = keyed.join(first_key, by, "left").groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.when(F.first(F.col("_first").isNotNull(), ignorenulls=True),
+                   F.count_if(F.col("_k") < F.col("_first"))).alias("first_ok"),
+        )
     return firsts.select(*by, "n", _ks_col(ks).alias("k"), "first_ok").select(
         *by, "k", "n", F.coalesce(F.col("first_ok") < F.col("k"), F.lit(False)).alias("passed")
     )
