@@ -438,7 +438,7 @@ def evaluate_points(df: DataFrame, solution="solution", var="x", n: int = 3, poi
         for pdf in batches:
             rows = []
             for s in pdf["_sol"]:
-                comp = E.try_compile(TX_clean_py(s))
+                comp = E.try_compile(s.strip())
                 if comp is None:
                     continue
                 cand = fixed if fixed is not None else lower + (upper - lower) * E.seeded_uniform(s, 10 * n)
@@ -465,11 +465,6 @@ def evaluate_points(df: DataFrame, solution="solution", var="x", n: int = 3, poi
     return src.join(pts, "_sol").withColumnRenamed("_sol", "solution")
 
 
-def TX_clean_py(s: str) -> str:
-    """Solutions are stored cleaned; strip only surrounding whitespace."""
-    return s.strip()
-
-
 def score_rollouts(rollouts: DataFrame, response="response", judge="judge_response", truth="ground_truth",
                    var="var", lb="lb", ub="ub", method="strict", policy="compat") -> DataFrame:
     """Extract -> numeric score (definite iff both bounds finite) -> judge verdict.
