@@ -404,13 +404,36 @@ def q_limit_per_group(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey")
 
 
+# The calls built by ``call_col`` that parse: ECONOMY (tuple bounds), PROMO
+# (indefinite) and LARGE (separate bounds, variable t); the other three shapes are
+# rejected (negative bound, multi-character variable, no call).
+_PARSED_SQL = f"""
+parsed AS (
+  SELECT p_partkey, p_brand, p_size,
+    CASE p_type WHEN 'ECONOMY' THEN CAST(p_size AS VARCHAR) || '*x**2'
+                WHEN 'PROMO' THEN 'sin(' || CAST(p_size AS VARCHAR) || '*x)'
+                ELSE 'f(x, ' || CAST(p_size AS VARCHAR) || ')' END AS integrand,
+    CASE p_type WHEN 'LARGE' THEN 't' ELSE 'x' END AS var,
+    CASE p_type WHEN 'ECONOMY' THEN 0.0 WHEN 'LARGE' THEN 1.0 ELSE CAST('-inf' AS DOUBLE) END AS lb,
+    CASE p_type WHEN 'PROMO' THEN CAST('inf' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS ub,
+    p_type <> 'PROMO' AS is_definite
+  FROM part WHERE p_type IN ('ECONOMY', 'PROMO', 'LARGE')
+)"""
+
+
+def _parsed_part(spark, sf):
+    """Every part row's call through the parser; the variants that parse."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", call_col().alias("c"))
+    return parse_problems(p, "c").where(F.col("reject_reason").isNull()).select(
+        "p_partkey", "p_brand", "p_size", "integrand", "var", "lb", "ub", "is_definite")
+
+
 # ---------------------------------------------------------------------------
 # X5 make_splits and F6 chunk_plan
 # ---------------------------------------------------------------------------
 @register("make_splits", f"""
-WITH train AS (
-  SELECT p_brand AS tree_id, 'train' AS split, p_partkey AS key, {S.clean_expr("regexp_extract(c, '^integrate\\((.*), \\((\\w), ([^,]*), ([^,]*)\\)\\)$', 1)")} AS integrand
-  FROM (SELECT p_brand, p_partkey, {_CALL_SQL} AS c FROM part WHERE p_type = 'ECONOMY')
+WITH {_PARSED_SQL.strip()}, train AS (
+  SELECT p_brand AS tree_id, 'train' AS split, p_partkey AS key, integrand FROM parsed
 ), evals AS (
   SELECT 'Brand#' || item_id AS tree_id, 'eval' AS split, CAST(unnest(range(16)) AS BIGINT) AS key,
          'x**' || item_id AS integrand
@@ -419,8 +442,7 @@ WITH train AS (
 SELECT tree_id, split, key, integrand FROM train UNION ALL SELECT tree_id, split, key, integrand FROM evals
 """)
 def q_make_splits(spark, sf):
-    p = table(spark, sf, "part").where(F.col("p_type") == "ECONOMY").select("p_brand", "p_partkey", call_col().alias("c"))
-    parsed = parse_problems(p, "c").where(F.col("reject_reason").isNull())
+    parsed = _parsed_part(spark, sf)
     train = parsed.select(F.col("p_brand").alias("tree_id"), F.col("p_partkey").cast("int").alias("question_index"),
                           "integrand", "var", "lb", "ub", "is_definite", F.lit(1).alias("level"))
     bench = table(spark, sf, "benchmark").select(
@@ -458,24 +480,6 @@ def _sql_fill(template: str, **values) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
-_PARSED_SQL = f"""
-parsed AS (
-  SELECT p_partkey, p_brand, p_size,
-    CASE p_type WHEN 'ECONOMY' THEN CAST(p_size AS VARCHAR) || '*x**2' ELSE 'sin(' || CAST(p_size AS VARCHAR) || '*x)' END AS integrand,
-    'x' AS var,
-    CASE p_type WHEN 'ECONOMY' THEN 0.0 ELSE CAST('-inf' AS DOUBLE) END AS lb,
-    CASE p_type WHEN 'ECONOMY' THEN CAST(p_size AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END AS ub,
-    p_type = 'ECONOMY' AS is_definite
-  FROM part WHERE p_type IN ('ECONOMY', 'PROMO')
-)"""
-
-
-def _parsed_part(spark, sf):
-    p = table(spark, sf, "part").where(F.col("p_type").isin("ECONOMY", "PROMO")).select(
-        "p_partkey", "p_brand", "p_size", call_col().alias("c"))
-    return parse_problems(p, "c").select("p_partkey", "p_brand", "p_size", "integrand", "var", "lb", "ub", "is_definite")
-
-
 def _bound_sql(e):
     return f"(CASE WHEN {e} = floor({e}) THEN CAST(CAST(floor({e}) AS BIGINT) AS VARCHAR) || '.0' ELSE CAST({e} AS VARCHAR) END)"
 
