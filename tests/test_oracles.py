@@ -56,3 +56,9 @@ def test_query_matches_oracle(spark, duck, name):
     want = _rows([dict(zip(dcols, row)) for row in res.fetchall()], cols)
     assert len(got) == len(want)
     assert got == want
+
+
+def test_queries_leave_callers_views_alone(spark):
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("part")
+    registry.QUERIES["validate_variants"](spark, SF_SMALL).count()
+    assert spark.table("part").columns == ["x"]

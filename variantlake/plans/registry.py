@@ -38,3 +38,18 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 def load_all() -> None:
     # importing the modules registers their queries
     from variantlake.plans import metric_queries, text_queries, scoring_queries, tree_queries, io_queries  # noqa: F401
+
+
+def sql_on(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
+    """Run ``sql`` (written against plain table names, as the oracles are) with each
+    name bound to a DataFrame through a uniquely named temporary view, so a
+    caller's own views of the same name are never replaced."""
+    import re
+    import uuid
+
+    suffix = uuid.uuid4().hex[:12]
+    for name, df in tables.items():
+        view = f"vl_{name}_{suffix}"
+        df.createOrReplaceTempView(view)
+        sql = re.sub(rf"(?<![\w.'`]){re.escape(name)}(?![\w'`])", view, sql)
+    return spark.sql(sql)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from variantlake.operators import verify as V
-from variantlake.plans.registry import register, rounded, table
+from variantlake.plans.registry import register, rounded, sql_on, table
 
 _ANTI = """CASE p_type
     WHEN 'PROMO' THEN CAST(p_size AS STRING) || '*x**2/2'
@@ -92,11 +92,15 @@ def _with_response(answer_col: str = "answer_text") -> str:
             f"ELSE 'Working: differentiate and compare. <answer>' || {answer_col} || '</answer>' END")
 
 
+def _part(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
+
+
 def rollouts(spark, sf):
     """The derived rollout table (Spark side)."""
-    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
-    table(spark, sf, "part").select("p_partkey", "p_type", "p_size").createOrReplaceTempView("part")
-    df = spark.sql(ROLLOUTS_SQL)
+    li = table(spark, sf, "lineitem")
+    part = table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
+    df = sql_on(spark, ROLLOUTS_SQL, lineitem=li, part=part)
     return df.withColumn("response", F.expr(_with_response()))
 
 
@@ -166,8 +170,7 @@ SELECT l_orderkey, l_linenumber, l_partkey,
 FROM r
 """)
 def q_score_relative(spark, sf):
-    rollouts(spark, sf).createOrReplaceTempView("r0")
-    r = spark.sql(_LEGACY_SQL).withColumn("response", F.expr(_with_response()))
+    r = sql_on(spark, _LEGACY_SQL, r0=rollouts(spark, sf)).withColumn("response", F.expr(_with_response()))
     out = V.score_relative(r, response="response", truth="truth_call")
     return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "formal_status", "formal_result"))
 
@@ -200,8 +203,7 @@ WITH r0 AS ({ROLLOUTS_SQL}), r AS ({_ABS_SQL})
 SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber IN (1, 2) AS correct FROM r
 """)
 def q_score_absolute(spark, sf):
-    rollouts(spark, sf).createOrReplaceTempView("r0")
-    r = spark.sql(_ABS_SQL).withColumn("response", F.expr(_abs_response().replace("\\", "\\\\")))
+    r = sql_on(spark, _ABS_SQL, r0=rollouts(spark, sf)).withColumn("response", F.expr(_abs_response().replace("\\", "\\\\")))
     out = V.score_absolute(r, response="response", truth="truth_call")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "correct")
 
@@ -232,8 +234,7 @@ SELECT p_partkey, p_type IN ('ECONOMY', 'PROMO', 'SMALL') OR (p_type = 'STANDARD
 FROM v
 """)
 def q_validate_variants(spark, sf):
-    table(spark, sf, "part").select("p_partkey", "p_type", "p_size").createOrReplaceTempView("part")
-    v = spark.sql(_VALID_SQL)
+    v = sql_on(spark, _VALID_SQL, part=_part(spark, sf))
     return V.validate(v).select("p_partkey", "valid", "invalid_reason")
 
 
@@ -243,13 +244,12 @@ SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' OR p_size > 25 THEN 'NO_OK' ELSE
 FROM part
 """)
 def q_verify_solutions(spark, sf):
-    table(spark, sf, "part").select("p_partkey", "p_type", "p_size").createOrReplaceTempView("part")
-    q = spark.sql(f"""
+    q = sql_on(spark, f"""
       SELECT p_partkey,
         'integrate(' || CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size AS STRING) || '*x**2' ELSE {_TRUTH} END || ', x)' AS question,
         CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size AS STRING) || '*x**2'
              WHEN p_size > 25 THEN '2*(' || {_ANTI} || ')' ELSE {_ANTI} END AS ground_truth_solution
-      FROM part""")
+      FROM part""", part=_part(spark, sf))
     return V.verify_solutions(q).select("p_partkey", "check_status")
 
 
@@ -270,9 +270,9 @@ v AS (
 SELECT p_partkey, CAST(point_idx AS INTEGER) AS point_idx, x, round(value, 6) AS value FROM k WHERE point_idx < 3
 """)
 def q_evaluate_points(spark, sf):
-    table(spark, sf, "part").select("p_partkey", "p_type", "p_size").createOrReplaceTempView("part")
-    s = spark.sql(f"""SELECT p_partkey,
-        CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size AS STRING) || '*x**3/3' ELSE {_ANTI} END AS solution FROM part""")
+    s = sql_on(spark, f"""SELECT p_partkey,
+        CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size AS STRING) || '*x**3/3' ELSE {_ANTI} END AS solution FROM part""",
+               part=_part(spark, sf))
     out = V.evaluate_points(s, solution="solution", n=3, points=_POINTS, keep=("p_partkey",))
     return out.select("p_partkey", "point_idx", "x", F.round("value", 6).alias("value"))
 
@@ -302,6 +302,5 @@ def q_evaluate_rollouts(spark, sf):
 SELECT p_partkey, p_type NOT IN ('LARGE') AND NOT (p_type = 'STANDARD' AND p_size > 25) AS formatting_ok FROM part
 """)
 def q_validate_syntax(spark, sf):
-    table(spark, sf, "part").select("p_partkey", "p_type", "p_size").createOrReplaceTempView("part")
-    v = spark.sql(_VALID_SQL)
+    v = sql_on(spark, _VALID_SQL, part=_part(spark, sf))
     return V.validate_syntax(v, col="integrand").select("p_partkey", "formatting_ok")
