@@ -147,3 +147,30 @@ def test_parse_dialects_and_v2(spark):
     scored, metrics = score_batch(r)
     assert scored.first().reward == 1.0
     assert {m.metric: m.sum for m in metrics.collect()}["CONFUSION_MATRIX/TP"] == 1.0
+
+
+def test_windowed_counts_drop_late_rows(spark, tmpdir_path):
+    import datetime as dt
+
+    from variantlake.streaming.score_stream import score_rows, windowed_status_counts
+
+    schema = ("rollout_id string, response string, ground_truth string, var string, lb double, ub double, "
+              "ts timestamp")
+
+    def batch(rows, path):
+        spark.createDataFrame([(rid, "<answer>x**2</answer>", "2*x", "x", float("-inf"), float("inf"), ts)
+                               for rid, ts in rows], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+    src = f"{tmpdir_path}/arrivals"
+    day = lambda d: dt.datetime(2024, 1, d, 12)
+    batch([("a", day(1)), ("b", day(1)), ("c", day(3)), ("d", day(5))], f"{src}/b1")
+    stream = spark.readStream.schema(schema).parquet(f"{src}/*")  # one arrival = one file = one batch
+    q = (windowed_status_counts(score_rows(stream), window="1 day", watermark="1 day")
+         .writeStream.outputMode("append").format("memory").queryName("vl_late").start())
+    q.processAllAvailable()
+    batch([("e", day(1)), ("f", day(6))], f"{src}/b2")  # e is behind the watermark (day 4)
+    q.processAllAvailable()
+    q.stop()
+    got = {r.window.start.day: (r.n, r.formal_OK) for r in spark.table("vl_late").collect()}
+    assert got.get(1) == (2, 2)  # the late row did not reopen the closed day-1 window
+    assert 5 not in got and 6 not in got  # open windows are not emitted in append mode
