@@ -107,3 +107,37 @@ def test_formatted_records_are_bounded(spark):
     recs = formatted_questions(v, max_items=10).collect()
     assert [len(r.variants) for r in recs] == [10, 10, 5]
     assert [x.variant for r in recs for x in r.variants] == [f"v{i}" for i in range(25)]
+
+
+def test_dedup_on_problem_keeps_different_bounds(spark):
+    from variantlake.operators.dedup import add_fingerprint, dedup_semantic
+
+    rows = [("t", 0, "x*2", "x", 0.0, 1.0), ("t", 1, "2*x", "x", 0.0, 1.0), ("t", 2, "2*x", "x", 0.0, 2.0)]
+    df = add_fingerprint(spark.createDataFrame(rows, "tree_id string, order_key int, integrand string, var string, "
+                                                     "lb double, ub double"))
+    assert sorted(r.order_key for r in dedup_semantic(df).collect()) == [0]  # D1 ignores bounds
+    assert sorted(r.order_key for r in dedup_semantic(df, on="problem").collect()) == [0, 2]  # D2 does not
+
+
+def test_evaluate_points_seeded_and_real(spark):
+    from variantlake.operators.verify import evaluate_points
+
+    df = spark.createDataFrame([("sqrt(x)",), ("x**2",)], "solution string")
+    a = sorted(tuple(r) for r in evaluate_points(df, n=3).collect())
+    b = sorted(tuple(r) for r in evaluate_points(df, n=3).collect())
+    assert a == b and len(a) == 6
+    assert all(r[2] > 0 for r in a if r[0] == "sqrt(x)")  # only points where the value is real
+
+
+def test_make_splits_rejects_unverifiable_base(spark):
+    train = spark.createDataFrame([("t1", 0, "x", "x", float("-inf"), float("inf"), False, 1)],
+                                  "tree_id string, question_index int, integrand string, var string, lb double, "
+                                  "ub double, is_definite boolean, level int")
+    base = spark.createDataFrame([("t1", "x**2", "x", float("-inf"), float("inf"), False, True),
+                                  ("t2", None, None, None, None, None, None)],
+                                 "tree_id string, integrand string, var string, lb double, ub double, "
+                                 "is_definite boolean, valid boolean")
+    out = PR.make_splits(train, base, num_eval=4)
+    assert out.where("split = 'eval' AND tree_id = 't1'").count() == 4
+    bad = out.where("tree_id = 't2'").collect()
+    assert len(bad) == 1 and bad[0].reject_reason == "base_not_verifiable" and bad[0].question_index is None
