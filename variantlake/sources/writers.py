@@ -45,9 +45,15 @@ def eval_log_rows(scored: DataFrame, step="step", response="response") -> DataFr
         .select(*[f.name for f in EVAL_LOG.fields])
 
 
-def write_eval_log(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """K3: one JSON-lines directory per eval step."""
-    rows.write.mode(mode).partitionBy("eval_step").json(path)
+def write_eval_log(rows: DataFrame, path: str, mode: str = "append", files_per_step: int = 8) -> None:
+    """K3: one JSON-lines directory per eval step.
+
+    Rows are hashed on (step, salt) first so every step lands in at most
+    ``files_per_step`` files instead of one small file per task and step; the salt
+    also splits a step that holds most of the rows over several writers.
+    """
+    salt = F.pmod(F.xxhash64("rollout_id"), F.lit(files_per_step))
+    rows.repartition("eval_step", salt).write.mode(mode).partitionBy("eval_step").json(path)
 
 
 def read_eval_log(spark, path: str) -> DataFrame:
