@@ -48,10 +48,8 @@ _NUM3 = "CAST(p_size * (p_size % 5 + 1) * (p_size % 5 + 1) * (p_size % 5 + 1) AS
 
 ROLLOUTS_SQL = f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_type AS kind,
-  concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
-            CAST(l_suppkey AS STRING), CAST(l_quantity AS STRING), CAST(l_extendedprice AS STRING),
-            CAST(l_discount AS STRING), CAST(l_tax AS STRING), l_returnflag, l_linestatus,
-            CAST(l_shipdate AS STRING)) AS rollout_id,
+  CAST(ROW_HASH(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+                 l_returnflag, l_linestatus, l_shipdate) AS STRING) AS rollout_id,
   truth_text AS ground_truth, 'x' AS var,
   CASE WHEN p_type = 'ECONOMY' THEN 0.0 ELSE CAST('-inf' AS DOUBLE) END AS lb,
   CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size % 5 + 1 AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END AS ub,
@@ -87,6 +85,12 @@ FROM lineitem JOIN (
 """
 
 
+# ``ROW_HASH`` names a 64-bit hash of the whole lineitem row (the rollout id): each
+# engine uses its own native function; no oracle compares the id itself.
+SPARK_ROLLOUTS_SQL = ROLLOUTS_SQL.replace("ROW_HASH(", "xxhash64(")
+ROLLOUTS_SQL = ROLLOUTS_SQL.replace("ROW_HASH(", "hash(")
+
+
 def _with_response(answer_col: str = "answer_text") -> str:
     return (f"CASE WHEN {answer_col} IS NULL THEN 'I could not solve it.' "
             f"ELSE 'Working: differentiate and compare. <answer>' || {answer_col} || '</answer>' END")
@@ -100,7 +104,7 @@ def rollouts(spark, sf):
     """The derived rollout table (Spark side)."""
     li = table(spark, sf, "lineitem")
     part = table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
-    df = sql_on(spark, ROLLOUTS_SQL, lineitem=li, part=part)
+    df = sql_on(spark, SPARK_ROLLOUTS_SQL, lineitem=li, part=part)
     return df.withColumn("response", F.expr(_with_response()))
 
 
