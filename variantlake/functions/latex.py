@@ -7,6 +7,8 @@ Arrow-batched ``pandas_udf`` that returns NULL when normalising fails.
 """
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,34 +38,29 @@ def _units(s: str) -> str:
 
 
 def _sqrt_braces(s: str) -> str:
-    if "\\sqrt" not in s:
-        return s
-    first, *pieces = s.split("\\sqrt")
-    out = [first]
-    for piece in pieces:
-        if not piece:
-            raise _Fail("sqrt")
-        out.append("\\sqrt" + piece if piece[0] == "{" else "\\sqrt{" + piece[0] + "}" + piece[1:])
-    return "".join(out)
+    """``\\sqrt3`` -> ``\\sqrt{3}``: a one-character radicand gets braces."""
+    pieces = s.split("\\sqrt")
+    if len(pieces) > 1 and not all(pieces[1:]):
+        raise _Fail("sqrt")  # a dangling \\sqrt: the original falls back to raw text
+    return re.sub(r"\\sqrt([^{])", r"\\sqrt{\1}", s)
+
+
+_FRAC_SHORT = re.compile(r"\\frac([^{])(\{|.)")
 
 
 def _frac_braces(s: str) -> str:
-    first, *pieces = s.split("\\frac")
-    out = [first]
-    for piece in pieces:
-        if not piece:
-            raise _Fail("frac")
-        if piece[0] == "{":
-            out.append("\\frac" + piece)
-            continue
-        if len(piece) < 2:
-            return s  # too short to fix: leave the whole text as it was
-        num, second, tail = piece[0], piece[1], piece[2:]
-        if second == "{":
-            out.append("\\frac{" + num + "}{" + tail)
-        else:
-            out.append("\\frac{" + num + "}{" + second + "}" + tail)
-    return "".join(out)
+    """``\\frac12`` -> ``\\frac{1}{2}``, ``\\frac1{2}`` -> ``\\frac{1}{2}``.
+
+    A ``\\frac`` followed by nothing fails (raw comparison); one followed by a single
+    unbraced character leaves the whole text as it is.
+    """
+    tails = s.split("\\frac")[1:]
+    if any(t == "" for t in tails):
+        raise _Fail("frac")
+    if any(t[0] != "{" and len(t) < 2 for t in tails):
+        return s
+    return _FRAC_SHORT.sub(lambda m: "\\frac{" + m.group(1) + "}" + (m.group(2) if m.group(2) == "{"
+                                                                  else "{" + m.group(2) + "}"), s)
 
 
 def _slash(s: str) -> str:

@@ -6,6 +6,8 @@ set, written out as one character class so SQL oracles can use the same class.
 """
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -169,21 +171,16 @@ def last_boxed_py(s):
     if s is None:
         return None
     if "\\boxed " in s:
-        return s.split("\\boxed ")[-1].split("$")[0]
+        return s.rsplit("\\boxed ", 1)[1].partition("$")[0]
     start = s.rfind("\\boxed")
     if start < 0:
         return None  # an \\fbox{...} alone is not unwrapped by the original either
-    depth = 0
-    for i in range(start, len(s)):
-        ch = s[i]
-        if ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0:
-                whole = s[start:i + 1]
-                return whole[len("\\boxed{"):-1] if whole.startswith("\\boxed{") else None
-    return None
+    tail = s[start:]
+    depth = accumulate({"{": 1, "}": -1}.get(ch, 0) for ch in tail)
+    close = next((i for i, (ch, d) in enumerate(zip(tail, depth)) if ch == "}" and d == 0), None)
+    if close is None or not tail.startswith("\\boxed{"):
+        return None
+    return tail[len("\\boxed{"):close]
 
 
 @F.pandas_udf(T.StringType())
