@@ -10,12 +10,22 @@ from variantlake.operators import verify as V
 INF = math.inf
 
 
-@pytest.mark.parametrize("text", ["__import__('os')", "x.real", "lambda: 1", "[1, 2]", "x if x else 1", "f(x)(y)"])
+@pytest.mark.parametrize("text", ["__import__('os')", "x.real", "lambda: 1", "[1, 2]", "x if x else 1", "f(x)(y)",
+                                  "sin(x, k=1)"])
 def test_rejects_unsafe_or_unknown_syntax(text):
     with pytest.raises(E.ExprError):
         E.compile_expr(text)
 
 
+def test_unknown_functions_parse_but_never_evaluate():
+    comp = E.compile_expr("foo(x) + 1")  # a call of an unknown name: parsed, never run
+    assert comp.free == {"foo()", "x"}
+    with pytest.raises(E.ExprError):
+        comp("x", [1.0])
+    assert V.score_one("foo(x)", "2*x", "x", -INF, INF)[1] == "NO_OK"
+    assert V.score_one("foo(1)", "x**2", "x", 0.0, 3.0)[1] == "ERROR_EVAL_EXPR"
+
+
 def test_power_tower_overflows_instead_of_hanging():
     assert np.isinf(E.compile_expr("9**9**9")(None, [0.0])[0])
 
