@@ -145,3 +145,8 @@ def test_supplied_solutions_verify_and_wrong_ones_do_not(spark):
         assert got[(i, "right")] == "OK", SOLVED[i]
         assert got[(i, "double")] == "NO_OK", SOLVED[i]
         assert got[(i, "shifted")] == "NO_OK", SOLVED[i]
+
+
+def test_definite_non_finite_answer_is_not_close():
+    assert V.score_one("oo", "x**2", "x", 0.0, 3.0)[1] == "NO_OK"
+    assert V.score_one("9**9**9", "x**2", "x", 0.0, 3.0)[1] == "NO_OK"

@@ -103,12 +103,11 @@ def score_one(answer, truth, var, lb, ub, policy="compat", num_tests=K.COMPAT_NU
         if not np.isfinite(gt):
             return 0.0, "ERROR", 0
         try:
-            val = cand(None, np.zeros(1))[0]
+            val = cand(None, np.zeros(1))[0]  # free symbols (e.g. x) -> not a number
         except E.ExprError:
             return 0.0, "ERROR_EVAL_EXPR", 0
-        if not np.isfinite(val):
-            return 0.0, "ERROR_EVAL_EXPR", 0
-        ok = bool(E.isclose(val, gt, pol["atol"], pol["rtol"]))
+        # an infinite or NaN value is still a number: it simply is not close
+        ok = bool(np.isfinite(val)) and bool(E.isclose(val, gt, pol["atol"], pol["rtol"]))
         return (1.0, "OK", 1) if ok else (0.0, "NO_OK", 1)
     cvar = pol["cand_var"] or var
     positive = cand.has_log() or tr.has_log()
