@@ -2,6 +2,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from variantlake.functions import expr as E
@@ -150,3 +151,13 @@ def test_supplied_solutions_verify_and_wrong_ones_do_not(spark):
 def test_definite_non_finite_answer_is_not_close():
     assert V.score_one("oo", "x**2", "x", 0.0, 3.0)[1] == "NO_OK"
     assert V.score_one("9**9**9", "x**2", "x", 0.0, 3.0)[1] == "NO_OK"
+
+
+def test_row_wise_scoring_matches_distinct_key_scoring(spark):
+    from variantlake.streaming.score_stream import score_rows
+
+    rows = [(i, t, v, lb, ub, None if a is None else f"<answer>{a}</answer>") for i, (t, v, lb, ub, a, _) in enumerate(GOLDEN)]
+    df = spark.createDataFrame(rows, "id int, ground_truth string, var string, lb double, ub double, response string")
+    row_wise = {r.id: r.formal_status for r in score_rows(df).collect()}
+    batch = {r.id: r.formal_status for r in V.score_rollouts(df.withColumn("judge_response", F.lit(None))).collect()}
+    assert row_wise == batch
