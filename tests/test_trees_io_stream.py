@@ -174,3 +174,25 @@ def test_windowed_counts_drop_late_rows(spark, tmpdir_path):
     got = {r.window.start.day: (r.n, r.formal_OK) for r in spark.table("vl_late").collect()}
     assert got.get(1) == (2, 2)  # the late row did not reopen the closed day-1 window
     assert 5 not in got and 6 not in got  # open windows are not emitted in append mode
+
+
+def test_census_of_raw_question_dirs(spark, tmpdir_path):
+    from variantlake.operators.metrics import census, ground_truth_share
+
+    def write(q, variants, solution):
+        os.makedirs(f"{tmpdir_path}/{q}")
+        with open(f"{tmpdir_path}/{q}/train.json", "w") as f:
+            json.dump({"integral": f"integrate({q}, x)", "variants": variants}, f)
+        with open(f"{tmpdir_path}/{q}/test.json", "w") as f:
+            json.dump({"question": f"integrate({q}, x)", "ground_truth_solution": solution}, f)
+
+    item = {"variant": "integrate(1, x)", "reasoning": "r"}
+    write("q1", {"easier": [item] * 3, "equivalent": [item]}, "x")
+    write("q2", {"easier": [item], "harder": [item] * 2}, None)
+    raw, _ = R.read_raw_questions(spark, tmpdir_path)
+    rows = explode_buckets(raw, keep=("integral",))
+    got = {r.difficulty: (r.variants, r.questions, r.mean)
+           for r in census(rows, question="integral", difficulty="bucket").withColumnRenamed("bucket", "difficulty").collect()}
+    assert got == {"easier": (4, 2, 2.0), "equivalent": (1, 1, 1.0), "harder": (2, 1, 2.0), "total": (7, 2, 3.5)}
+    share = ground_truth_share(R.read_test_questions(spark, tmpdir_path)).first()
+    assert (share.with_ground_truth, share.questions, share.share) == (1, 2, 0.5)

@@ -189,3 +189,11 @@ def evaluate_rollouts(rollouts: DataFrame, by=("tree_id",), ks=tuple(K.PASS_AT_K
     answered = rollouts.withColumn("answer", extract_answer(F.col(response)))
     scored = score_answers(answered, policy=policy, **score_kwargs)
     return pass_at_k(scored, list(by), F.col("formal_status") == "OK", ks=ks)
+
+
+def ground_truth_share(tests: DataFrame, solution="ground_truth_solution") -> DataFrame:
+    """A9 (last line): test questions with a ground-truth solution, of all present."""
+    return tests.agg(
+        F.count_if(F.col(solution).isNotNull()).alias("with_ground_truth"),
+        F.count(F.lit(1)).alias("questions"),
+    ).withColumn("share", F.col("with_ground_truth") / F.col("questions"))
