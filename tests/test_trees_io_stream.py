@@ -196,3 +196,35 @@ def test_census_of_raw_question_dirs(spark, tmpdir_path):
     assert got == {"easier": (4, 2, 2.0), "equivalent": (1, 1, 1.0), "harder": (2, 1, 2.0), "total": (7, 2, 3.5)}
     share = ground_truth_share(R.read_test_questions(spark, tmpdir_path)).first()
     assert (share.with_ground_truth, share.questions, share.share) == (1, 2, 0.5)
+
+
+def test_readme_flow_end_to_end(spark, tmpdir_path):
+    """Trees -> kept variants -> prompt dataset -> rollouts joined by key -> scores and pass@k."""
+    from variantlake.operators import metrics as M
+    from variantlake.operators import prompts as PR
+    from variantlake.operators import variants as VA
+    from variantlake.operators import verify as V
+    from variantlake.sources import writers as W
+
+    _write_tree_files(f"{tmpdir_path}/trees")
+    trees, _ = R.read_trees(spark, f"{tmpdir_path}/trees")
+    kept = VA.kept_variants(trees, order="bfs")
+    W.write_prompts(PR.to_prompts(kept.withColumn("split", F.lit("train"))), f"{tmpdir_path}/prompts")
+    prompts = spark.read.parquet(f"{tmpdir_path}/prompts/parquet").select(
+        "tree_id", "extra_info.question_index", "extra_info.var", "extra_info.lb", "extra_info.ub",
+        F.col("reward_model.ground_truth").alias("ground_truth"))
+    # kept: 0 x**2, 1 sin(x) on [0, 3], 2 cos(x), 3 exp(x); answers right for 0, 1, 3 and wrong for 2
+    answers = {0: "x**3/3", 1: "1 - cos(3)", 2: "cos(x)", 3: "exp(x)"}
+    rows = [(f"r{q}-{i}", "t1", q, i, "eval", 1, None, f"<answer>{answers[q]}</answer>" if i % 2 == 0 else "none",
+             40, "<JUDGE_SCORE>1</JUDGE_SCORE>") for q in answers for i in range(4)]
+    W.write_generated(spark.createDataFrame(rows, R.ROLLOUTS), f"{tmpdir_path}/rollouts")
+    rollouts = R.read_rollouts(spark, f"{tmpdir_path}/rollouts", fmt="json").join(prompts, ["tree_id", "question_index"])
+    scored, metrics = V.score_batch(rollouts, by=["step"])
+    status = {(r.question_index, r.sample_idx): r.formal_status for r in scored.collect()}
+    assert status[(0, 0)] == "OK" and status[(1, 0)] == "OK" and status[(2, 0)] == "NO_OK" and status[(3, 2)] == "OK"
+    assert status[(0, 1)] == "NO_INP_IN_TAGS"
+    m = {r.metric: r.sum for r in metrics.collect()}
+    assert m["FORMAL/OK"] == 6.0 and m["CONFUSION_MATRIX/FP"] == 2.0
+    passk = {(r.question_index, r.k): r.pass_at_k for r in
+             M.evaluate_rollouts(rollouts, by=["question_index"], ks=[1, 4]).collect()}
+    assert passk[(0, 1)] == 0.5 and passk[(0, 4)] == 1.0 and passk[(2, 4)] == 0.0
