@@ -141,3 +141,17 @@ def test_make_splits_rejects_unverifiable_base(spark):
     assert out.where("split = 'eval' AND tree_id = 't1'").count() == 4
     bad = out.where("tree_id = 't2'").collect()
     assert len(bad) == 1 and bad[0].reject_reason == "base_not_verifiable" and bad[0].question_index is None
+
+
+def test_legacy_report_shape(spark):
+    rows = [(q, f"integrate(x**{q}, x)", m, i, f"resp{i}", (m == "rl_model" and i == 3) or (q == 1 and i == 0))
+            for q in (1, 2) for m in ("base_model", "rl_model") for i in range(10)]
+    samples = spark.createDataFrame(rows, "question_id int, question string, model string, sample_idx int, "
+                                          "response string, correct boolean")
+    questions, summary, total = M.legacy_report(samples)
+    q2 = questions.where("question_id = 2").first()
+    assert q2.base_model["pass@10"] is False and q2.rl_model["pass@1"] is False and q2.rl_model["pass@5"] is True
+    assert q2.rl_model.responses[:2] == ["resp0", "resp1"] and len(q2.rl_model.responses) == 10
+    s = {r.model: r for r in summary.collect()}
+    assert s["rl_model"]["pass@5"].num_correct == 2 and s["base_model"]["pass@1"].accuracy == 0.5
+    assert total.first().num_total == 2

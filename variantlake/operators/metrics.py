@@ -197,3 +197,29 @@ def ground_truth_share(tests: DataFrame, solution="ground_truth_solution") -> Da
         F.count_if(F.col(solution).isNotNull()).alias("with_ground_truth"),
         F.count(F.lit(1)).alias("questions"),
     ).withColumn("share", F.col("with_ground_truth") / F.col("questions"))
+
+
+def legacy_report(samples: DataFrame, question_id="question_id", question="question", model="model",
+                  sample_idx="sample_idx", response="response", correct="correct",
+                  models=("base_model", "rl_model"), ks=tuple(K.LEGACY_PASSES)):
+    """K5 shape: per question one struct per model (ordered responses, pass@k flags),
+    a summary of solved questions and accuracy per model and k, and the total.
+
+    A question's response list has one entry per sample (10 in the original run),
+    so its size is a run parameter, not a data size.
+    """
+    per = pass_first_k(samples, [question_id, model], [], correct=correct, ks=ks, sample_idx=sample_idx)
+    flags = per.groupBy(question_id, model).pivot("k", list(ks)).agg(F.first("passed"))
+    lists = samples.groupBy(question_id, question, model).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(sample_idx).alias("i"), F.col(response).alias("r")))).alias("_rs"))
+    per_model = lists.join(flags, [question_id, model]).select(
+        question_id, question, model,
+        F.struct(F.transform("_rs", lambda s: s["r"]).alias("responses"),
+                 *[F.col(str(k)).alias(f"pass@{k}") for k in ks]).alias("result"))
+    questions = per_model.groupBy(question_id, question).pivot(model, list(models)).agg(F.first("result"))
+    acc = accuracy(per, [model, "k"])
+    summary = acc.groupBy(model).pivot("k", list(ks)).agg(
+        F.first(F.struct("num_correct", "accuracy")))
+    summary = summary.select(model, *[F.col(str(k)).alias(f"pass@{k}") for k in ks])
+    total = samples.select(question_id).distinct().agg(F.count(F.lit(1)).alias("num_total"))
+    return questions, summary, total
