@@ -228,3 +228,18 @@ def test_readme_flow_end_to_end(spark, tmpdir_path):
     passk = {(r.question_index, r.k): r.pass_at_k for r in
              M.evaluate_rollouts(rollouts, by=["question_index"], ks=[1, 4]).collect()}
     assert passk[(0, 1)] == 0.5 and passk[(0, 4)] == 1.0 and passk[(2, 4)] == 0.0
+
+
+def test_stream_writes_per_batch_metrics(spark, tmpdir_path):
+    from variantlake.streaming.score_stream import rollout_stream, score_stream
+
+    rows = [(f"r{i}", "<answer>x**2</answer>" if i % 2 else "<answer>x**3</answer>", "2*x", "x", float("-inf"),
+             float("inf"), "<JUDGE_SCORE>1</JUDGE_SCORE>", 7) for i in range(10)]
+    df = spark.createDataFrame(rows, "rollout_id string, response string, ground_truth string, var string, lb double, "
+                                     "ub double, judge_response string, step int").withColumn("ts", F.current_timestamp())
+    src = f"{tmpdir_path}/src"
+    df.write.parquet(src)
+    stream = rollout_stream(spark, src, spark.read.parquet(src).schema)
+    score_stream(stream, f"{tmpdir_path}/sink", f"{tmpdir_path}/ckpt", metrics_sink=f"{tmpdir_path}/metrics")
+    m = {r.metric: (r.mean, r.sum) for r in spark.read.parquet(f"{tmpdir_path}/metrics").collect()}
+    assert m["FORMAL/OK"] == (0.5, 5.0) and m["FORMAL/NO_OK"] == (0.5, 5.0) and m["JUDGE/OK"] == (1.0, 10.0)
