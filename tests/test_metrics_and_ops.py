@@ -155,3 +155,12 @@ def test_legacy_report_shape(spark):
     s = {r.model: r for r in summary.collect()}
     assert s["rl_model"]["pass@5"].num_correct == 2 and s["base_model"]["pass@1"].accuracy == 0.5
     assert total.first().num_total == 2
+
+
+def test_pass_first_k_as_written_buckets(spark):
+    # one correct sample at index 3: cumulative intent passes k=5 and 10; as written only k=5
+    df = spark.createDataFrame([("q", i, i == 3) for i in range(10)], "q string, sample_idx int, correct boolean")
+    cumulative = {r.k: r.passed for r in M.pass_first_k(df, ["q"], [], sample_idx="sample_idx").collect()}
+    written = {r.k: r.passed for r in M.pass_first_k_as_written(df, ["q"]).collect()}
+    assert cumulative == {1: False, 5: True, 10: True}
+    assert written == {1: False, 5: True, 10: False}

@@ -41,6 +41,21 @@ def pass_at_k(df: DataFrame, by: list[str], correct: str | Column = "correct",
     return out.withColumn("pass_at_k", pass_at_k_expr(F.col("n"), F.col("c"), F.col("k")))
 
 
+def pass_first_k_as_written(df: DataFrame, by: list[str], sample_idx: str = "sample_idx",
+                            correct: str = "correct", ks=tuple(K.LEGACY_PASSES)) -> DataFrame:
+    """A3 as the legacy counters actually behave: a correct sample counts only for the
+    smallest k above its index, so pass@k looks at indices [previous k, k).
+    One aggregation with a conditional count per k."""
+    ks = sorted(ks)
+    bounds = list(zip([0, *ks[:-1]], ks))
+    idx, ok = F.col(sample_idx), F.col(correct)
+    agg = [F.max(F.when(ok & (idx >= lo) & (idx < hi), 1).otherwise(0)).alias(f"_p{hi}") for lo, hi in bounds]
+    per = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *agg)
+    stacked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col(f"_p{k}") == 1).alias("passed"))
+                                  for k in ks])).alias("_s")
+    return per.select(*by, "n", stacked).select(*by, "_s.k", "n", "_s.passed")
+
+
 def pass_first_k(df: DataFrame, by: list[str], order: list, correct: str = "correct",
                  ks=tuple(K.LEGACY_PASSES), sample_idx: str | None = None) -> DataFrame:
     """A3: did any of the first k samples (in ``order``) pass?  Cumulative intent.

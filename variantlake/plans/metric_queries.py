@@ -229,3 +229,27 @@ FROM documents GROUP BY ROLLUP (source, lang) HAVING source IS NOT NULL
 def q_difficulty_histogram(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("source").alias("question"), F.col("lang").alias("difficulty"))
     return M.difficulty_histogram(docs)
+
+
+@register("pass_first_k_as_written", f"""
+WITH r AS (
+  SELECT l_orderkey AS question, l_returnflag = 'R' AS correct,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY {LI_ORDER_SQL}) - 1 AS idx
+  FROM lineitem
+), g AS (
+  SELECT question, count(*) AS n,
+         bool_or(correct AND idx < 1) AS p1,
+         bool_or(correct AND idx >= 1 AND idx < 5) AS p5,
+         bool_or(correct AND idx >= 5 AND idx < 10) AS p10
+  FROM r GROUP BY question
+)
+SELECT question, 1 AS k, n, p1 AS passed FROM g
+UNION ALL SELECT question, 5, n, p5 FROM g
+UNION ALL SELECT question, 10, n, p10 FROM g
+""")
+def q_pass_first_k_as_written(spark, sf):
+    from variantlake.operators.ranking import group_index
+
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("question"), *LI_ORDER)
+    li = group_index(li.withColumn("correct", F.col("l_returnflag") == "R"), ["question"], LI_ORDER, out="sample_idx")
+    return M.pass_first_k_as_written(li, ["question"], ks=FIRST_KS)
