@@ -164,3 +164,9 @@ def test_pass_first_k_as_written_buckets(spark):
     written = {r.k: r.passed for r in M.pass_first_k_as_written(df, ["q"]).collect()}
     assert cumulative == {1: False, 5: True, 10: True}
     assert written == {1: False, 5: True, 10: False}
+
+
+def test_drop_empty_questions(spark):
+    q = spark.createDataFrame([("a",), ("b",)], "question string")
+    v = spark.createDataFrame([("a", "v1"), ("a", "v2")], "question string, variant string")
+    assert [r.question for r in PR.drop_empty_questions(q, v).collect()] == ["a"]

@@ -80,9 +80,11 @@ def score_rows(stream: DataFrame, response="response", truth="ground_truth", var
 
 
 def windowed_status_counts(scored: DataFrame, ts: str = "ts", window: str = "1 day",
-                           watermark: str = "1 day") -> DataFrame:
-    """Native windowed counts of every formal status (append mode emits closed windows)."""
+                           watermark: str = "1 day", by: tuple = ()) -> DataFrame:
+    """Native windowed counts of every formal status, per window and ``by`` columns
+    (e.g. the training step); append mode emits a window once the watermark closes it.
+    The status domain is listed, so no streaming pivot is needed."""
     aggs = [F.count_if(F.col("formal_status") == s).alias(f"formal_{s}") for s in K.FORMAL_STATUSES]
     return (scored.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, window).alias("window"))
-            .agg(F.count(F.lit(1)).alias("n"), *aggs))
+            .groupBy(F.window(ts, window).alias("window"), *by)
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("formal_result").alias("formal_reward"), *aggs))
