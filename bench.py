@@ -31,7 +31,9 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = get_spark(app="variantlake-bench", cpus=cpus, shuffle_partitions=int(cpus) * 2)
+    # one shuffle partition per core locally (AQE coalesces further); clusters size it by data volume
+    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus)))
+    spark = get_spark(app="variantlake-bench", cpus=cpus, shuffle_partitions=shuffle)
     registry.load_all()
     # warm-up: JVM code paths and Python workers (not timed)
     registry.QUERIES["parse_judge"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
