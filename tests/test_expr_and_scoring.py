@@ -161,3 +161,10 @@ def test_row_wise_scoring_matches_distinct_key_scoring(spark):
     row_wise = {r.id: r.formal_status for r in score_rows(df).collect()}
     batch = {r.id: r.formal_status for r in V.score_rollouts(df.withColumn("judge_response", F.lit(None))).collect()}
     assert row_wise == batch
+
+
+def test_precise_dialect_changes_the_verdict(spark):
+    df = spark.createDataFrame([("e**x+x", "exp(x) + 1")], "answer string, ground_truth string").selectExpr(
+        "*", "'x' AS var", "CAST('-inf' AS DOUBLE) AS lb", "CAST('inf' AS DOUBLE) AS ub")
+    assert V.score_answers(df).first().formal_status == "NO_OK"  # as written: exp(x+x)
+    assert V.score_answers(df, dialect="precise").first().formal_status == "OK"

@@ -85,3 +85,15 @@ def test_parse_problems_and_native_split_agree(spark):
 ])
 def test_normalize_latex(raw, norm):
     assert normalize_latex_py(raw) == norm
+
+
+@pytest.mark.parametrize("raw,as_written,precise", [
+    ("e^x + 1", "2.718**x + 1", "exp(x) + 1"),
+    ("e**x+1", "exp(x+1)", "exp(x)+1"),
+    ("e^(2*x) - x", "2.718**(2*x) - x", "exp((2*x)) - x"),
+    ("3*e**sin(x)/2", "3*exp(sin(x)/2)", "3*exp(sin(x))/2"),
+    ("sec(x)^2 + C", "sec(x)**2", "sec(x)**2"),
+])
+def test_precise_dialect_keeps_exponent_precedence(spark, raw, as_written, precise):
+    assert _one(spark, TX.clean_expr, raw) == as_written
+    assert _one(spark, lambda c: TX.clean_expr(c, "precise"), raw) == precise

@@ -103,6 +103,26 @@ _LEGACY_BOXED_RULES = [
     ("re", r"e\*\*([^*]+)", "exp($1)"),
     ("re", r"(?U)\+?\s*C\b", ""),
 ]
+# ``e`` as Euler's number with correct precedence: the exponent is one atom (name,
+# number, call) or one parenthesised group (one level of nesting inside).
+_EXP_ARG = r"(\((?:[^()]|\([^()]*\))*\)|[A-Za-z0-9_.]+(?:\((?:[^()]|\([^()]*\))*\))?)"
+_PRECISE_RULES = [
+    ("re", r"\*\s*\.\.\.", ""),
+    ("lit", "...", ""),
+    ("lit", "\\(", ""),
+    ("lit", "\\)", ""),
+    ("lit", "$", ""),
+    ("lit", "\\arctan", "atan"),
+    ("lit", "\\arcsin", "asin"),
+    ("lit", "\\arccos", "acos"),
+    ("lit", "arccos", "acos"),
+    ("lit", "arcsin", "asin"),
+    ("lit", "arctan", "atan"),
+    ("lit", "\\ln", "log"),
+    ("lit", "^", "**"),
+    ("re", r"(?<![A-Za-z0-9_.])e\*\*" + _EXP_ARG, "exp($1)"),
+    ("re", r"(?U)\+?\s*C\b", ""),
+]
 DIALECTS = {
     # current verifier: answers and integrands (blank stays blank)
     "current": (_CURRENT_RULES, False),
@@ -110,6 +130,8 @@ DIALECTS = {
     "legacy": (_CURRENT_RULES, True),
     # legacy boxed-answer scorer: no ellipsis/e^ rules, adds \sqrt, blank becomes "0"
     "legacy_boxed": (_LEGACY_BOXED_RULES, True),
+    # not in the original: e^T / e**T -> exp(T) for exactly the exponent T
+    "precise": (_PRECISE_RULES, False),
 }
 
 

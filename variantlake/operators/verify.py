@@ -265,7 +265,7 @@ def _c(col) -> Column:
 
 
 def score_answers(df: DataFrame, answer="answer", truth="ground_truth", var="var", lb="lb", ub="ub",
-                  policy: str = "compat", prefix: str = "formal_") -> DataFrame:
+                  policy: str = "compat", prefix: str = "formal_", dialect: str = "current") -> DataFrame:
     """V6/V7: add ``{prefix}result``, ``{prefix}status``, ``{prefix}successes``.
 
     ``answer`` is an extracted answer (see ``extract_answer``).  The distinct key is
@@ -273,6 +273,7 @@ def score_answers(df: DataFrame, answer="answer", truth="ground_truth", var="var
     50 times per prompt cleans each answer once.  Definite when both bounds are
     finite.  An answer that is NULL or empty before cleaning is NO_INP_IN_TAGS;
     one that cleans to nothing fails to parse (NO_SYMPY_EXPR), as in the original.
+    ``dialect="precise"`` cleans ``e^T`` as ``exp(T)`` instead of the original rules.
     """
     ship_package(df.sparkSession)
     if policy not in POLICIES:
@@ -284,7 +285,7 @@ def score_answers(df: DataFrame, answer="answer", truth="ground_truth", var="var
     })
     # no filter before the distinct: a predicate on these columns would be pushed
     # below staged projections and inline them; NULL keys are cheap in Python
-    keys = keyed.select(*_KEY).distinct().withColumn("_clean", TX.clean_expr(F.col("_answer")))
+    keys = keyed.select(*_KEY).distinct().withColumn("_clean", TX.clean_expr(F.col("_answer"), dialect))
     verdicts = keys.repartition(python_tasks(df.sparkSession)).mapInPandas(_score_batches(policy), _SCORED)
     joined = keyed.join(verdicts, on=[keyed[k].eqNullSafe(verdicts[k]) for k in _KEY], how="left")
     joined = joined.select(keyed["*"], verdicts["_result"], verdicts["_status"], verdicts["_successes"])
