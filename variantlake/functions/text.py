@@ -13,8 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Unicode White_Space = ASCII controls \t\n\v\f\r, NEL, and the separator categories.
-WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
+# Python's whitespace (str.isspace): \t\n\v\f\r, the separators \x1c-\x1f, NEL, and the
+# Unicode separator categories.
+WS = r"[\t\n\x0B\f\r\x{1c}-\x{1f}\x{85}\p{Z}]"
 _TRIM = rf"^{WS}+|{WS}+$"
 # Python's \w in str patterns: letters, digits (all scripts) and underscore.
 _WORD = r"[\p{L}\p{N}_]"
@@ -168,7 +169,7 @@ def parse_judge(col, method: str = "strict") -> Column:
 
 def parse_difficulty(col) -> Column:
     """First word of the response, lower-cased; ``unknown`` when there is none."""
-    first = F.regexp_extract(_c(col), rf"^{WS}*([^\t\n\x0B\f\r\x{{85}}\p{{Z}}]+)", 1)
+    first = F.regexp_extract(_c(col), rf"^{WS}*([^\t\n\x0B\f\r\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+)", 1)
     return F.coalesce(F.nullif(F.lower(first), F.lit("")), F.lit("unknown"))
 
 

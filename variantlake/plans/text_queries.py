@@ -265,7 +265,7 @@ def q_parse_generations(spark, sf):
 # ---------------------------------------------------------------------------
 @register("parse_difficulty", rf"""
 WITH r AS (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE '  ' || upper(event_type) || ' because ' || props END AS resp FROM events)
-SELECT event_id, coalesce(nullif(lower(regexp_extract(resp, '^{S.WS}*([^\t\n\x0B\f\r\x{{85}}\p{{Z}}]+)', 1)), ''), 'unknown') AS difficulty FROM r
+SELECT event_id, coalesce(nullif(lower(regexp_extract(resp, '^{S.WS}*([^\t\n\x0B\f\r\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+)', 1)), ''), 'unknown') AS difficulty FROM r
 """)
 def q_parse_difficulty(spark, sf):
     ev = table(spark, sf, "events").select(
