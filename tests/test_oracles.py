@@ -17,7 +17,8 @@ SAMPLE = ["pass_at_k", "pass_first_k", "phase_compare", "status_metrics", "confu
           "extract_answer", "extract_boxed", "clean_expr", "normalize_latex", "parse_judge", "parse_generations",
           "parse_problems", "dedup_exact", "question_index", "limit_per_group", "make_splits", "prompt_records",
           "explode_buckets", "score_rollouts", "score_relative", "score_absolute", "validate_variants",
-          "evaluate_points", "flatten_bfs", "dedup_semantic", "flatten_report", "eval_log", "score_stream"]
+          "evaluate_points", "flatten_bfs", "dedup_semantic", "flatten_report", "eval_log", "score_stream",
+          "pass_first_k_as_written", "stream_window_counts"]
 
 
 def _norm(v):
