@@ -12,59 +12,93 @@ lengths move in bulk, so the work follows the number of distinct lengths.
 
 Tokenising splits texts at ASCII white space and looks words up in a bounded per-worker
 table; the tokenizer sees each new word once.  Its normaliser, pre-tokeniser and merges
-never look across white space, so the ids are those of the whole text.
+never look across white space, so the ids are those of the whole text.  Words that are a
+run of Latin letters and a tail of punctuation are two pre-tokens and are encoded apart.
 
 Defined results: a null text is empty and gives the one separator id.  Repeated rows are
 documents like others.  Every piece lands in exactly one sequence; offsets are gapless.
 """
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variantlake.llm.common import map_batches, rank_in_group, stored, text_words
+from variantlake.llm.common import rank_in_group, stored
+from variantlake.session import ship_package
 
 CAPACITY = 2048
 SEPARATOR = 0
+GROUP_BYTES = 4_000_000
 
 
 class _WordIds(dict):
     """word -> its ids as little-endian unsigned 32-bit bytes; two generations of bounded
     size, so frequent words stay when rare ones are dropped."""
 
-    LIMIT = 400_000
+    LIMIT = 300_000
+    _TAIL = b".,;:!?"
 
     def __init__(self, path: str):
         super().__init__()
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.tokenizer, self.old, self.cores = Tokenizer.from_file(path), {}, {}
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Make all ``words`` present."""
-        if len(self) + len(words) > self.LIMIT:
+        missing = [w for w in words if w not in self]
+        if len(self) + len(missing) > self.LIMIT:
             self.old = dict(self)
             self.clear()
-        fresh = []
-        for w in words:
-            ids = self.old.get(w)
-            if ids is None:
-                fresh.append(w)
-            else:
-                self[w] = ids
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in fresh], add_special_tokens=False)
-        for w, e in zip(fresh, encoded):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+            self.cores.clear()
+            missing = words
+        whole = []
+        for w in missing:
+            if (ids := self.old.get(w)) is None:
+                core = w.rstrip(self._TAIL).lower()
+                if (ids := self.cores.get(core)) is None:
+                    if not _plain(text := core.decode("utf-8", "surrogatepass")):
+                        whole.append(w)
+                        continue
+                    ids = self.cores[core] = self._letters(text.lower())
+                if len(core) < len(w):
+                    ids += self._tail(w[len(core) :])
+            self[w] = ids
+        for w, ids in zip(whole, self._encoded(whole)):
+            self[w] = ids
+
+    def _letters(self, word: str) -> bytes:
+        """A run of letters is one pre-token: only the byte mapping and the merges are left to do."""
+        if not word.isascii():
+            word = self.byte_level.pre_tokenize_str(word)[0][0]
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _tail(self, tail: bytes) -> bytes:
+        ids = self.cores.get(tail)
+        if ids is None:
+            ids = self.cores[tail] = self._encoded([tail])[0]
+        return ids
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+
+def _plain(word: str) -> bool:
+    """Letters of the Latin blocks only, where normalising and lower-casing go letter by letter."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
 
 _TABLES: dict[str, _WordIds] = {}
@@ -82,25 +116,28 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def tokenised(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Ids of each text and the separator, as little-endian unsigned 32-bit bytes."""
+def tokenised(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids with separators, end of each text in them) of groups of consecutive texts."""
     table = _table(path)
-    end = np.array([SEPARATOR], "<u4").tobytes()
-    group: list[list[bytes]] = []
-    count = 0
-    for i, text in enumerate(texts):
-        words = text_words(text)
-        group.append(words)
-        count += len(words)
-        if count >= 200_000 or i == len(texts) - 1:  # bounded groups of texts
-            new = set().union(*group).difference(table)
-            if new:
-                if len(table) + len(new) > table.LIMIT:
-                    new = set().union(*group)
-                table.learn(new)
-            for words in group:
-                yield b"".join(map(table.__getitem__, words)) + end
-            group, count = [], 0
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    size = np.maximum(pc.binary_length(texts).to_numpy(zero_copy_only=False), 1).cumsum()
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + GROUP_BYTES, "right")))
+        words = pc.ascii_split_whitespace(texts.slice(at, end - at))
+        coded = words.flatten().dictionary_encode()
+        distinct = [w.encode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]
+        table.learn(distinct)
+        found = [*map(table.__getitem__, distinct), np.array([SEPARATOR], "<u4").tobytes()]
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # word numbers of the texts with the separator's number after each text
+        per = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        stops = np.cumsum(per)
+        number = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), stops, len(distinct))
+        ends = np.cumsum(length[number])
+        ids = np.frombuffer(b"".join(map(found.__getitem__, number.tolist())), "<u4")
+        yield ids, ends[stops + np.arange(len(per))]
+        at = end
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
@@ -108,19 +145,27 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     """(doc_id, piece, start, length, ids_crc32) of every document's pieces."""
     path = path or tokenizer_path()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, ids in zip(pdf["doc_id"], tokenised(pdf["text"].tolist(), path)):
-                n = len(ids) // 4
-                for k, at in enumerate(range(0, n, capacity)):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    rows.append((doc_id, k, at, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
-
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, doc, piece, start, length, crc = 0, [], [], [], [], []
+            for ids, ends in tokenised(batch.column("text"), path):
+                raw, begin = memoryview(ids).cast("B"), 0
+                for end in ends.tolist():
+                    for k, s in enumerate(range(begin, end, capacity)):
+                        e = min(end, s + capacity)
+                        doc.append(at)
+                        piece.append(k)
+                        start.append(s - begin)
+                        length.append(e - s)
+                        crc.append(zlib.crc32(raw[4 * s : 4 * e]))
+                    begin, at = end, at + 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Lengths:
