@@ -99,14 +99,32 @@ def test_generation_prompts_sample_deterministically(spark):
         assert b[rid] == tuple(chosen)  # reruns pick the same ideas
 
 
-def test_formatted_records_are_bounded(spark):
+def test_a_question_is_one_formatted_record(spark):
     from variantlake.operators.flatten import formatted_questions
 
-    v = spark.createDataFrame([("q", i, f"v{i}", "r", "easier") for i in range(25)],
+    v = spark.createDataFrame([("q", i, f"v{i}", "r", "easier") for i in range(10_001)],
                               "question string, pos int, variant string, reasoning string, difficulty string")
-    recs = formatted_questions(v, max_items=10).collect()
-    assert [len(r.variants) for r in recs] == [10, 10, 5]
-    assert [x.variant for r in recs for x in r.variants] == [f"v{i}" for i in range(25)]
+    recs = formatted_questions(v, order=("pos",)).collect()
+    assert [[x.variant for x in r.variants] for r in recs] == [[f"v{i}" for i in range(10_001)]]
+
+
+def test_groups_of_null_are_numbered_too(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2), (None, 0), ("a", 1)], "g string, v int")
+    assert sorted((str(r.g), r.v, r.idx) for r in group_index(df, ["g"], ["v"], out="idx").collect()) == [
+        ("None", 0, 0), ("None", 1, 1), ("a", 1, 0), ("a", 2, 1)]
+
+
+def test_pass_at_k_says_why_there_is_no_estimate(spark):
+    out = M.pass_at_k(spark.createDataFrame([("q", True), ("q", False)], "q string, correct boolean"), ["q"], ks=[1, 5]).collect()
+    assert {r.k: (r.pass_at_k, r.reason) for r in out} == {1: (0.5, None), 5: (None, "fewer_samples")}
+
+
+def test_variables_are_part_of_the_dedup_key(spark):
+    from variantlake.operators.dedup import add_fingerprint, dedup_semantic
+
+    rows = [("t", 0, "x**2", "x"), ("t", 1, "t**2", "t"), ("t", 2, "t*t", "t")]
+    df = add_fingerprint(spark.createDataFrame(rows, "tree_id string, order_key int, integrand string, var string"))
+    assert sorted(r.order_key for r in dedup_semantic(df).collect()) == [0, 1]
 
 
 def test_dedup_on_problem_keeps_different_bounds(spark):

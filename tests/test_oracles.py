@@ -18,7 +18,10 @@ SAMPLE = ["pass_at_k", "pass_first_k", "phase_compare", "status_metrics", "confu
           "parse_problems", "dedup_exact", "question_index", "limit_per_group", "make_splits", "prompt_records",
           "explode_buckets", "score_rollouts", "score_relative", "score_absolute", "validate_variants",
           "evaluate_points", "flatten_bfs", "dedup_semantic", "flatten_report", "eval_log", "score_stream",
-          "pass_first_k_as_written", "stream_window_counts"]
+          "pass_first_k_as_written", "stream_window_counts", "sample_ideas", "flatten_deep", "dedup_problem", "score_hostile",
+          "verify_solutions", "judge_prompts", "eval_prompts", "roundtrip_trees", "read_trees", "read_raw_questions",
+          "ground_truth_share", "read_test_questions", "formatted_roundtrip", "read_rollouts", "roundtrip_prompts_json",
+          "legacy_report", "question_list", "drop_empty_questions", "parse_dialects", "score_with", "extract_flexible", "score_batch"]
 
 
 def _norm(v):

@@ -1,5 +1,7 @@
 """Shared-folder and partitioning helpers."""
-from variantlake.session import python_tasks, scratch_path, shared_dir, spread
+import pytest
+
+from variantlake.session import scratch_path, shared_dir
 
 
 def test_checkpoint_dir_is_read_from_the_session_and_kept(spark):
@@ -9,16 +11,14 @@ def test_checkpoint_dir_is_read_from_the_session_and_kept(spark):
     assert a.startswith(configured.rstrip("/") + "/tables/") and a != b  # fresh path per use
 
 
-def test_spread_only_when_under_partitioned(spark):
-    small = spark.range(100).coalesce(1)
-    assert spread(small).rdd.getNumPartitions() == python_tasks(spark)
-    wide = spark.range(100000).repartition(python_tasks(spark))
-    assert spread(wide) is wide
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class _Cluster:  # a session whose master is a cluster and whose setting is unset
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
 
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getCheckpointDir = staticmethod(lambda: None)
 
-def test_python_tasks_override(spark):
-    spark.conf.set("spark.variantlake.pythonTasks", "7")
-    try:
-        assert python_tasks(spark) == 7
-    finally:
-        spark.conf.unset("spark.variantlake.pythonTasks")
+    with pytest.raises(RuntimeError):
+        shared_dir(_Cluster)

@@ -3,7 +3,7 @@ import pytest
 
 from variantlake.functions import text as TX
 from variantlake.functions.latex import normalize_latex_py
-from variantlake.functions.parse import classify_py, parse_problems, smart_split
+from variantlake.functions.parse import parse_problems, smart_split
 
 
 def _one(spark, expr_fn, value):
@@ -57,16 +57,37 @@ def test_parse_generations(spark):
     assert [(r.reasoning, r.variant) for r in rows] == [("because", "integrate(x**2, x)")]
 
 
-@pytest.mark.parametrize("call,kind", [
+CALLS = [
     ("integrate(x**2, x)", "INDEFINITE"), ("integrate(sin(x), (x, 0, 3))", "DEFINITE_TUPLE"),
     ("integrate(f(x, y), t, 1, 2)", "DEFINITE_SEPARATE"), ("integrate(x, xy)", "ERROR"),
-    ("foo(x, x)", "ERROR"), ("integrate(x, (x, 0))", "ERROR"), ("integrate x", "ERROR"),
-])
-def test_classify(call, kind):
-    assert classify_py(call)[0] == kind
+    ("foo(x, x)", "ERROR"), ("integrate(x, (x, 0))", "ERROR"), ("integrate x", "ERROR"), (None, "ERROR"), ("", "ERROR"),
+    ("integrate()", "ERROR"), (" integrate (x, x) ", "INDEFINITE"), ("integrate(x, x,)", "INDEFINITE"),
+    ("integrate(x, x, )", "ERROR"), ("integrate(sin(x, x)", "ERROR"), ("integrate(f(a,\nb), ( x , 0 , 3 ))", "DEFINITE_TUPLE"),
+    ("integrate(x, ()", "ERROR"), (")integrate(", "ERROR"),
+]
+
+
+def test_classify(spark):
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(CALLS)], "i int, c string")
+    got = {r.i: r.kind for r in parse_problems(df, "c").collect()}
+    assert [got[i] for i in range(len(CALLS))] == [k for _, k in CALLS]
+
+
+def split_by_characters(text):
+    """The split written out character by character."""
+    parts, depth, current = [], 0, ""
+    for ch in text:
+        if ch == "," and depth == 0:
+            parts.append(current.strip())
+            current = ""
+        else:
+            depth += (ch == "(") - (ch == ")")
+            current += ch
+    return [*parts, current.strip()] if current else parts
 
 
 def test_parse_problems_and_native_split_agree(spark):
+    odd = ["", ",", "a,", "a, ", "(a,b),c", "a),(b,c", "((,),),x", ",,", "f(a", "(a,b"]
     calls = ["integrate(x^2 + C, t)", "integrate(x, (x, -1, 2))", "integrate(f(a, b), x, 0, 10)", "integrate(x, x, 1)"]
     df = spark.createDataFrame([(c,) for c in calls], "c string")
     got = {r.c: (r.kind, r.integrand, r.var, r.lb, r.ub, r.reject_reason) for r in parse_problems(df, "c").collect()}
@@ -74,9 +95,9 @@ def test_parse_problems_and_native_split_agree(spark):
     assert got["integrate(x, (x, -1, 2))"][5] == "bad_bounds"
     assert got["integrate(f(a, b), x, 0, 10)"][3:5] == (0.0, 10.0)
     assert got["integrate(x, x, 1)"][0] == "ERROR"
-    split = df.select(smart_split("c").alias("p")).collect()
-    from variantlake.functions.parse import split_top_level
-    assert [r.p for r in split] == [split_top_level(c) for c in calls]
+    texts = calls + odd
+    split = spark.createDataFrame([(i, c) for i, c in enumerate(texts)], "i int, c string").select("i", smart_split("c").alias("p")).collect()
+    assert {r.i: r.p for r in split} == {i: split_by_characters(c) for i, c in enumerate(texts)}
 
 
 @pytest.mark.parametrize("raw,norm", [

@@ -29,6 +29,10 @@ def _write_tree_files(root):
     open(f"{root}/tree_t3.json", "w").close()
     with open(f"{root}/tree_t4.json", "w") as f:
         json.dump({"no_tree": 1}, f)
+    with open(f"{root}/tree_t5.json", "w") as f:
+        json.dump({"base_question": "integrate(x, x)", "tree": "oops"}, f)
+    with open(f"{root}/q1.json", "w") as f:  # no id in the name
+        json.dump(TREE, f)
 
 
 def test_read_trees_quarantines_and_flattens_bfs_dfs(spark, tmpdir_path):
@@ -36,7 +40,7 @@ def test_read_trees_quarantines_and_flattens_bfs_dfs(spark, tmpdir_path):
     ok, bad = R.read_trees(spark, tmpdir_path)
     # zero-byte files yield no row at all (skipped, as in the original)
     assert sorted((r.tree_id, r.reject_reason) for r in bad.collect()) == [
-        ("t2", "broken_json"), ("t4", "missing_keys")]
+        ("", "no_tree_id"), ("t2", "broken_json"), ("t4", "missing_keys"), ("t5", "wrong_type")]
     bfs = [r.variant for r in flatten_trees(ok, "bfs").orderBy("order_key").collect()]
     assert bfs == ["integrate(3 + x*2, x)", "integrate(x**2, x)", "integrate(x*x, x)",
                    "integrate(sin(x), (x, 0, 3))", "integrate(cos(x), x)", "integrate(exp(x), x)",
@@ -48,7 +52,7 @@ def test_read_trees_quarantines_and_flattens_bfs_dfs(spark, tmpdir_path):
 def test_kept_variants_dedup_base_and_index(spark, tmpdir_path):
     _write_tree_files(tmpdir_path)
     ok, _ = R.read_trees(spark, tmpdir_path)
-    labels = {r.variant: r.reject_reason for r in label_variants(flatten_trees(ok)).collect()}
+    labels = {r.variant: r.reject_reason for r in label_variants(ok).collect()}
     assert labels["integrate(3 + x*2, x)"] == "base_question"
     assert labels["integrate(x*x, x)"] == "duplicate"  # same as x**2, which comes first in BFS
     assert labels["integrate(y*x, x)"] == "numeric"
@@ -58,6 +62,40 @@ def test_kept_variants_dedup_base_and_index(spark, tmpdir_path):
     assert kept_variants(ok).count() == 4
 
 
+def test_trees_of_one_id_in_two_files_stay_apart(spark, tmpdir_path):
+    _write_tree_files(tmpdir_path)
+    os.makedirs(f"{tmpdir_path}/b")
+    with open(f"{tmpdir_path}/b/tree_t1.json", "w") as f:
+        json.dump(TREE, f)
+    kept = kept_variants(R.read_trees(spark, tmpdir_path)[0])
+    assert sorted((r.question_index, r.integrand) for r in kept.collect()) == sorted(
+        [(0, "x**2"), (1, "sin(x)"), (2, "cos(x)"), (3, "exp(x)")] * 2)
+    assert kept.select("file").distinct().count() == 2
+
+
+def test_deep_trees_are_whole(spark):
+    depth = 400
+    node = {"variants": ["leaf"]}
+    for _ in range(depth):
+        node = {"variants": ["integrate(x, x)"], "children": [node]}
+    docs = spark.createDataFrame([("t", json.dumps({"base_question": "integrate(2*x, x)", "tree": [node]}))], "tree_id string, value string")
+    rows = flatten_trees(docs).collect()
+    assert len(rows) == depth + 1 and max(r.depth for r in rows) == depth
+
+
+def test_base_questions_that_fail_are_rejected(spark):
+    from variantlake.operators.prompts import make_splits
+    from variantlake.operators.variants import base_questions
+
+    docs = spark.createDataFrame([(t, json.dumps({"base_question": q, "tree": [{"variants": ["integrate(x, x)"]}]}))
+                                  for t, q in (("a", "integrate(x**2, x)"), ("b", "integrate(x**, x)"), ("c", "what?"))], "tree_id string, value string")
+    base = base_questions(docs)
+    assert {r.tree_id: r.reject_reason for r in base.collect()} == {"a": None, "b": "syntax", "c": "unparsable_call"}
+    splits = make_splits(kept_variants(docs), base, num_eval=2).where("split = 'eval'").collect()
+    assert sorted((r.tree_id, r.question_index, r.reject_reason) for r in splits if r.tree_id == "a") == [("a", 0, None), ("a", 1, None)]
+    assert sorted((r.tree_id, r.reject_reason) for r in splits if r.tree_id != "a") == [("b", "base_not_verifiable"), ("c", "base_not_verifiable")]
+
+
 def test_raw_and_test_question_readers(spark, tmpdir_path):
     q = f"{tmpdir_path}/question_1"
     os.makedirs(q)
@@ -109,13 +147,13 @@ def test_entry_contract(spark):
 def test_sinks_roundtrip(spark, tmpdir_path):
     from variantlake.sources import writers as W
 
-    v = spark.createDataFrame([("q1", 1, "integrate(1, x)", "r", "easier"), ("q1", 0, "integrate(2, x)", "s", "harder"),
-                               ("q2", 0, "integrate(3, x)", "t", "unknown")],
-                              "question string, pos int, variant string, reasoning string, difficulty string")
+    v = spark.createDataFrame([("q1", 1, 0, "integrate(1, x)", "r", "easier"), ("q1", 0, 1, "integrate(4, x)", "u", "harder"),
+                               ("q1", 0, 0, "integrate(2, x)", "s", "harder"), ("q2", 0, 0, "integrate(3, x)", "t", "unknown")],
+                              "question string, bucket_pos int, pos int, variant string, reasoning string, difficulty string")
     W.write_formatted(v, f"{tmpdir_path}/fmt")
     back = R.read_formatted(spark, f"{tmpdir_path}/fmt", lines=True)
     got = {r.question: [x.variant for x in r.variants] for r in back.collect()}
-    assert got == {"q1": ["integrate(2, x)", "integrate(1, x)"], "q2": ["integrate(3, x)"]}
+    assert got == {"q1": ["integrate(2, x)", "integrate(4, x)", "integrate(1, x)"], "q2": ["integrate(3, x)"]}
     with open(f"{tmpdir_path}/array.json", "w") as f:  # the original's top-level array layout
         json.dump([{"question": "q", "variants": [{"variant": "v", "reasoning": "r", "difficulty": "easier"}]}], f)
     assert R.read_formatted(spark, f"{tmpdir_path}/array.json").first().variants[0].variant == "v"
@@ -126,7 +164,7 @@ def test_sinks_roundtrip(spark, tmpdir_path):
     assert spark.read.json(f"{tmpdir_path}/rep/summary").count() == 2
 
 
-def test_parse_dialects_and_v2(spark):
+def test_parse_dialects_and_v2(spark, tmpdir_path):
     from variantlake.functions.parse import parse_problems
     from variantlake.operators.verify import score_batch, validate_syntax
 
@@ -144,7 +182,7 @@ def test_parse_dialects_and_v2(spark):
                               "rollout_id string, response string, judge_response string, ground_truth string, "
                               "response_tokens int, step int").selectExpr(
         "*", "'x' AS var", "CAST('-inf' AS DOUBLE) AS lb", "CAST('inf' AS DOUBLE) AS ub")
-    scored, metrics = score_batch(r)
+    scored, metrics = score_batch(r, f"{tmpdir_path}/scored")
     assert scored.first().reward == 1.0
     assert {m.metric: m.sum for m in metrics.collect()}["CONFUSION_MATRIX/TP"] == 1.0
 
@@ -219,7 +257,7 @@ def test_readme_flow_end_to_end(spark, tmpdir_path):
              40, "<JUDGE_SCORE>1</JUDGE_SCORE>") for q in answers for i in range(4)]
     W.write_generated(spark.createDataFrame(rows, R.ROLLOUTS), f"{tmpdir_path}/rollouts")
     rollouts = R.read_rollouts(spark, f"{tmpdir_path}/rollouts", fmt="json").join(prompts, ["tree_id", "question_index"])
-    scored, metrics = V.score_batch(rollouts, by=["step"])
+    scored, metrics = V.score_batch(rollouts, f"{tmpdir_path}/scored", by=["step"])
     status = {(r.question_index, r.sample_idx): r.formal_status for r in scored.collect()}
     assert status[(0, 0)] == "OK" and status[(1, 0)] == "OK" and status[(2, 0)] == "NO_OK" and status[(3, 2)] == "OK"
     assert status[(0, 1)] == "NO_INP_IN_TAGS"

@@ -29,16 +29,20 @@ def pass_at_k_expr(n: Column, c: Column, k: Column) -> Column:
 
 
 def pass_at_k(df: DataFrame, by: list[str], correct: str | Column = "correct",
-              ks=tuple(K.PASS_AT_K), require_n_ge_k: bool = True) -> DataFrame:
-    """A1: per group and k -> ``n, c, pass_at_k``."""
+              ks=tuple(K.PASS_AT_K)) -> DataFrame:
+    """A1: per group and k -> ``n, c, pass_at_k, reason``.
+
+    A group with fewer samples than k has no estimate: NULL, with the reason
+    ``fewer_samples`` (the original asserts)."""
     ok = F.col(correct) if isinstance(correct, str) else correct
     counts = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(ok, 1).otherwise(0)).cast("long").alias("c")
     )
     out = counts.select(*by, "n", "c", _ks_col(ks).alias("k"))
-    if require_n_ge_k:
-        out = out.where(F.col("n") >= F.col("k"))
-    return out.withColumn("pass_at_k", pass_at_k_expr(F.col("n"), F.col("c"), F.col("k")))
+    few = F.col("n") < F.col("k")
+    return out.withColumns({
+        "pass_at_k": F.when(~few, pass_at_k_expr(F.col("n"), F.col("c"), F.least("n", "k").cast("int"))),
+        "reason": F.when(few, F.lit("fewer_samples"))})
 
 
 def pass_first_k_as_written(df: DataFrame, by: list[str], sample_idx: str = "sample_idx",
@@ -110,36 +114,45 @@ def _long(wide: DataFrame, by: list[str], metrics: list[tuple[str, str, str]]) -
     return wide.selectExpr(*[f"`{b}`" for b in by], f"stack({len(metrics)}, {parts}) as (metric, mean, sum)")
 
 
+def _status_hits(judge, formal):
+    """(metric, value) of every status and of the confusion cells (truth = formal,
+    prediction = judge; other statuses fall in no cell)."""
+    hits = [(f"{prefix}/{st}", F.when(F.col(col) == st, 1).otherwise(0))
+            for prefix, col, domain in (("JUDGE", judge, K.JUDGE_STATUSES), ("FORMAL", formal, K.FORMAL_STATUSES)) for st in domain]
+    cells = {"TP": ("OK", "OK"), "FP": ("NO_OK", "OK"), "TN": ("NO_OK", "NO_OK"), "FN": ("OK", "NO_OK")}
+    return hits, [(f"CONFUSION_MATRIX/{cell}", F.when((F.col(formal) == f) & (F.col(judge) == j), 1).otherwise(0)) for cell, (f, j) in cells.items()]
+
+
+def _mean_sum(scored: DataFrame, by: list[str], values: list) -> DataFrame:
+    """Mean and sum of every (metric, value) per group, as rows, from one aggregation."""
+    aggs = [a for m, v in values for a in (F.avg(v).cast("double").alias(f"m_{m}"), F.sum(v).cast("double").alias(f"s_{m}"))]
+    return _long(scored.groupBy(*by).agg(*aggs), by, [(m, f"m_{m}", f"s_{m}") for m, _ in values])
+
+
 def status_metrics(scored: DataFrame, by=("step",), judge="judge_status", formal="formal_status",
                    reward="formal_result") -> DataFrame:
     """A5 + A8: rate (mean) and count (sum) of every judge and formal status, and the formal reward."""
-    by = list(by)
-    aggs, metrics = [], []
-    for prefix, col, domain in (("JUDGE", judge, K.JUDGE_STATUSES), ("FORMAL", formal, K.FORMAL_STATUSES)):
-        for st in domain:
-            name = f"{prefix}/{st}"
-            hit = F.when(F.col(col) == st, 1).otherwise(0)
-            aggs += [F.avg(hit).cast("double").alias(f"m_{name}"), F.sum(hit).cast("double").alias(f"s_{name}")]
-            metrics.append((name, f"m_{name}", f"s_{name}"))
-    aggs += [F.avg(F.col(reward)).cast("double").alias("m_FORMAL/REWARD"),
-             F.sum(F.col(reward)).cast("double").alias("s_FORMAL/REWARD")]
-    metrics.append(("FORMAL/REWARD", "m_FORMAL/REWARD", "s_FORMAL/REWARD"))
-    return _long(scored.groupBy(*by).agg(*aggs), by, metrics)
+    return _mean_sum(scored, list(by), [*_status_hits(judge, formal)[0], ("FORMAL/REWARD", F.col(reward))])
 
 
 def confusion(scored: DataFrame, by=("step",), judge="judge_status", formal="formal_status") -> DataFrame:
     """truth = formal, prediction = judge; other statuses fall in no cell."""
-    by = list(by)
-    cells = {
-        "TP": ("OK", "OK"), "FP": ("NO_OK", "OK"), "TN": ("NO_OK", "NO_OK"), "FN": ("OK", "NO_OK"),
-    }
-    aggs, metrics = [], []
-    for cell, (f_st, j_st) in cells.items():
-        hit = F.when((F.col(formal) == f_st) & (F.col(judge) == j_st), 1).otherwise(0)
-        name = f"CONFUSION_MATRIX/{cell}"
-        aggs += [F.avg(hit).cast("double").alias(f"m_{name}"), F.sum(hit).cast("double").alias(f"s_{name}")]
-        metrics.append((name, f"m_{name}", f"s_{name}"))
-    return _long(scored.groupBy(*by).agg(*aggs), by, metrics)
+    return _mean_sum(scored, list(by), _status_hits(judge, formal)[1])
+
+
+def batch_metrics(scored: DataFrame, by=("step",), judge="judge_status", formal="formal_status", reward="formal_result",
+                  tokens="response_tokens", judge_text="judge_response") -> DataFrame:
+    """A5-A8 from one aggregation: statuses, reward, confusion cells, and the answer and
+    judge lengths within each status (NULL where it does not occur)."""
+    hits, cells = _status_hits(judge, formal)
+    judge_len = F.coalesce(F.length(F.col(judge_text)), F.lit(0))
+    lengths = []
+    for prefix, col, domain in (("JUDGE", judge, K.JUDGE_STATUSES), ("FORMAL", formal, K.FORMAL_STATUSES)):
+        for st in domain:
+            lengths.append((f"AGENT_LEN/{prefix}/{st}", F.when(F.col(col) == st, F.col(tokens))))
+            if prefix == "JUDGE":
+                lengths.append((f"JUDGE_LEN/{st}", F.when(F.col(col) == st, judge_len)))
+    return _mean_sum(scored, list(by), [*hits, ("FORMAL/REWARD", F.col(reward)), *cells, *[x for x in lengths if tokens in scored.columns]])
 
 
 def length_metrics(scored: DataFrame, by=("step",), judge="judge_status", formal="formal_status",
@@ -196,7 +209,7 @@ def evaluate_rollouts(rollouts: DataFrame, by=("tree_id",), ks=tuple(K.PASS_AT_K
                       response="response", **score_kwargs) -> DataFrame:
     """A2: score the base question's samples formally, count OK, pass@k for each k.
 
-    Groups with fewer samples than k get no row for that k (the original asserts).
+    Groups with fewer samples than k get NULL for that k and a reason (the original asserts).
     """
     from variantlake.functions.text import extract_answer
     from variantlake.operators.verify import score_answers

@@ -91,6 +91,26 @@ def judge_prompt(answer, integrand, var, lb, ub) -> Column:
     return F.when(_c(answer).isNotNull() & (_c(answer) != ""), text)
 
 
+def judge_chats(df: DataFrame, answer="answer", integrand="integrand", var="var", lb="lb", ub="ub",
+                max_len: int = 10000, out="judge_chat") -> DataFrame:
+    """the judge's chat (system and user message) and the F8 gate on the whole chat.
+
+    Rows without an answer get no chat; a chat over ``max_len`` characters gets a
+    ``reject_reason``."""
+    text = judge_prompt(answer, integrand, var, lb, ub)
+    chat = F.when(text.isNotNull(), F.array(
+        F.struct(F.lit("system").alias("role"), F.lit(K.JUDGE_SYSTEM_PROMPT).alias("content")),
+        F.struct(F.lit("user").alias("role"), text.alias("content"))))
+    size = F.length(text) + len(K.JUDGE_SYSTEM_PROMPT)
+    return df.withColumns({out: chat, "reject_reason": F.when(size > max_len, F.lit("too_long"))})
+
+
+def eval_prompts(splits: DataFrame) -> DataFrame:
+    """prompt records of ``make_splits`` rows, train and eval, with their ``split``;
+    rejected base questions give none."""
+    return to_prompts(splits.where(F.col("reject_reason").isNull()))
+
+
 def difficulty_prompt(original, variant) -> Column:
     """ask whether a variant is easier, harder or equivalent."""
     return fill(K.DIFFICULTY_PROMPT, original=original, variant=variant)
@@ -144,35 +164,22 @@ def chunk_plan(df: DataFrame, n="num_variants", chunk_size: int = K.CHUNK_SIZE,
     ).drop("_total", "_chunks")
 
 
-def ideas_table(spark) -> DataFrame:
-    """The fixed transformation ideas as a table (difficulty, idea_pos, idea)."""
-    rows = [(d, i, idea) for d, ideas in K.TRANSFORMATIONS_BY_DIFFICULTY.items() for i, idea in enumerate(ideas)]
-    return spark.createDataFrame(rows, "difficulty string, idea_pos int, idea string")
-
-
 def to_generation_prompts(requests: DataFrame, request="request_id", question="question",
                           difficulty="difficulty", count="count", seed: int = 0) -> DataFrame:
     """per request, 3 or 5 ideas sampled from the difficulty's list, then the prompt.
 
-    The sample is deterministic: ideas ranked by ``xxhash64(request, position, seed)``.
-    The ideas table has a fixed, small size, so it is broadcast.
+    The sample is deterministic: the row's fixed list of ideas is ordered by the md5 of
+    request, position and seed, and its first 3 or 5 are taken.  No join, no shuffle.
     """
-    spark = requests.sparkSession
-    ideas = ideas_table(spark)
-    req = requests.withColumn("_diff_key", F.lower(_c(difficulty)))
-    known = F.broadcast(ideas.select(F.col("difficulty").alias("_diff_key")).distinct())
-    req = req.join(known.withColumn("_known", F.lit(True)), "_diff_key", "left")
-    req = req.withColumn("_diff_key", F.when(F.col("_known"), F.col("_diff_key")).otherwise(F.lit("__default__")))
-    default = spark.createDataFrame([("__default__", 0, K.DEFAULT_TRANSFORMATION)], "difficulty string, idea_pos int, idea string")
-    table = F.broadcast(ideas.unionByName(default).withColumnRenamed("difficulty", "_diff_key"))
-    n_pick = F.when(F.xxhash64(_c(request), F.lit(seed)) % 2 == 0, F.lit(3)).otherwise(F.lit(5))
-    cand = req.withColumn("_n", n_pick).join(table, "_diff_key")
-    cand = cand.withColumn("_h", F.xxhash64(_c(request), F.col("idea_pos"), F.lit(seed)))
-    picked = top_n_per_group(cand, [request], ["_h", "idea_pos"], n=5, out="_rank").where(F.col("_rank") <= F.col("_n"))
-    per_req = picked.groupBy(request).agg(
-        F.array_sort(F.collect_list(F.struct("_rank", "idea"))).alias("_chosen"))
-    per_req = per_req.select(request, F.transform("_chosen", lambda s: s["idea"]).alias("transformations_used"))
-    out = requests.join(per_req, request, "left")
+    key = lambda *parts: F.md5(F.concat_ws("|", _c(request).cast("string"), *parts, F.lit(str(seed))))
+    level = F.lower(_c(difficulty))
+    pools = F.array(F.lit(K.DEFAULT_TRANSFORMATION))
+    for name, ideas in K.TRANSFORMATIONS_BY_DIFFICULTY.items():
+        pools = F.when(level == name, F.array(*[F.lit(i) for i in ideas])).otherwise(pools)
+    ranked = F.array_sort(F.transform(F.col("_pool"), lambda idea, i: F.struct(key(i.cast("string")).alias("h"), idea.alias("idea"))))
+    n_pick = F.when(F.substring(key(F.lit("n")), 1, 1) < "8", 3).otherwise(5)
+    out = requests.withColumn("_pool", F.coalesce(pools, F.array(F.lit(K.DEFAULT_TRANSFORMATION))))
+    out = out.withColumn("transformations_used", F.transform(F.slice(ranked, 1, n_pick), lambda s: s["idea"])).drop("_pool")
     return out.withColumn("generation_prompt", fill(
         K.GENERATION_PROMPT, personas=F.lit(", ".join(K.PERSONAS)), integral=question, count=count,
         difficulty=difficulty, ideas=F.array_join("transformations_used", " and ")))

@@ -42,7 +42,12 @@ def group_index(df: DataFrame, group_cols: list[str], order_cols: list, out: str
     # at most one row per (partition, group): the window below is over tiny groups
     before = Window.partitionBy(*group_cols).orderBy("_gi_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_gi_off", F.coalesce(F.sum("_gi_cnt").over(before), F.lit(0)))
-    joined = ordered.join(stats.drop("_gi_cnt"), on=["_gi_pid", *group_cols], how="inner")
+    # rows of a NULL group are a group like others: match null-safe
+    stats = stats.select(F.col("_gi_pid").alias("_s_pid"), "_gi_first", "_gi_off", *[F.col(c).alias(f"_s_{i}") for i, c in enumerate(group_cols)])
+    same = F.col("_gi_pid") == F.col("_s_pid")
+    for i, c in enumerate(group_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{i}"))
+    joined = ordered.join(stats, same).drop("_s_pid", *[f"_s_{i}" for i in range(len(group_cols))])
     return joined.withColumn(
         out, (F.col("_gi_off") + F.col("_gi_mid") - F.col("_gi_first")).cast("long")
     ).drop("_gi_pid", "_gi_mid", "_gi_first", "_gi_off")

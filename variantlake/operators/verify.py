@@ -1,21 +1,19 @@
 """Validation and scoring as Spark jobs.
 
-One job shape for every numeric check: project the distinct scoring key, evaluate
-it in Arrow batches (``mapInPandas``), join the verdict back on the key.  Identical
-(answer, truth) pairs - common when a prompt is sampled 10-50 times - are scored
-once, and only the narrow key columns ever reach Python.  The join back is an
-equi-join that AQE turns into a broadcast at run time when the verdict table is
-small; when it is not, both sides shuffle on the key and skewed keys are split by
-AQE's skew-join handling.
+Every numeric check is one narrow pass: native expressions extract and clean, one Arrow
+UDF gets the few key columns and returns the verdict next to the row.  Nothing is shuffled
+or joined back, and wide columns never reach Python.  Identical keys - common when a
+prompt is sampled 10-50 times - are answered from a bounded memo of the task, and a
+truth's integrals are computed once per worker.
 
 Probe points are drawn from a generator seeded by the ground truth, so reruns and
-retried tasks agree, and the truth's integrals are computed once per task per truth.
+retried tasks agree.  An answer that cannot be evaluated fails its own row only.
 """
 from __future__ import annotations
 
 import math
-import re
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +25,8 @@ from variantlake import constants as K
 from variantlake.functions import expr as E
 from variantlake.functions import text as TX
 from variantlake.functions.latex import answers_equal
-from variantlake.session import python_tasks, ship_package, spread
+from variantlake.functions.parse import parse_problems
+from variantlake.session import ship_package
 
 # ---------------------------------------------------------------------------
 # per-task caches (bounded)
@@ -86,41 +85,48 @@ POLICIES = {
 
 
 def score_one(answer, truth, var, lb, ub, policy="compat", num_tests=K.COMPAT_NUM_TESTS):
-    """V6/V7 for one key -> (formal_result, formal_status, successes)."""
-    if answer is None or answer == "":
+    """V6/V7 for one key -> (formal_result, formal_status, successes).
+
+    ``answer`` is the cleaned answer: None means no input, an answer that cleaning left
+    empty does not parse.
+    """
+    if answer is None:
         return 0.0, "NO_INP_IN_TAGS", 0
-    if truth is None or var is None or lb is None or ub is None:
-        return 0.0, "ERROR", 0
     pol = POLICIES[policy]
     cand = E.try_compile(answer)
     if cand is None:
         return 0.0, "NO_SYMPY_EXPR", 0
     tr = E.try_compile(truth)
-    if tr is None or (tr.free - {var}):
+    if tr is None or var is None or lb is None or ub is None or (tr.free - {var}):
         return 0.0, "ERROR", 0  # the ground truth itself is broken
-    if math.isfinite(lb) and math.isfinite(ub):
-        gt = _truth_definite(tr, truth, var, lb, ub)
-        if not np.isfinite(gt):
-            return 0.0, "ERROR", 0
-        try:
-            val = cand(None, np.zeros(1))[0]  # free symbols (e.g. x) -> not a number
-        except E.ExprError:
-            return 0.0, "ERROR_EVAL_EXPR", 0
-        # an infinite or NaN value is still a number: it simply is not close
-        ok = bool(np.isfinite(val)) and bool(E.isclose(val, gt, pol["atol"], pol["rtol"]))
-        return (1.0, "OK", 1) if ok else (0.0, "NO_OK", 1)
-    cvar = pol["cand_var"] or var
+    try:
+        if math.isfinite(lb) and math.isfinite(ub):
+            return _score_definite(cand, tr, truth, var, lb, ub, pol)
+        return _score_indefinite(cand, tr, truth, var, pol, num_tests)
+    except E.ExprError:
+        return 0.0, "ERROR", 0
+
+
+def _score_definite(cand, tr, truth, var, lb, ub, pol):
+    gt = _truth_definite(tr, truth, var, lb, ub)
+    if not np.isfinite(gt):
+        return 0.0, "ERROR", 0
+    try:
+        val = cand(None, np.zeros(1))[0]  # free symbols (e.g. x) -> not a number
+    except E.ExprError:
+        return 0.0, "ERROR_EVAL_EXPR", 0
+    # an infinite or NaN value is still a number: it simply is not close
+    ok = bool(np.isfinite(val)) and bool(E.isclose(val, gt, pol["atol"], pol["rtol"]))
+    return (1.0, "OK", 1) if ok else (0.0, "NO_OK", 1)
+
+
+def _score_indefinite(cand, tr, truth, var, pol, num_tests):
     positive = cand.has_log() or tr.has_log()
     if pol["sqrt_domain"]:
         positive = positive or "sqrt" in cand.calls or "sqrt" in tr.calls
     lo, hi = K.POSITIVE_DOMAIN if positive else K.FULL_DOMAIN
     a, b, gt = _truth_integrals(tr, truth, var, lo, hi, num_tests)
-    try:
-        vals = cand(cvar, np.concatenate([a, b]))
-        diff = vals[num_tests:] - vals[:num_tests]
-    except E.ExprError:
-        diff = np.full(num_tests, np.nan + 0j)
-    usable = np.isfinite(diff) & np.isfinite(gt)
+    usable, diff = _probed(cand, pol["cand_var"] or var, a, b, gt)
     mismatch = usable & ~E.isclose(diff, gt, pol["atol"], pol["rtol"])
     n_ok = int(usable.sum())
     if mismatch.any() or n_ok < pol["min_ok"]:
@@ -128,6 +134,16 @@ def score_one(answer, truth, var, lb, ub, policy="compat", num_tests=K.COMPAT_NU
     return 1.0, "OK", n_ok
 
 
+def _probed(cand, var, a, b, gt):
+    """(usable, differences): the candidate's change over each probe interval."""
+    try:
+        vals = cand(var, np.concatenate([a, b]))
+        diff = vals[len(a):] - vals[: len(a)]
+    except E.ExprError:
+        diff = np.full(len(a), np.nan + 0j)
+    return np.isfinite(diff) & np.isfinite(gt), diff
+
+
 def _is_real(z) -> bool:
     return bool(np.isfinite(z)) and abs(z.imag) <= 1e-9 * max(1.0, abs(z.real))
 
@@ -138,84 +154,52 @@ def _relative_close(c, g, tol) -> bool:
     return abs((c.real - g.real) / g.real) <= tol
 
 
-_TUPLE_BOUNDS = re.compile(r",\s*\(x,\s*([^,]+),\s*([^)]+)\)")
+def _number(text):
+    """Value of a closed expression."""
+    return E.compile_expr(text)(None, np.zeros(1))[0]
 
 
-def score_relative_one(candidate, truth_proc, seed_key, tol=K.COMPAT_TOL,
+def score_relative_one(candidate, integrand, lb_text, ub_text, positive, seed_key, tol=K.COMPAT_TOL,
                        num_tests=K.RELATIVE_NUM_TESTS, format_score=K.RELATIVE_FORMAT_SCORE):
-    """V8 (legacy): relative tolerance, real values only; exceptions -> ERROR.
+    """V8 (legacy): relative tolerance, real values only; whatever fails -> ERROR.
 
-    ``candidate`` and ``truth_proc`` are already extracted and cleaned (legacy dialect).
+    All inputs come parsed: the cleaned candidate, the truth's integrand, its bounds as
+    texts (None when indefinite) and whether probes stay positive.
     """
-    if candidate is None or truth_proc is None:
+    if candidate is None or integrand is None:
         return 0.0, "NO_INP_IN_TAGS"
+    miss, hit = (format_score, "NO_OK"), (1.0 + format_score, "OK")
     try:
-        cand = E.compile_expr(candidate)
-        m = _TUPLE_BOUNDS.search(truth_proc)
-        if m:
-            lo = E.compile_expr(m.group(1))(None, np.zeros(1))[0]
-            hi = E.compile_expr(m.group(2))(None, np.zeros(1))[0]
-            integrand = truth_proc.replace("integrate(", "").split(",", 1)[0]
-            tr = E.compile_expr(integrand)
+        cand, tr = E.compile_expr(candidate), E.compile_expr(integrand)
+        if lb_text is not None:
+            lo, hi = _number(lb_text), _number(ub_text)
             if not (_is_real(lo) and _is_real(hi)):
-                raise E.ExprError("bounds")
-            gt = E.integrate(tr, "x", np.array([lo.real]), np.array([hi.real]))[0]
-            try:
-                val = cand(None, np.zeros(1))[0]
-            except E.ExprError:
-                return format_score, "NO_OK"
-            return (1.0 + format_score, "OK") if _relative_close(val, gt, tol) else (format_score, "NO_OK")
-        integrand = truth_proc.replace("integrate(", "").split(",")[0]
-        tr = E.compile_expr(integrand)
-        positive = any(fn in truth_proc or fn in candidate for fn in ("sqrt(", "log("))
-        lo, hi = K.POSITIVE_DOMAIN if positive else K.FULL_DOMAIN
-        u = E.seeded_uniform(seed_key, num_tests)
-        a = lo + (hi - lo) * u
-        b = a + K.PROBE_WIDTH
+                return 0.0, "ERROR"
+            gt = E.integrate(tr, "x", lo.real, hi.real)[0]
+            return hit if not cand.free and _relative_close(_number(candidate), gt, tol) else miss
+        a, b = _probe_intervals(seed_key, "", *(K.POSITIVE_DOMAIN if positive else K.FULL_DOMAIN), num_tests)
         gt = E.integrate(tr, "x", a, b)
-        try:
-            vals = cand("x", np.concatenate([a, b]))
-            diff = vals[num_tests:] - vals[:num_tests]
-        except E.ExprError:
-            diff = np.full(num_tests, np.nan + 0j)
-        successes = 0
-        for d, g in zip(diff, gt):
-            if not (np.isfinite(d) and np.isfinite(g)):
-                continue  # the original skips probes that raise
-            if not _relative_close(d, g, tol):
-                return format_score, "NO_OK"
-            successes += 1
-        return (1.0 + format_score, "OK") if successes > 0 else (format_score, "NO_OK")
+        usable, diff = _probed(cand, "x", a, b, gt)  # probes that fail are skipped
+        close = [_relative_close(d, g, tol) for d, g in zip(diff[usable], gt[usable])]
+        return hit if close and all(close) else miss
     except E.ExprError:
         return 0.0, "ERROR"
 
 
-def score_absolute_one(candidate, truth_proc, seed_key, tol=K.COMPAT_TOL, num_tests=K.ABSOLUTE_NUM_TESTS):
-    """V9 (legacy): independent a, b in [-10, 10], absolute tolerance -> bool."""
-    if not candidate or truth_proc is None:
-        return False
-    integrand = truth_proc.replace("integrate(", "").split(",")[0]
+def score_absolute_one(candidate, integrand, seed_key, tol=K.COMPAT_TOL, num_tests=K.ABSOLUTE_NUM_TESTS):
+    """V9 (legacy): independent interval ends in [-10, 10], absolute tolerance -> bool."""
     cand, tr = E.try_compile(candidate), E.try_compile(integrand)
     if cand is None or tr is None:
         return False
-    u = E.seeded_uniform(seed_key, 2 * num_tests)
     lo, hi = K.FULL_DOMAIN
-    a = lo + (hi - lo) * u[:num_tests]
-    b = lo + (hi - lo) * u[num_tests:]
-    keep = np.abs(b - a) >= K.ABSOLUTE_MIN_GAP
-    a, b = a[keep], b[keep]
-    if len(a) == 0:
-        return False
-    gt = E.integrate(tr, "x", a, b)
+    a, b = (lo + (hi - lo) * E.seeded_uniform(seed_key, 2 * num_tests)).reshape(2, num_tests)
+    wide = np.abs(b - a) >= K.ABSOLUTE_MIN_GAP
     try:
-        vals = cand("x", np.concatenate([a, b]))
-        diff = vals[len(a):] - vals[: len(a)]
+        gt = E.integrate(tr, "x", a[wide], b[wide])
     except E.ExprError:
         return False
-    usable = np.isfinite(diff) & np.isfinite(gt)
-    with np.errstate(all="ignore"):
-        bad = usable & (np.abs(diff - gt) > tol)
-    return bool(usable.any() and not bad.any())
+    usable, diff = _probed(cand, "x", a[wide], b[wide], gt)
+    return bool(usable.any() and (np.abs(diff - gt)[usable] <= tol).all())
 
 
 def validate_one(integrand, var, lb, ub):
@@ -240,135 +224,83 @@ def validate_one(integrand, var, lb, ub):
 # Spark jobs
 # ---------------------------------------------------------------------------
 
-_KEY = ["_answer", "_truth", "_var", "_lb", "_ub"]
-_SCORED = T.StructType(
-    [T.StructField("_answer", T.StringType()), T.StructField("_truth", T.StringType()),
-     T.StructField("_var", T.StringType()), T.StructField("_lb", T.DoubleType()),
-     T.StructField("_ub", T.DoubleType()), T.StructField("_result", T.DoubleType()),
-     T.StructField("_status", T.StringType()), T.StructField("_successes", T.IntegerType())]
-)
+def _c(col) -> Column:
+    return F.col(col) if isinstance(col, str) else col
+
 
+def _verdicts(df: DataFrame, fn, args: dict, out_fields: list) -> DataFrame:
+    """``df`` with the struct column ``_verdict`` = ``fn(*args)``, row by row in Arrow batches.
 
-def _score_batches(policy):
-    def run(batches):
+    Only the columns ``args`` (name -> Column) travel to Python; missing values arrive as
+    None, and equal arguments are computed once per task (bounded memo).  The UDF is
+    marked nondeterministic so that no filter or projection makes Spark run it twice.
+    """
+    ship_package(df.sparkSession)
+    names = [f.name for f in out_fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = _LRU(65536)
         for pdf in batches:
-            out = [score_one(a, t, v, lb, ub, policy) if raw else (0.0, "NO_INP_IN_TAGS", 0)
-                   for raw, a, t, v, lb, ub in zip(pdf["_answer"], pdf["_clean"], pdf["_truth"], pdf["_var"],
-                                                   pdf["_lb"], pdf["_ub"])]
-            res = pd.DataFrame(out, columns=["_result", "_status", "_successes"], index=pdf.index)
-            yield pd.concat([pdf[_KEY], res], axis=1)
-    return run
+            columns = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in pdf]
+            rows = [memo.get_or(key, lambda key=key: fn(*key)) for key in zip(*columns)]
+            # nullable object columns: a NULL must not turn 64-bit hashes into floats
+            yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
 
+    udf = F.pandas_udf(run, T.StructType(out_fields)).asNondeterministic()
+    return df.withColumn("_verdict", udf(F.struct(*[c.alias(n) for n, c in args.items()])))
 
-def _c(col) -> Column:
-    return F.col(col) if isinstance(col, str) else col
+
+def _take(df: DataFrame, columns: dict, *drop: str) -> DataFrame:
+    return df.withColumns(columns).drop("_verdict", *drop)
+
+
+_FORMAL = [T.StructField("result", T.DoubleType()), T.StructField("status", T.StringType()),
+           T.StructField("successes", T.IntegerType())]
 
 
 def score_answers(df: DataFrame, answer="answer", truth="ground_truth", var="var", lb="lb", ub="ub",
                   policy: str = "compat", prefix: str = "formal_", dialect: str = "current") -> DataFrame:
     """V6/V7: add ``{prefix}result``, ``{prefix}status``, ``{prefix}successes``.
 
-    ``answer`` is an extracted answer (see ``extract_answer``).  The distinct key is
-    the raw answer; cleaning runs on the distinct keys only, so a table sampled
-    50 times per prompt cleans each answer once.  Definite when both bounds are
-    finite.  An answer that is NULL or empty before cleaning is NO_INP_IN_TAGS;
-    one that cleans to nothing fails to parse (NO_SYMPY_EXPR), as in the original.
+    ``answer`` is an extracted answer (see ``extract_answer``).  Definite when both bounds
+    are finite.  An answer that is NULL or empty before cleaning is NO_INP_IN_TAGS; one
+    that cleans to nothing fails to parse (NO_SYMPY_EXPR), as in the original.
     ``dialect="precise"`` cleans ``e^T`` as ``exp(T)`` instead of the original rules.
     """
-    ship_package(df.sparkSession)
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}")
-    keyed = df.withColumns({
-        "_answer": _c(answer),
-        "_truth": _c(truth), "_var": _c(var),
-        "_lb": _c(lb).cast("double"), "_ub": _c(ub).cast("double"),
-    })
-    # no filter before the distinct: a predicate on these columns would be pushed
-    # below staged projections and inline them; NULL keys are cheap in Python
-    keys = keyed.select(*_KEY).distinct().withColumn("_clean", TX.clean_expr(F.col("_answer"), dialect))
-    verdicts = keys.repartition(python_tasks(df.sparkSession)).mapInPandas(_score_batches(policy), _SCORED)
-    joined = keyed.join(verdicts, on=[keyed[k].eqNullSafe(verdicts[k]) for k in _KEY], how="left")
-    joined = joined.select(keyed["*"], verdicts["_result"], verdicts["_status"], verdicts["_successes"])
-    no_input = keyed["_answer"].isNull() | (keyed["_answer"] == "")
-    return joined.withColumns({
-        f"{prefix}result": F.when(no_input, F.lit(0.0)).otherwise(F.col("_result")),
-        f"{prefix}status": F.when(no_input, F.lit("NO_INP_IN_TAGS")).otherwise(F.coalesce(F.col("_status"), F.lit("ERROR"))),
-        f"{prefix}successes": F.when(no_input, F.lit(0)).otherwise(F.col("_successes")),
-    }).drop(*_KEY, "_result", "_status", "_successes")
-
-
-_PANDAS_DTYPES = {T.LongType: "Int64", T.IntegerType: "Int32", T.BooleanType: "boolean",
-                  T.DoubleType: "float64", T.StringType: object}
-
-
-def _distinct_apply(df: DataFrame, key_cols: dict, fn, out_fields: list, derived: dict | None = None,
-                    args: list | None = None):
-    """Generic: distinct key projection -> (derived columns) -> mapInPandas(fn) -> join back.
-
-    ``derived`` expressions are computed on the distinct keys only (e.g. cleaning);
-    ``fn`` receives the columns named in ``args`` (default: the keys).  No filter is
-    applied before the distinct: it would be pushed below staged projections and
-    inline them, so row functions return defaults for NULL keys instead.
-    """
-    ship_package(df.sparkSession)
-    keyed = df.withColumns(key_cols)
-    names = list(key_cols)
-    keys = keyed.select(*names).distinct()
-    if derived:
-        keys = keys.withColumns(derived)
-    args = args or names
-    schema = T.StructType([keys.schema[n] for n in names] + out_fields)
-    out_names = [f.name for f in out_fields]
-    dtypes = [_PANDAS_DTYPES.get(type(f.dataType), object) for f in out_fields]
-
-    def run(batches):
-        for pdf in batches:
-            rows = [fn(*vals) for vals in zip(*(pdf[n] for n in args))]
-            rows = [r if isinstance(r, tuple) else (r,) for r in rows]
-            # explicit nullable dtypes: a NULL must not turn 64-bit hashes into floats
-            res = pd.DataFrame({o: pd.Series([r[i] for r in rows], dtype=d, index=pdf.index)
-                                for i, (o, d) in enumerate(zip(out_names, dtypes))})
-            yield pd.concat([pdf[names], res], axis=1)
-
-    verdicts = keys.repartition(python_tasks(df.sparkSession)).mapInPandas(run, schema)
-    joined = keyed.join(verdicts, on=[keyed[n].eqNullSafe(verdicts[n]) for n in names], how="left")
-    return joined.select(keyed["*"], *[verdicts[o] for o in out_names]).drop(*names)
+    raw = _c(answer)
+    clean = F.when(raw.isNull() | (raw == ""), F.lit(None)).otherwise(TX.clean_expr(raw, dialect))
+    out = _verdicts(df, lambda a, t, v, lo, hi: score_one(a, t, v, lo, hi, policy),
+                    {"a": clean, "t": _c(truth), "v": _c(var), "lo": _c(lb).cast("double"), "hi": _c(ub).cast("double")}, _FORMAL)
+    return _take(out, {f"{prefix}{f.name}": F.col(f"_verdict.{f.name}") for f in _FORMAL})
 
 
 def score_relative(df: DataFrame, response="response", truth="ground_truth", prefix="formal_") -> DataFrame:
     """V8: legacy relative-tolerance scoring of a raw response against ``integrate(...)``."""
-    cand = TX.extract_answer(_c(response))
-    out = _distinct_apply(
-        spread(df).withColumn("_rraw", cand), {"_rkey": F.col("_rraw"), "_rseed": _c(truth)},
-        lambda c, t, s: score_relative_one(c, t, s) if c else (0.0, "NO_INP_IN_TAGS"),
-        [T.StructField("_res", T.DoubleType()), T.StructField("_st", T.StringType())],
-        derived={"_rcand": TX.clean_expr(F.col("_rkey"), "legacy"),
-                 "_rtruth": TX.clean_expr(F.col("_rseed"), "legacy")},
-        args=["_rcand", "_rtruth", "_rseed"],
-    )
-    no_sol = _c(response).isNull() | (_c(response) == "") | _c(truth).isNull() | (_c(truth) == "")
-    no_inp = F.col("_rraw").isNull() | (F.col("_rraw") == "")
-    return out.withColumns({
-        f"{prefix}result": F.when(no_sol | no_inp, F.lit(0.0)).otherwise(F.col("_res")),
-        f"{prefix}status": F.when(no_sol, F.lit("NO_SOL_OR_NO_GT")).when(no_inp, F.lit("NO_INP_IN_TAGS"))
-        .otherwise(F.col("_st")),
-    }).drop("_res", "_st", "_rraw")
+    staged = df.withColumns({"_raw": TX.extract_answer(_c(response)), "_truth": TX.clean_expr(_c(truth), "legacy"), "_seed": _c(truth)})
+    staged = parse_problems(staged, "_truth", dialect="tuple", prefix="_t_").withColumn("_cand", TX.clean_expr(F.col("_raw"), "legacy"))
+    positive = F.greatest(*[F.contains(c, F.lit(f)) for c in (F.col("_truth"), F.col("_cand")) for f in ("sqrt(", "log(")])
+    out = _verdicts(staged, score_relative_one,
+                    {"c": F.col("_cand"), "i": F.col("_t_integrand"), "lo": F.col("_t_lb_text"), "hi": F.col("_t_ub_text"), "p": positive, "s": F.col("_seed")},
+                    [T.StructField("result", T.DoubleType()), T.StructField("status", T.StringType())])
+    no_sol = _c(response).isNull() | (_c(response) == "") | F.col("_seed").isNull() | (F.col("_seed") == "")
+    no_inp = F.col("_raw").isNull() | (F.col("_raw") == "")
+    return _take(out, {
+        f"{prefix}result": F.when(no_sol | no_inp, F.lit(0.0)).otherwise(F.col("_verdict.result")),
+        f"{prefix}status": F.when(no_sol, F.lit("NO_SOL_OR_NO_GT")).when(no_inp, F.lit("NO_INP_IN_TAGS")).otherwise(F.col("_verdict.status")),
+    }, *[c for c in staged.columns if c not in df.columns])
 
 
 def score_absolute(df: DataFrame, response="response", truth="ground_truth", out="correct") -> DataFrame:
     """V9: legacy boxed-answer check with absolute tolerance -> boolean ``out``."""
     boxed = TX.extract_boxed(_c(response))
-    boxed = F.when(TX.contains_word(boxed, "integrate"), F.lit(None)).otherwise(boxed)
-    res = _distinct_apply(
-        spread(df), {"_abox": boxed, "_aseed": _c(truth)},
-        lambda c, t, s: score_absolute_one(c, t, s),
-        [T.StructField("_ok", T.BooleanType())],
-        derived={"_acand": F.when(F.col("_abox").isNull() | (F.col("_abox") == ""), F.lit(None))
-                 .otherwise(TX.clean_expr(F.col("_abox"), "legacy_boxed")),
-                 "_atruth": TX.clean_expr(F.col("_aseed"), "legacy_boxed")},
-        args=["_acand", "_atruth", "_aseed"],
-    )
-    return res.withColumn(out, F.coalesce(F.col("_ok"), F.lit(False))).drop("_ok")
+    staged = df.withColumns({"_box": boxed, "_truth": TX.clean_expr(_c(truth), "legacy_boxed"), "_seed": _c(truth)})
+    staged = parse_problems(staged, "_truth", dialect="tuple", prefix="_t_")
+    cand = F.when((F.col("_box") != "") & ~TX.contains_word(F.col("_box"), "integrate"), TX.clean_expr(F.col("_box"), "legacy_boxed"))
+    res = _verdicts(staged, lambda c, i, s: (score_absolute_one(c, i, s),), {"c": cand, "i": F.col("_t_integrand"), "s": F.col("_seed")},
+                    [T.StructField("ok", T.BooleanType())])
+    return _take(res, {out: F.coalesce(F.col("_verdict.ok"), F.lit(False))}, *[c for c in staged.columns if c not in df.columns])
 
 
 def score_exact(df: DataFrame, response="response", truth="ground_truth", out="score") -> DataFrame:
@@ -391,33 +323,43 @@ def validate_and_fingerprint_one(integrand, var, lb, ub):
 
 def validate(df: DataFrame, integrand="integrand", var="var", lb="lb", ub="ub",
              out="valid", reason="invalid_reason", fingerprint: str | None = None) -> DataFrame:
-    """V1-V5: syntax (whitelisted parse) then a finite integral over the bounds or domain."""
-    keyed_cols = {"_vi": _c(integrand), "_vv": _c(var), "_vlb": _c(lb).cast("double"), "_vub": _c(ub).cast("double")}
-    fields = [T.StructField("_valid", T.BooleanType()), T.StructField("_why", T.StringType())]
-    fn = validate_one
+    """V1-V5: the integrand parses and its integral over the bounds or domain is finite;
+    with ``fingerprint`` that column is added from the same evaluation."""
+    fields = [T.StructField("valid", T.BooleanType()), T.StructField("why", T.StringType()), T.StructField("fp", T.LongType())]
+    fn = validate_and_fingerprint_one if fingerprint else lambda *key: (*validate_one(*key), None)
+    res = _verdicts(df, fn, {"i": _c(integrand), "v": _c(var), "lo": _c(lb).cast("double"), "hi": _c(ub).cast("double")}, fields)
+    columns = {out: F.col("_verdict.valid"), reason: F.col("_verdict.why")}
     if fingerprint:
-        fields.append(T.StructField(fingerprint, T.LongType()))
-        fn = validate_and_fingerprint_one
-    res = _distinct_apply(df, keyed_cols, fn, fields)
-    return res.withColumns({
-        out: F.coalesce(F.col("_valid"), F.lit(False)),
-        reason: F.when(F.col("_valid").isNull(), F.lit("unparsed")).otherwise(F.col("_why")),
-    }).drop("_valid", "_why")
+        columns[fingerprint] = F.col("_verdict.fp")
+    return _take(res, columns)
 
 
 def verify_solutions(df: DataFrame, question="question", solution="ground_truth_solution",
                      policy="compat", prefix="check_") -> DataFrame:
     """Numeric check that a supplied solution is an antiderivative of the question."""
-    from variantlake.functions.parse import parse_problems
-
-    staged = parse_problems(df, question if isinstance(question, str) else "_q_text", prefix="_q_") \
-        if isinstance(question, str) else parse_problems(df.withColumn("_q_text", question), "_q_text", prefix="_q_")
+    staged = parse_problems(df.withColumn("_q_text", _c(question)), "_q_text", prefix="_q_")
     out = score_answers(staged, answer=_c(solution), truth="_q_integrand", var="_q_var",
                         lb=F.coalesce("_q_lb", F.lit(-math.inf)), ub=F.coalesce("_q_ub", F.lit(math.inf)),
                         policy=policy, prefix=prefix)
     return out.drop(*[c for c in out.columns if c.startswith("_q_")])
 
 
+def points_one(text, var, candidates, n, tol):
+    """Up to ``n`` (x, value) of the candidates, x rounded to 3 places, where the value is real."""
+    comp = E.try_compile(text)
+    if comp is None:
+        return []
+    try:
+        vals = comp(var, candidates)
+    except E.ExprError:
+        return []
+    found: dict = {}
+    for x, v in zip(np.round(candidates, 3).tolist(), vals):
+        if len(found) < n and np.isfinite(v) and abs(v.imag) < tol:
+            found.setdefault(x, float(v.real))
+    return list(found.items())
+
+
 def evaluate_points(df: DataFrame, solution="solution", var="x", n: int = 3, points=None,
                     lower: float = -10.0, upper: float = 10.0, tol: float = 1e-6,
                     keep: tuple = ()) -> DataFrame:
@@ -426,43 +368,18 @@ def evaluate_points(df: DataFrame, solution="solution", var="x", n: int = 3, poi
     With ``points`` the candidates are those fixed values (in order); otherwise up to
     ``10 n`` seeded draws in ``[lower, upper]``.  Keys are rounded to 3 places.
     """
-    ship_package(df.sparkSession)
     fixed = None if points is None else np.asarray(points, dtype=np.float64)
-    sol_col = _c(solution)
-    src = df.select(*keep, sol_col.alias("_sol")).where(F.col("_sol").isNotNull())
-    keys = src.select("_sol").distinct()
-    schema = T.StructType([T.StructField("_sol", T.StringType()), T.StructField("point_idx", T.IntegerType()),
-                           T.StructField("x", T.DoubleType()), T.StructField("value", T.DoubleType())])
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for s in pdf["_sol"]:
-                comp = E.try_compile(s.strip())
-                if comp is None:
-                    continue
-                cand = fixed if fixed is not None else lower + (upper - lower) * E.seeded_uniform(s, 10 * n)
-                try:
-                    vals = comp(var, cand)
-                except E.ExprError:
-                    continue
-                real = np.isfinite(vals) & (np.abs(vals.imag) < tol)
-                seen, k = set(), 0
-                for xv, v, ok in zip(cand, vals, real):
-                    if not ok:
-                        continue
-                    key = round(float(xv), 3)
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    rows.append((s, k, key, float(v.real)))
-                    k += 1
-                    if k >= n:
-                        break
-            yield pd.DataFrame(rows, columns=["_sol", "point_idx", "x", "value"])
-
-    pts = keys.repartition(python_tasks(df.sparkSession)).mapInPandas(run, schema)
-    return src.join(pts, "_sol").withColumnRenamed("_sol", "solution")
+    def found(text):
+        draws = fixed if fixed is not None else lower + (upper - lower) * E.seeded_uniform(text or "", 10 * n)
+        pairs = points_one(text, var, draws, n, tol)
+        return [p[0] for p in pairs], [p[1] for p in pairs]
+
+    src = df.select(*keep, _c(solution).alias("solution"))
+    numbers = T.ArrayType(T.DoubleType())
+    out = _verdicts(src, found, {"t": F.col("solution")}, [T.StructField("xs", numbers), T.StructField("values", numbers)])
+    return out.select(*keep, "solution", F.posexplode(F.arrays_zip("_verdict.xs", "_verdict.values")).alias("point_idx", "_p")).select(
+        *keep, "solution", "point_idx", F.col("_p.xs").alias("x"), F.col("_p.values").alias("value"))
 
 
 def score_rollouts(rollouts: DataFrame, response="response", judge="judge_response", truth="ground_truth",
@@ -471,7 +388,7 @@ def score_rollouts(rollouts: DataFrame, response="response", judge="judge_respon
 
     An empty answer forces the judge to ``(0, NO_INP_IN_TAGS)``.
     """
-    with_ans = spread(rollouts).withColumn("answer", TX.extract_answer(_c(response), method))
+    with_ans = rollouts.withColumn("answer", TX.extract_answer(_c(response), method))
     scored = score_answers(with_ans, answer="answer", truth=truth, var=var, lb=lb, ub=ub, policy=policy)
     verdict = TX.parse_judge(_c(judge), method)
     empty = F.col("answer").isNull() | (F.col("answer") == "")
@@ -503,26 +420,29 @@ def syntax_probe_one(text, probe: float = 10.0) -> bool:
 
 def validate_syntax(df: DataFrame, col="solution", out="formatting_ok", probe: float = 10.0) -> DataFrame:
     """V2: legacy formatting check of a solution text (legacy cleaning, probe at x=10)."""
-    res = _distinct_apply(df, {"_sxraw": _c(col)}, lambda t: syntax_probe_one(t, probe),
-                          [T.StructField("_ok", T.BooleanType())],
-                          derived={"_sx": TX.clean_expr(F.col("_sxraw"), "legacy")}, args=["_sx"])
-    return res.withColumn(out, F.coalesce(F.col("_ok"), F.lit(False))).drop("_ok")
+    res = _verdicts(df, lambda t: (syntax_probe_one(t, probe),), {"t": TX.clean_expr(_c(col), "legacy")}, [T.StructField("ok", T.BooleanType())])
+    return _take(res, {out: F.coalesce(F.col("_verdict.ok"), F.lit(False))})
 
 
 def score_with(df: DataFrame, fn, keys: dict, out_fields: list) -> DataFrame:
     """Plug in a custom row scorer.
 
     ``keys`` maps key names to columns; ``fn(*key_values)`` returns a tuple matching
-    ``out_fields`` (a list of StructFields).  It runs once per distinct key in Arrow
-    batches and the verdicts are joined back, like the built-in policies.
+    ``out_fields`` (a list of StructFields).  It runs in Arrow batches, once per distinct
+    key of a task, like the built-in policies.
     """
-    return _distinct_apply(df, keys, fn, out_fields)
+    res = _verdicts(df, fn, {n: _c(c) for n, c in keys.items()}, out_fields)
+    return _take(res, {f.name: F.col(f"_verdict.{f.name}") for f in out_fields})
+
 
+def score_batch(rollouts: DataFrame, path: str, by=("step",), **kwargs):
+    """The dual return of the original reward call - (scored rows, metrics).
 
-def score_batch(rollouts: DataFrame, by=("step",), **kwargs):
-    """The dual return of the original reward call - (scored rows, per-step metrics)."""
-    from variantlake.operators.metrics import confusion, status_metrics
+    The rows are scored once and written to ``path``; the metrics and whoever reads the
+    rows use the written table.
+    """
+    from variantlake.operators.metrics import batch_metrics
 
-    scored = assign_reward(score_rollouts(rollouts, **kwargs))
-    metrics = status_metrics(scored, by=list(by)).unionByName(confusion(scored, by=list(by)))
-    return scored, metrics
+    assign_reward(score_rollouts(rollouts, **kwargs)).write.mode("overwrite").parquet(path)
+    scored = rollouts.sparkSession.read.parquet(path)
+    return scored, batch_metrics(scored, by=list(by))

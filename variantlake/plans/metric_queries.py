@@ -18,16 +18,17 @@ WITH g AS (
   FROM lineitem GROUP BY l_orderkey
 ), e AS (SELECT question, n, c, unnest([1, 2, 5]) AS k FROM g)
 SELECT question, n, c, k,
-       round(CASE WHEN n - c < k THEN 1.0
+       round(CASE WHEN n < k THEN NULL
+                  WHEN n - c < k THEN 1.0
                   WHEN c = 0 THEN 0.0
                   ELSE 1.0 - list_aggregate(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - k / i), 'product')
-             END, 9) AS pass_at_k
-FROM e WHERE n >= k
+             END, 9) AS pass_at_k, CASE WHEN n < k THEN 'fewer_samples' END AS reason
+FROM e
 """)
 def q_pass_at_k(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("question"), "l_returnflag")
     out = M.pass_at_k(li, ["question"], F.col("l_returnflag") == "R", ks=KS)
-    return rounded(out.select("question", "n", "c", "k", "pass_at_k"))
+    return rounded(out.select("question", "n", "c", "k", "pass_at_k", "reason"))
 
 
 # ---------------------------------------------------------------------------
@@ -133,9 +134,9 @@ WITH g AS (
 ), e AS (SELECT question, phase, n, c, unnest([1, 2, 5]) AS k FROM g),
 p AS (
   SELECT question, phase, k,
-         CASE WHEN n - c < k THEN 1.0 WHEN c = 0 THEN 0.0
+         CASE WHEN n < k THEN NULL WHEN n - c < k THEN 1.0 WHEN c = 0 THEN 0.0
               ELSE 1.0 - list_aggregate(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - k / i), 'product') END AS v
-  FROM e WHERE n >= k
+  FROM e
 ), b AS (SELECT * FROM p WHERE phase = 'base'), f AS (SELECT * FROM p WHERE phase = 'final')
 SELECT coalesce(b.question, f.question) AS question, coalesce(b.k, f.k) AS k,
        round(b.v, 9) AS pass_at_k_base, round(f.v, 9) AS pass_at_k_final, round(f.v - b.v, 9) AS delta

@@ -37,7 +37,8 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from variantlake.plans import metric_queries, text_queries, scoring_queries, tree_queries, io_queries  # noqa: F401
+    from variantlake.plans import (  # noqa: F401
+        metric_queries, text_queries, scoring_queries, tree_queries, io_queries, coverage_queries)
 
 
 def sql_on(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:

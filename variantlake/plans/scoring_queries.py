@@ -48,8 +48,8 @@ _NUM3 = "CAST(p_size * (p_size % 5 + 1) * (p_size % 5 + 1) * (p_size % 5 + 1) AS
 
 ROLLOUTS_SQL = f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_type AS kind,
-  CAST(ROW_HASH(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
-                 l_returnflag, l_linestatus, l_shipdate) AS STRING) AS rollout_id,
+  md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+                 l_returnflag, l_linestatus, l_shipdate)) AS rollout_id,
   truth_text AS ground_truth, 'x' AS var,
   CASE WHEN p_type = 'ECONOMY' THEN 0.0 ELSE CAST('-inf' AS DOUBLE) END AS lb,
   CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size % 5 + 1 AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END AS ub,
@@ -85,10 +85,7 @@ FROM lineitem JOIN (
 """
 
 
-# ``ROW_HASH`` names a 64-bit hash of the whole lineitem row (the rollout id): each
-# engine uses its own native function; no oracle compares the id itself.
-SPARK_ROLLOUTS_SQL = ROLLOUTS_SQL.replace("ROW_HASH(", "xxhash64(")
-ROLLOUTS_SQL = ROLLOUTS_SQL.replace("ROW_HASH(", "hash(")
+# the rollout id is a 128-bit digest of the whole lineitem row; no oracle compares it
 
 
 def _with_response(answer_col: str = "answer_text") -> str:
@@ -102,9 +99,12 @@ def _part(spark, sf):
 
 def rollouts(spark, sf):
     """The derived rollout table (Spark side)."""
-    li = table(spark, sf, "lineitem")
+    # a driver table is one row group, so one task; AQE spreads the narrow source by size
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate").hint("rebalance")
     part = table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
-    df = sql_on(spark, SPARK_ROLLOUTS_SQL, lineitem=li, part=part)
+    df = sql_on(spark, ROLLOUTS_SQL, lineitem=li, part=part)
     return df.withColumn("response", F.expr(_with_response()))
 
 
@@ -220,7 +220,7 @@ SELECT p_partkey,
     WHEN 'PROMO' THEN CAST(p_size AS STRING) || '*x'
     WHEN 'LARGE' THEN CAST(p_size AS STRING) || '*x**'
     WHEN 'SMALL' THEN 'cos(' || CAST(p_size AS STRING) || '*x)'
-    WHEN 'MEDIUM' THEN CAST(p_size AS STRING) || '/x'
+    WHEN 'MEDIUM' THEN CAST(p_size AS STRING) || CASE p_partkey % 3 WHEN 0 THEN '/x' WHEN 1 THEN '/(x - 3)' ELSE '/(x - 0.3)' END
     ELSE CASE WHEN p_size > 25 THEN 'y*x' ELSE 'log(' || CAST(p_size AS STRING) || '*x)' END
   END AS integrand,
   'x' AS var,
@@ -244,14 +244,14 @@ def q_validate_variants(spark, sf):
 
 # --- V11: supplied solutions checked against their question ---
 @register("verify_solutions", f"""
-SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' OR p_size > 25 THEN 'NO_OK' ELSE 'OK' END AS check_status
+SELECT p_partkey, CASE WHEN p_size > 25 THEN 'NO_OK' ELSE 'OK' END AS check_status
 FROM part
 """)
 def q_verify_solutions(spark, sf):
     q = sql_on(spark, f"""
       SELECT p_partkey,
-        'integrate(' || CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size AS STRING) || '*x**2' ELSE {_TRUTH} END || ', x)' AS question,
-        CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size AS STRING) || '*x**2'
+        'integrate(' || CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size AS STRING) || '*exp(-x**2)' ELSE {_TRUTH} END || ', x)' AS question,
+        CASE WHEN p_type = 'ECONOMY' THEN CAST(p_size AS STRING) || '*sqrt(pi)*erf(x)/2' || CASE WHEN p_size > 25 THEN ' + x' ELSE '' END
              WHEN p_size > 25 THEN '2*(' || {_ANTI} || ')' ELSE {_ANTI} END AS ground_truth_solution
       FROM part""", part=_part(spark, sf))
     return V.verify_solutions(q).select("p_partkey", "check_status")
@@ -289,17 +289,17 @@ g AS (
   FROM r GROUP BY l_partkey
 ), e AS (SELECT question, n, c, unnest([1, 5, 10, 20]) AS k FROM g)
 SELECT question, n, c, k,
-       round(CASE WHEN n - c < k THEN 1.0 WHEN c = 0 THEN 0.0
+       round(CASE WHEN n < k THEN NULL WHEN n - c < k THEN 1.0 WHEN c = 0 THEN 0.0
                   ELSE 1.0 - list_aggregate(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - k / i), 'product')
-             END, 9) AS pass_at_k
-FROM e WHERE n >= k
+             END, 9) AS pass_at_k, CASE WHEN n < k THEN 'fewer_samples' END AS reason
+FROM e
 """)
 def q_evaluate_rollouts(spark, sf):
     from variantlake.operators.metrics import evaluate_rollouts
 
     r = rollouts(spark, sf).withColumn("question", F.col("l_partkey"))
     out = evaluate_rollouts(r, by=("question",), ks=(1, 5, 10, 20))
-    return rounded(out.select("question", "n", "c", "k", "pass_at_k"))
+    return rounded(out.select("question", "n", "c", "k", "pass_at_k", "reason"))
 
 
 @register("validate_syntax", """
@@ -308,3 +308,31 @@ SELECT p_partkey, p_type NOT IN ('LARGE') AND NOT (p_type = 'STANDARD' AND p_siz
 def q_validate_syntax(spark, sf):
     v = sql_on(spark, _VALID_SQL, part=_part(spark, sf))
     return V.validate_syntax(v, col="integrand").select("p_partkey", "formatting_ok")
+
+
+# --- answers that must fail, or pass, alone: never the job ---
+_HOSTILE_TRUTH = "CAST(p_size AS STRING) || '*x**2 + 1'"
+_HOSTILE_SQL = f"""
+SELECT l_orderkey, l_linenumber, l_partkey, {_HOSTILE_TRUTH} AS ground_truth, 'x' AS var, CAST('-inf' AS DOUBLE) AS lb, CAST('inf' AS DOUBLE) AS ub,
+  '<answer>' || CASE l_linenumber
+    WHEN 1 THEN repeat('1', 400)
+    WHEN 2 THEN CAST(p_size AS STRING) || '*x**3/3 + x' || repeat('+1', 1000 + p_size % 5)
+    WHEN 3 THEN '$$'
+    WHEN 4 THEN 'C'
+    WHEN 5 THEN 'x**' || repeat('9', 400)
+    WHEN 6 THEN repeat('(', 300) || CAST(p_size AS STRING) || '*x**3/3 + x' || repeat(')', 300)
+    ELSE 'Rational(' || CAST(p_size AS STRING) || ', 3)*x**3 + x' END || '</answer>' AS response
+FROM lineitem JOIN part ON l_partkey = p_partkey
+"""
+
+
+@register("score_hostile", """
+SELECT l_orderkey, l_linenumber, l_partkey,
+  CASE l_linenumber WHEN 1 THEN 'NO_OK' WHEN 2 THEN 'OK' WHEN 3 THEN 'NO_SYMPY_EXPR' WHEN 4 THEN 'NO_SYMPY_EXPR'
+       WHEN 5 THEN 'NO_OK' ELSE 'OK' END AS formal_status
+FROM lineitem JOIN part ON l_partkey = p_partkey
+""")
+def q_score_hostile(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").hint("rebalance")
+    r = sql_on(spark, _HOSTILE_SQL, lineitem=li, part=_part(spark, sf)).withColumn("judge_response", F.lit(None).cast("string"))
+    return V.score_rollouts(r).select("l_orderkey", "l_linenumber", "l_partkey", "formal_status")

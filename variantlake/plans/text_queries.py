@@ -13,10 +13,10 @@ from variantlake.functions import text as TX
 from variantlake.functions.latex import answers_equal, normalize_latex
 from variantlake.functions.parse import parse_problems
 from variantlake.operators import prompts as PR
+from variantlake.operators import verify as V
 from variantlake.operators.verify import score_exact
 from variantlake.plans import sqlfrag as S
 from variantlake.plans.registry import register, table
-from variantlake.session import spread
 
 # ---------------------------------------------------------------------------
 # P6 extract_answer: documents wrapped in answer tags at known places
@@ -45,7 +45,7 @@ SELECT doc_id, {S.extract_answer('response')} AS answer,
 FROM r
 """)
 def q_extract_answer(spark, sf):
-    docs = spread(table(spark, sf, "documents")).select("doc_id", _response_col().alias("response"))
+    docs = table(spark, sf, "documents").select("doc_id", _response_col().alias("response"))
     return docs.select("doc_id", TX.extract_answer("response").alias("answer"),
                        TX.py_strip(TX.after_last("response", "</instruction>")).alias("flexible"))
 
@@ -256,7 +256,7 @@ p AS (
 SELECT * FROM p WHERE variant <> ''
 """)
 def q_parse_generations(spark, sf):
-    docs = spread(table(spark, sf, "documents")).select("doc_id", _gen_col().alias("response"))
+    docs = table(spark, sf, "documents").select("doc_id", _gen_col().alias("response"))
     return TX.parse_generations(docs, "response", keep=("doc_id",))
 
 
@@ -436,21 +436,43 @@ WITH {_PARSED_SQL.strip()}, train AS (
   SELECT p_brand AS tree_id, 'train' AS split, p_partkey AS key, integrand FROM parsed
 ), evals AS (
   SELECT 'Brand#' || item_id AS tree_id, 'eval' AS split, CAST(unnest(range(16)) AS BIGINT) AS key,
-         'x**' || item_id AS integrand
-  FROM benchmark
+         'x**' || item_id AS integrand, NULL AS reject_reason
+  FROM benchmark WHERE item_id % 4 < 2
+  UNION ALL SELECT 'Brand#' || item_id, 'eval', -1, CASE item_id % 4 WHEN 2 THEN 'x**' END, 'base_not_verifiable' FROM benchmark WHERE item_id % 4 >= 2
 )
-SELECT tree_id, split, key, integrand FROM train UNION ALL SELECT tree_id, split, key, integrand FROM evals
+SELECT tree_id, split, key, integrand, NULL AS reject_reason FROM train UNION ALL SELECT tree_id, split, key, integrand, reject_reason FROM evals
 """)
 def q_make_splits(spark, sf):
     parsed = _parsed_part(spark, sf)
     train = parsed.select(F.col("p_brand").alias("tree_id"), F.col("p_partkey").cast("int").alias("question_index"),
                           "integrand", "var", "lb", "ub", "is_definite", F.lit(1).alias("level"))
+    splits = PR.make_splits(train, _bases(spark, sf), num_eval=16)
+    return splits.select("tree_id", "split", F.coalesce("question_index", F.lit(-1)).cast("long").alias("key"), "integrand", "reject_reason")
+
+
+def _bases(spark, sf):
+    """Base questions x**item_id, validated; of four, one does not evaluate and one does not parse."""
+    item = F.col("item_id").cast("string")
     bench = table(spark, sf, "benchmark").select(
-        F.concat(F.lit("Brand#"), F.col("item_id").cast("string")).alias("tree_id"),
-        F.concat(F.lit("integrate(x**"), F.col("item_id").cast("string"), F.lit(", x)")).alias("base"))
-    base = parse_problems(bench, "base").select("tree_id", "integrand", "var", "lb", "ub", "is_definite")
-    splits = PR.make_splits(train, base.withColumn("valid", F.lit(True)), num_eval=16)
-    return splits.select("tree_id", "split", F.col("question_index").cast("long").alias("key"), "integrand")
+        F.concat(F.lit("Brand#"), item).alias("tree_id"),
+        F.when(F.col("item_id") % 4 == 2, F.lit("integrate(x**, x)")).when(F.col("item_id") % 4 == 3, F.lit("what is it?"))
+        .otherwise(F.concat(F.lit("integrate(x**"), item, F.lit(", x)"))).alias("base"))
+    return V.validate(parse_problems(bench, "base")).select("tree_id", "integrand", "var", "lb", "ub", "is_definite", "valid")
+
+
+@register("eval_prompts", f"""
+SELECT 'Brand#' || item_id AS tree_id, 'eval' AS split, CAST(unnest(range(16)) AS INTEGER) AS question_index, 0 AS level,
+       'x**' || item_id AS ground_truth, {S.lit(K.SYSTEM_PROMPT)} AS system_content,
+       {S.lit(K.TASK_PROMPT_INDEFINITE)}.replace('{{{{integrand}}}}', 'x**' || item_id).replace('{{{{var}}}}', 'x') AS user_content
+FROM benchmark WHERE item_id % 4 < 2
+""".replace("{{", "{").replace("}}", "}"))
+def q_eval_prompts(spark, sf):
+    """the base questions' eval records."""
+    none = _parsed_part(spark, sf).limit(0).select(F.col("p_brand").alias("tree_id"), F.lit(0).alias("question_index"),
+                                                  "integrand", "var", "lb", "ub", "is_definite", F.lit(1).alias("level"))
+    rec = PR.eval_prompts(PR.make_splits(none, _bases(spark, sf), num_eval=16))
+    return rec.select("tree_id", "split", "extra_info.question_index", "extra_info.level", F.col("reward_model.ground_truth").alias("ground_truth"),
+                      F.col("prompt")[0]["content"].alias("system_content"), F.col("prompt")[1]["content"].alias("user_content"))
 
 
 @register("chunk_plan", """
@@ -511,17 +533,22 @@ def q_prompt_records(spark, sf):
 @register("judge_prompts", f"""
 WITH {_PARSED_SQL},
 a AS (SELECT *, CASE WHEN p_size % 7 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) || '*x**3/3' END AS answer FROM parsed)
-SELECT p_partkey,
+, j AS (SELECT p_partkey,
   CASE WHEN answer IS NULL OR answer = '' THEN NULL
        WHEN lb > CAST('-inf' AS DOUBLE) AND ub < CAST('inf' AS DOUBLE)
          THEN {_sql_fill(K.JUDGE_PROMPT_DEFINITE, response='answer', integrand='integrand', var='var', lb=_bound_sql('lb'), ub=_bound_sql('ub'))}
        ELSE {_sql_fill(K.JUDGE_PROMPT_INDEFINITE, response='answer', integrand='integrand')} END AS judge_prompt
-FROM a
+FROM a)
+SELECT p_partkey, judge_prompt, CASE WHEN judge_prompt IS NOT NULL THEN {S.lit(K.JUDGE_SYSTEM_PROMPT)} END AS system_content,
+       CASE WHEN length(judge_prompt) + {len(K.JUDGE_SYSTEM_PROMPT)} > {len(K.JUDGE_SYSTEM_PROMPT) + 420} THEN 'too_long' END AS reject_reason
+FROM j
 """)
 def q_judge_prompts(spark, sf):
     parsed = _parsed_part(spark, sf).withColumn(
         "answer", F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("*x**3/3"))))
-    return parsed.select("p_partkey", PR.judge_prompt("answer", "integrand", "var", "lb", "ub").alias("judge_prompt"))
+    chats = PR.judge_chats(parsed.drop("reject_reason"), max_len=len(K.JUDGE_SYSTEM_PROMPT) + 420)
+    return chats.select("p_partkey", F.get("judge_chat", 1)["content"].alias("judge_prompt"),
+                        F.get("judge_chat", 0)["content"].alias("system_content"), "reject_reason")
 
 
 @register("legacy_prompts", f"""
@@ -537,7 +564,20 @@ def q_legacy_prompts(spark, sf):
                       PR.difficulty_prompt(F.lit("integrate(x**2, x)"), F.col("text")).alias("difficulty_prompt"))
 
 
-@register("sample_ideas")
+_IDEAS_SQL = ", ".join(f"({S.lit(d)}, {i}, {S.lit(idea)})" for d, ideas in K.TRANSFORMATIONS_BY_DIFFICULTY.items() for i, idea in enumerate(ideas))
+
+
+@register("sample_ideas", f"""
+WITH ideas(difficulty, pos, idea) AS (VALUES {_IDEAS_SQL}),
+o AS (SELECT o_orderkey AS request_id, CAST(o_totalprice AS VARCHAR) AS price,
+             CASE WHEN o_orderpriority LIKE '1%' THEN 'harder' WHEN o_orderpriority LIKE '2%' THEN 'equivalent'
+                  WHEN o_orderpriority LIKE '5%' THEN 'unknown' ELSE 'easier' END AS difficulty FROM orders),
+c AS (SELECT o.*, coalesce(idea, {S.lit(K.DEFAULT_TRANSFORMATION)}) AS idea, md5(request_id || '|' || coalesce(pos, 0) || '|0') AS h
+      FROM o LEFT JOIN ideas USING (difficulty)),
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY h, idea) AS rank FROM c)
+SELECT request_id, difficulty, CAST(count(*) AS INTEGER) AS n_ideas, string_agg(idea, ' and ' ORDER BY rank) AS ideas
+FROM r WHERE rank <= CASE WHEN substr(md5(request_id || '|n|0'), 1, 1) < '8' THEN 3 ELSE 5 END GROUP BY ALL
+""")
 def q_sample_ideas(spark, sf):
     o = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("request_id"),
@@ -548,8 +588,7 @@ def q_sample_ideas(spark, sf):
         F.lit(10).alias("count"))
     out = PR.to_generation_prompts(o)
     return out.select("request_id", "difficulty", F.size("transformations_used").alias("n_ideas"),
-                      F.array_join("transformations_used", " and ").alias("ideas"),
-                      F.length("generation_prompt").alias("prompt_chars"))
+                      F.array_join("transformations_used", " and ").alias("ideas"))
 
 
 # ---------------------------------------------------------------------------

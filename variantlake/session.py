@@ -1,12 +1,12 @@
 """Spark session and shared-folder helpers.
 
 Everything that cuts lineage or writes an intermediate table goes to the shared
-folder the cluster names in ``spark.checkpoint.dir``.  A local folder is only
-created when that setting is absent (tests, laptops).
+folder the cluster names in ``spark.checkpoint.dir``.
 """
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,11 +40,17 @@ def get_spark(app: str = "variantlake", cpus: int | str | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); set only if unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where it is unset, a local master gets a temporary folder - driver and tasks are one
+    process there - and a cluster an error: no folder of one machine is visible to all.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="variantlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -79,33 +85,3 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="variantlake")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
-
-
-def python_tasks(spark: SparkSession) -> int:
-    """Partitions for CPU-heavy Python stages over small (in bytes) key sets.
-
-    AQE would coalesce such a shuffle by size into a few partitions and leave most
-    cores idle, so these stages get an explicit count that follows the cluster's
-    cores (4 tasks per core for balance); Arrow batches bound memory per task.
-    ``spark.variantlake.pythonTasks`` overrides it.
-    """
-    override = spark.conf.get("spark.variantlake.pythonTasks", None)
-    if override:
-        return int(override)
-    return max(8, 4 * spark.sparkContext.defaultParallelism)
-
-
-def spread(df):
-    """Round-robin the rows over 4 x cores when the input has clearly fewer partitions.
-
-    CPU-heavy per-row stages (JSON parsing, regex extraction, Arrow UDFs) otherwise
-    run in as many tasks as the source has splits: a single-row-group file is one
-    task.  Inputs that already have enough partitions - any large table - pass
-    through untouched, so this costs a shuffle only where it buys parallelism.
-    """
-    if df.isStreaming:
-        return df
-    target = python_tasks(df.sparkSession)
-    if df.rdd.getNumPartitions() * 4 <= target:
-        return df.repartition(target)
-    return df

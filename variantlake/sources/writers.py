@@ -28,7 +28,8 @@ EVAL_LOG = T.StructType([
 
 def write_prompts(df: DataFrame, path: str, also_json: bool = False, mode: str = "overwrite") -> None:
     """K1/K2: prompt records partitioned by ``tree_id`` and ``split`` (train / eval)."""
-    out = df.select(*PROMPT_COLUMNS, "tree_id", "split")
+    # a tree's records meet in few files; AQE splits a tree that is large
+    out = df.select(*PROMPT_COLUMNS, "tree_id", "split").hint("rebalance", "tree_id", "split")
     out.write.mode(mode).partitionBy("tree_id", "split").parquet(f"{path}/parquet")
     if also_json:
         out.write.mode(mode).partitionBy("tree_id", "split").json(f"{path}/json")
@@ -45,15 +46,17 @@ def eval_log_rows(scored: DataFrame, step="step", response="response") -> DataFr
         .select(*[f.name for f in EVAL_LOG.fields])
 
 
-def write_eval_log(rows: DataFrame, path: str, mode: str = "append", files_per_step: int = 8) -> None:
+MAX_RECORDS_PER_FILE = 1_000_000
+
+
+def write_eval_log(rows: DataFrame, path: str, mode: str = "append") -> None:
     """K3: one JSON-lines directory per eval step.
 
-    Rows are hashed on (step, salt) first so every step lands in at most
-    ``files_per_step`` files instead of one small file per task and step; the salt
-    also splits a step that holds most of the rows over several writers.
+    ``rebalance`` brings a step's rows together and lets AQE split a step that holds
+    most of them over as many writers as its size asks for.
     """
-    salt = F.pmod(F.xxhash64("rollout_id"), F.lit(files_per_step))
-    rows.repartition("eval_step", salt).write.mode(mode).partitionBy("eval_step").json(path)
+    (rows.hint("rebalance", "eval_step").write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+     .partitionBy("eval_step").json(path))
 
 
 def read_eval_log(spark, path: str) -> DataFrame:
