@@ -1,8 +1,9 @@
+from pyspark.sql import functions as F
 """Native text operators, the integral-call parser and LaTeX normalisation."""
 import pytest
 
 from variantlake.functions import text as TX
-from variantlake.functions.latex import normalize_latex_py
+from variantlake.functions.latex import answers_equal, normalize_latex
 from variantlake.functions.parse import parse_problems, smart_split
 
 
@@ -63,7 +64,7 @@ CALLS = [
     ("foo(x, x)", "ERROR"), ("integrate(x, (x, 0))", "ERROR"), ("integrate x", "ERROR"), (None, "ERROR"), ("", "ERROR"),
     ("integrate()", "ERROR"), (" integrate (x, x) ", "INDEFINITE"), ("integrate(x, x,)", "INDEFINITE"),
     ("integrate(x, x, )", "ERROR"), ("integrate(sin(x, x)", "ERROR"), ("integrate(f(a,\nb), ( x , 0 , 3 ))", "DEFINITE_TUPLE"),
-    ("integrate(x, ()", "ERROR"), (")integrate(", "ERROR"),
+    ("integrate(x, ()", "INDEFINITE"), (")integrate(", "ERROR"),
 ]
 
 
@@ -100,12 +101,35 @@ def test_parse_problems_and_native_split_agree(spark):
     assert {r.i: r.p for r in split} == {i: split_by_characters(c) for i, c in enumerate(texts)}
 
 
-@pytest.mark.parametrize("raw,norm", [
-    ("\\dfrac{1}{2}", "\\frac{1}{2}"), ("3/4", "\\frac{3}{4}"), ("0.5", "\\frac{1}{2}"),
-    ("k = \\tfrac12", "\\frac{1}{2}"), ("\\sqrt3", "\\sqrt{3}"), ("x/2", None), ("\\frac", None),
-])
-def test_normalize_latex(raw, norm):
-    assert normalize_latex_py(raw) == norm
+LATEX = [  # raw -> normalised; None: raw texts are compared
+    ("\\dfrac{1}{2}", "\\frac{1}{2}"), ("3/4", "\\frac{3}{4}"), ("0.5", "\\frac{1}{2}"), (".5", "\\frac{1}{2}"), ("x = .5", "\\frac{1}{2}"),
+    ("k = \\tfrac12", "\\frac{1}{2}"), ("\\sqrt3", "\\sqrt{3}"), ("x/2", None), ("\\frac", None), ("\\frac1{2}+\\frac34", "\\frac{1}{2}+\\frac{3}{4}"),
+    ("\\frac3", "\\frac3"), ("\\sqrt", None), ("\\sqrt\\sqrt2", None), ("5\\text{ cm}", "5"), ("5\\text{ a}\\text{ b}", None), ("50\\%", "50"),
+    ("-3/4", "\\frac{-3}{4}"), ("+3/4", "+3/4"), ("03/4", "03/4"), ("1/2/3", "1/2/3"), ("", ""), ("\\left(1\\right)", "(1)"), ("90^\\circ", "90"),
+    ("abc = 2", "abc=2"), ("a\nb", "ab"), (None, None),
+]
+
+
+def test_normalize_latex(spark):
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(LATEX)], "i int, r string")
+    got = {r.i: r.n for r in df.select("i", normalize_latex("r").alias("n")).collect()}
+    assert [(LATEX[i][0], got[i]) for i in range(len(LATEX))] == LATEX
+
+
+def test_answers_equal_is_null_safe(spark):
+    rows = [("0.5", "\\frac12", True), (None, None, True), (None, "1", False), ("x/2", "x/2", True), ("x/2", "x/3", False)]
+    got = spark.createDataFrame(rows, "a string, b string, want boolean").select("want", answers_equal(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+BOXED = [("\\boxed{a{b}c}d", "a{b}c"), ("\\boxed{a", None), ("\\boxed{}", ""), ("\\boxed{{}", None), ("\\boxedx}", None), ("x}\\boxed{1}}", "1"),
+         ("\\boxed{1}\\boxed{2", None), ("\\boxed  a b$c", " a b"), ("\\boxed {1}$", "{1}"), ("", None), (None, None), ("\\boxed{a}b}c{", "a")]
+
+
+def test_boxed_braces(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BOXED)], "i int, t string")
+    got = {r.i: r.b for r in df.select("i", TX.extract_boxed("t").alias("b")).collect()}
+    assert [(BOXED[i][0], got[i]) for i in range(len(BOXED))] == BOXED
 
 
 @pytest.mark.parametrize("raw,as_written,precise", [

@@ -1,118 +1,87 @@
-"""Canonical text of LaTeX answers and null-safe answer equality.
+"""Canonical text of LaTeX answers and null-safe answer equality, natively.
 
 Normalisation has failure modes (an over-split unit, a dangling ``\\sqrt`` or
-``\\frac``, a non-integer ``a/b``) after which the original compares raw text.
-Those rules are easier to state in Python, so ``normalize_latex`` is one
-Arrow-batched ``pandas_udf`` that returns NULL when normalising fails.
+``\\frac``, a non-integer ``a/b``) after which the original compares raw text; there
+``normalize_latex`` is NULL.
 """
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-class _Fail(Exception):
-    pass
-
 
-# Plain substitutions applied first, in order (search, replacement).
-_PRE = [
+# FIXED VALUES: plain substitutions applied first, in order (search, replacement).
+_PLAIN = [
     ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"),
     ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
 ]
-_PERCENT = ["\\%"]
-
-
-def _units(s: str) -> str:
-    marker = "\\text{ "
-    if marker not in s:
-        return s
-    head, *rest = s.split(marker)
-    if len(rest) != 1:
-        raise _Fail("units")
-    return head
-
-
-def _sqrt_braces(s: str) -> str:
-    """``\\sqrt3`` -> ``\\sqrt{3}``: a one-character radicand gets braces."""
-    pieces = s.split("\\sqrt")
-    if len(pieces) > 1 and not all(pieces[1:]):
-        raise _Fail("sqrt")  # a dangling \\sqrt: the original falls back to raw text
-    return re.sub(r"\\sqrt([^{])", r"\\sqrt{\1}", s)
-
-
-_FRAC_SHORT = re.compile(r"\\frac([^{])(\{|.)")
-
-
-def _frac_braces(s: str) -> str:
-    """``\\frac12`` -> ``\\frac{1}{2}``, ``\\frac1{2}`` -> ``\\frac{1}{2}``.
-
-    A ``\\frac`` followed by nothing fails (raw comparison); one followed by a single
-    unbraced character leaves the whole text as it is.
-    """
-    tails = s.split("\\frac")[1:]
-    if any(t == "" for t in tails):
-        raise _Fail("frac")
-    if any(t[0] != "{" and len(t) < 2 for t in tails):
-        return s
-    return _FRAC_SHORT.sub(lambda m: "\\frac{" + m.group(1) + "}" + (m.group(2) if m.group(2) == "{"
-                                                                  else "{" + m.group(2) + "}"), s)
-
-
-def _slash(s: str) -> str:
-    halves = s.split("/")
-    if len(halves) != 2:
-        return s
-    num, den = int(halves[0]), int(halves[1])  # ValueError propagates: raw comparison
-    if s != f"{num}/{den}":
-        return s
-    return "\\frac{" + str(num) + "}{" + str(den) + "}"
-
-
-def normalize_latex_py(s: str):
-    """Canonical text, or None when normalisation fails."""
-    try:
-        for a, b in _PRE:
-            s = s.replace(a, b)
-        s = _units(s)
-        for a in _PERCENT:
-            s = s.replace(a, "")
-        s = s.replace(" .", " 0.").replace("{.", "{0.")
-        if not s:
-            return s
-        if s[0] == ".":
-            s = "0" + s
-        sides = s.split("=")
-        if len(sides) == 2 and len(sides[0]) <= 2:
-            s = sides[1]
-        s = _sqrt_braces(s)
-        s = s.replace(" ", "")
-        s = _frac_braces(s)
-        if s == "0.5":
-            s = "\\frac{1}{2}"
-        return _slash(s)
-    except (_Fail, ValueError, IndexError):
-        return None
-
-
-@F.pandas_udf(T.StringType())
-def normalize_latex(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else normalize_latex_py(v))
+_UNIT = "\\text{ "
+
+
+def _swap(s: Column, old: str, new: str) -> Column:
+    return F.replace(s, F.lit(old), F.lit(new))
+
+
+def _times(s: Column, piece: str) -> Column:
+    """How often ``piece`` occurs."""
+    return (F.length(s) - F.length(_swap(s, piece, ""))) / len(piece)
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _without_unit(s: Column) -> Column:
+    """A unit is cut off; two of them fail."""
+    return F.when(_times(s, _UNIT) <= 1, F.substring_index(s, _UNIT, 1))
+
+
+def _leading_zero(s: Column) -> Column:
+    return F.when(s.startswith("."), F.concat(F.lit("0"), s)).otherwise(s)
+
+
+def _right_side(s: Column) -> Column:
+    """``x = ...`` keeps the right side."""
+    return F.when((_times(s, "=") == 1) & (F.length(F.substring_index(s, "=", 1)) <= 2), F.substring_index(s, "=", -1)).otherwise(s)
+
+
+def _braced_roots(s: Column) -> Column:
+    """``\\sqrt3`` -> ``\\sqrt{3}``; a dangling ``\\sqrt`` fails.  Spaces go."""
+    return _swap(F.when(~s.rlike(r"\\sqrt(\\sqrt|\z)"), F.regexp_replace(s, r"\\sqrt([^{])", r"\\sqrt{$1}")), " ", "")
+
+
+def _braced_fractions(s: Column) -> Column:
+    """``\\frac12`` -> ``\\frac{1}{2}``, ``\\frac1{2}`` -> ``\\frac{1}{2}``; a dangling ``\\frac``
+    fails, and one with a single unbraced character leaves the text as it is."""
+    braced = F.regexp_replace(F.regexp_replace(s, r"\\frac([^{])\{", r"\\frac{$1}{"), r"(?s)\\frac([^{])(.)", r"\\frac{$1}{$2}")
+    return F.when(~s.rlike(r"\\frac(\\frac|\z)"), F.when(s.rlike(r"(?s)\\frac[^{](?=\\frac|\z)"), s).otherwise(braced))
+
+
+def _slashed(s: Column) -> Column:
+    """``a/b`` of two integers becomes a fraction; one slash with anything else fails."""
+    whole, spelled = r"(0|-?[1-9][0-9]*)", r"\s*[+-]?\p{Nd}+(_\p{Nd}+)*\s*"
+    fraction = F.when(s.rlike(rf"^{whole}/{whole}\z"), F.regexp_replace(s, rf"^{whole}/{whole}\z", r"\\frac{$1}{$2}")).when(
+        s.rlike(rf"(?U)^{spelled}/{spelled}\z"), s)
+    return F.when(s == "0.5", F.lit("\\frac{1}{2}")).when(_times(s, "/") == 1, fraction).otherwise(s)
+
+
+def normalize_latex(answer: Column | str) -> Column:
+    """Canonical text of an answer; NULL for NULL and where normalising fails."""
+    s = F.col(answer) if isinstance(answer, str) else answer
+    for old, new in _PLAIN:
+        s = _swap(s, old, new)
+    s = _let(s, _without_unit)
+    for old, new in (("\\%", ""), (" .", " 0."), ("{.", "{0.")):
+        s = _swap(s, old, new)
+    for step in (_leading_zero, _right_side, _braced_roots, _braced_fractions, _slashed):
+        s = _let(s, step)
+    return s
 
 
 def answers_equal(a: Column, b: Column) -> Column:
     """Both NULL -> true; one NULL -> false; else normalised (or raw) equality."""
-    from variantlake.functions.text import _ship
-
-    _ship()
-    na, nb = normalize_latex(a), normalize_latex(b)
     return (
         F.when(a.isNull() & b.isNull(), F.lit(True))
         .when(a.isNull() | b.isNull(), F.lit(False))
-        .when(na.isNull() | nb.isNull(), a == b)
-        .otherwise(na == nb)
+        .otherwise(F.coalesce(normalize_latex(a) == normalize_latex(b), a == b))
     )

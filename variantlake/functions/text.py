@@ -6,12 +6,8 @@ set, written out as one character class so SQL oracles can use the same class.
 """
 from __future__ import annotations
 
-from itertools import accumulate
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Python's whitespace (str.isspace): \t\n\v\f\r, the separators \x1c-\x1f, NEL, and the
 # Unicode separator categories.
@@ -189,45 +185,23 @@ def parse_generations(df, col: str = "response", keep: tuple[str, ...] = ()):
     return parsed.where(F.col("variant") != "")
 
 
-def last_boxed_py(s):
-    """P7 on one string: content of the last ``\\boxed{...}``, or the ``\\boxed x$`` form."""
-    if s is None:
-        return None
-    if "\\boxed " in s:
-        return s.rsplit("\\boxed ", 1)[1].partition("$")[0]
-    start = s.rfind("\\boxed")
-    if start < 0:
-        return None  # an \\fbox{...} alone is not unwrapped by the original either
-    tail = s[start:]
-    depth = accumulate({"{": 1, "}": -1}.get(ch, 0) for ch in tail)
-    close = next((i for i, (ch, d) in enumerate(zip(tail, depth)) if ch == "}" and d == 0), None)
-    if close is None or not tail.startswith("\\boxed{"):
-        return None
-    return tail[len("\\boxed{"):close]
-
-
-@F.pandas_udf(T.StringType())
-def _boxed_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(last_boxed_py)
-
-
 def extract_boxed(col) -> Column:
     """Content of the last ``\\boxed{...}`` (balanced braces) or ``\\boxed x`` form.
 
-    Brace matching is not regular, and a per-character ``aggregate`` runs
-    interpreted, so the scan is one Arrow-batched Python pass (the Python node
-    materialises it once, however often the result is referenced).
+    Only the text after the last ``\\boxed`` is looked at, piece by piece between closing
+    braces: the content ends at the first one that leaves as many closing as opening.
     """
-    _ship()
-    return _boxed_udf(_c(col))
-
-
-def _ship():
-    """Python workers must be able to import this package (no-op once per app)."""
-    from pyspark.sql import SparkSession
-
-    from variantlake.session import ship_package
-
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        ship_package(active)
+    text = _c(col)
+    rest = F.substring_index(text, "\\boxed", -1)
+    pieces = F.split(rest, r"\}", -1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("taken"), F.lit(False).alias("closed"))
+
+    def step(acc, piece):
+        depth = acc["depth"] + F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit(""))) - 1
+        return F.when(acc["closed"], acc).otherwise(F.struct(depth.alias("depth"), (acc["taken"] + 1).alias("taken"), (depth == 0).alias("closed")))
+
+    taken = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda acc: F.when(acc["closed"], acc["taken"]))
+    content = F.call_function("substring_index", rest, F.lit("}"), taken)
+    spaced = F.substring_index(F.substring_index(text, "\\boxed ", -1), "$", 1)
+    return F.when(text.contains("\\boxed "), spaced).when(
+        text.contains("\\boxed") & rest.startswith("{"), F.when(taken.isNotNull(), F.substring(content, 2, F.length(content))))
