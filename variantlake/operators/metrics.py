@@ -160,15 +160,22 @@ def length_metrics(scored: DataFrame, by=("step",), judge="judge_status", formal
     """Mean answer length (tokens) and judge length (characters) within each status.
 
     Formal statuses appear as ``FORMAL_<status>`` with no judge length, as in the
-    original's metric names.  Only statuses that occur produce rows.
+    original's metric names.  Only statuses that occur produce rows.  One aggregation.
     """
     by = list(by)
-    jlen = F.coalesce(F.length(F.col(judge_text)), F.lit(0)).cast("double")
-    per_judge = scored.groupBy(*by, F.col(judge).alias("status")).agg(
-        F.avg(F.col(tokens).cast("double")).alias("agent_len"), F.avg(jlen).alias("judge_len"))
-    per_formal = scored.groupBy(*by, F.concat(F.lit("FORMAL_"), F.col(formal)).alias("status")).agg(
-        F.avg(F.col(tokens).cast("double")).alias("agent_len"), F.lit(None).cast("double").alias("judge_len"))
-    return per_judge.unionByName(per_formal)
+    judge_len = F.coalesce(F.length(F.col(judge_text)), F.lit(0)).cast("double")
+    aggs, rows = [], []
+    for prefix, col, domain in (("", judge, K.JUDGE_STATUSES), ("FORMAL_", formal, K.FORMAL_STATUSES)):
+        for st in domain:
+            hit, name = F.col(col) == st, f"{prefix}{st}"
+            aggs += [F.count_if(hit).alias(f"n_{name}"), F.avg(F.when(hit, F.col(tokens).cast("double"))).alias(f"t_{name}")]
+            if not prefix:
+                aggs.append(F.avg(F.when(hit, judge_len)).alias(f"j_{name}"))
+            rows.append(F.when(F.col(f"n_{name}") > 0, F.struct(
+                F.lit(name).alias("status"), F.col(f"t_{name}").alias("agent_len"),
+                (F.lit(None).cast("double") if prefix else F.col(f"j_{name}")).alias("judge_len"))))
+    found = scored.groupBy(*by).agg(*aggs).select(*by, F.explode(F.array(*rows)).alias("r"))
+    return found.where(F.col("r").isNotNull()).select(*by, "r.*")
 
 
 def census(variants: DataFrame, question="question", difficulty="difficulty") -> DataFrame:
