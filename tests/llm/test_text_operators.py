@@ -324,14 +324,14 @@ def test_packing_of_odd_rows(spark):
 
 def test_word_table_stays_bounded(monkeypatch):
     monkeypatch.setattr(packing._WordIds, "LIMIT", 50)
-    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(12)] + ["w1x1 w0x0"]
-    monkeypatch.setattr(packing, "_TABLES", {})
     monkeypatch.setattr(packing, "GROUP_BYTES", 200)
-    tok = Tokenizer.from_file(packing.tokenizer_path())
-    texts += [None, " lead", "", "Trail, \n", "Ab'c d!? ..", "DON'T,", "é,"]
-    got = [x.tolist() for ids, ends in packing.tokenised(pa.array(texts), packing.tokenizer_path()) for x in np.split(ids, ends[:-1])]
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) + " some plain words" for i in range(12)] + ["w1x1 w0x0"]
+    texts += [" ".join(f"{chr(97 + i)}{chr(97 + j)}q" for j in range(26)) for i in range(8)]
+    texts += [None, " lead", "", "Trail, \n", "Ab'c d!? ..", "DON'T,", "é,", "Éa É", "İx ŉ ß ª"]
+    tok, table = Tokenizer.from_file(packing.tokenizer_path()), packing._WordIds(packing.tokenizer_path())
+    got = [x.tolist() for ids, ends in packing.tokenised(pa.array(texts), table) for x in np.split(ids, ends[:-1])]
     assert got == [[*tok.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
-    assert len(packing._table(packing.tokenizer_path())) <= 50
+    assert len(table.young) <= 50 and len(table.old) <= 50
 
 
 def fewest(items, capacity):

@@ -1,14 +1,20 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import sys
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variantlake.session import scratch_path, ship_package
 
 ROWS_PER_BUCKET = 50_000
+TEXT_BATCH = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +30,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def python_ready(spark: SparkSession) -> None:
+    """Ship the package to the workers, and let whole texts travel to them in batches of
+    at most ``TEXT_BATCH`` rows (a session setting, never raised here): a batch exists
+    several times over on its way, so its size bounds the memory of a Python stage."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
+        spark.conf.set(key, str(TEXT_BATCH))
+
+
+def tidied(fn: Callable) -> Callable:
+    """``fn`` (batches -> batches) that hands freed memory back when its task ends: a
+    worker waits for its next task with what it once needed at most, and an executor's
+    workers share its memory with the JVM."""
+
+    @functools.wraps(fn)
+    def run(batches):
+        yield from fn(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInPandas`` with the package shipped to the workers."""
-    ship_package(df.sparkSession)
-    return df.mapInPandas(fn, schema)
+    """``mapInPandas`` by workers that are ready for it."""
+    python_ready(df.sparkSession)
+    return df.mapInPandas(tidied(fn), schema)
 
 
 def rank_in_group(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:

@@ -10,8 +10,8 @@ or {j, k, b} is fixed when every other feasible bin with j could be exchanged fo
 without needing more bins.  What no rule settles is packed best-fit, longest first.  Equal
 lengths move in bulk, so the work follows the number of distinct lengths.
 
-Tokenising splits texts at ASCII white space and looks words up in a bounded per-worker
-table; the tokenizer sees each new word once.  Its normaliser, pre-tokeniser and merges
+Tokenising splits texts at ASCII white space and does each distinct word of a group of
+texts once, with a bounded per-task table of what was done before.  Its normaliser, pre-tokeniser and merges
 never look across white space, so the ids are those of the whole text.  Words that are a
 run of Latin letters and a tail of punctuation are two pre-tokens and are encoded apart.
 
@@ -20,6 +20,7 @@ documents like others.  Every piece lands in exactly one sequence; offsets are g
 """
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from array import array
@@ -33,67 +34,83 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variantlake.llm.common import rank_in_group, stored
-from variantlake.session import ship_package
+from variantlake.llm.common import python_ready, rank_in_group, stored, tidied
 
 CAPACITY = 2048
 SEPARATOR = 0
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 8_000_000
 
 
-class _WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes; two generations of bounded
-    size, so frequent words stay when rare ones are dropped."""
+class _WordIds:
+    """Ids of words as little-endian unsigned 32-bit bytes.
 
-    LIMIT = 300_000
+    What the tokenizer had to do is kept in two generations of bounded size: when the
+    young one is full it becomes the old one, and words met again move back, so frequent
+    words stay while rare ones are dropped.
+    """
+
+    LIMIT = 200_000
     _TAIL = b".,;:!?"
 
     def __init__(self, path: str):
-        super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        self.tokenizer, self.old, self.cores = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.young, self.old, self.tails = _tokenizer(path), {}, {}, {}
         self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def learn(self, words: list[bytes]) -> None:
-        """Make all ``words`` present."""
-        missing = [w for w in words if w not in self]
-        if len(self) + len(missing) > self.LIMIT:
-            self.old = dict(self)
-            self.clear()
-            self.cores.clear()
-            missing = words
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of the (distinct) words.
+
+        A run of Latin letters and a tail of punctuation are encoded apart, as the
+        pre-tokeniser does; other words whole.
+        """
+        found: list = []
         whole = []
-        for w in missing:
-            if (ids := self.old.get(w)) is None:
-                core = w.rstrip(self._TAIL).lower()
-                if (ids := self.cores.get(core)) is None:
-                    if not _plain(text := core.decode("utf-8", "surrogatepass")):
-                        whole.append(w)
-                        continue
-                    ids = self.cores[core] = self._letters(text.lower())
-                if len(core) < len(w):
-                    ids += self._tail(w[len(core) :])
-            self[w] = ids
-        for w, ids in zip(whole, self._encoded(whole)):
-            self[w] = ids
-
-    def _letters(self, word: str) -> bytes:
-        """A run of letters is one pre-token: only the byte mapping and the merges are left to do."""
-        if not word.isascii():
-            word = self.byte_level.pre_tokenize_str(word)[0][0]
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        tail_of, get = self._TAIL, self.young.get
+        for at, word in enumerate(words):
+            core = word.rstrip(tail_of)
+            ids = get(low := core.lower())
+            if ids is None:
+                ids = self._letters(low)
+                get = self.young.get  # a new generation may have begun
+            if ids:
+                found.append(ids if len(core) == len(word) else ids + self._tail(word[len(core) :]))
+            else:
+                found.append(b"")
+                whole.append(at)
+        for at, ids in zip(whole, self._encoded([words[at] for at in whole])):
+            found[at] = ids
+        return found
+
+    def _letters(self, low: bytes) -> bytes:
+        """Ids of a lower-cased run of letters - one pre-token, so only the byte mapping
+        and the merges are left to do; empty for anything else."""
+        ids = self.old.get(low)
+        if ids is None:
+            word = low.decode("utf-8", "surrogatepass")
+            if not _plain(word):
+                return self._keep(low, b"")
+            word = word if word.isascii() else self.byte_level.pre_tokenize_str(word.lower())[0][0]
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        return self._keep(low, ids)
+
+    def _keep(self, key: bytes, ids: bytes) -> bytes:
+        if len(self.young) >= self.LIMIT:
+            self.old, self.young = self.young, {}
+        self.young[key] = ids
+        return ids
 
     def _tail(self, tail: bytes) -> bytes:
-        ids = self.cores.get(tail)
+        ids = self.tails.get(tail)
         if ids is None:
-            ids = self.cores[tail] = self._encoded([tail])[0]
+            ids = self._encoded([tail])[0]
+            if len(self.tails) < 4096:
+                self.tails[tail] = ids
         return ids
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
 
 def _plain(word: str) -> bool:
@@ -101,13 +118,12 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
 
-_TABLES: dict[str, _WordIds] = {}
-
+@functools.lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-def _table(path: str) -> _WordIds:
-    if path not in _TABLES:
-        _TABLES[path] = _WordIds(path)
-    return _TABLES[path]
+    return Tokenizer.from_file(path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -116,9 +132,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def tokenised(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tokenised(texts: pa.Array, table: _WordIds) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids with separators, end of each text in them) of groups of consecutive texts."""
-    table = _table(path)
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     size = np.maximum(pc.binary_length(texts).to_numpy(zero_copy_only=False), 1).cumsum()
     at = 0
@@ -126,9 +141,8 @@ def tokenised(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarr
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + GROUP_BYTES, "right")))
         words = pc.ascii_split_whitespace(texts.slice(at, end - at))
         coded = words.flatten().dictionary_encode()
-        distinct = [w.encode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]
-        table.learn(distinct)
-        found = [*map(table.__getitem__, distinct), np.array([SEPARATOR], "<u4").tobytes()]
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        found = [*table.ids(distinct), np.array([SEPARATOR], "<u4").tobytes()]
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         # word numbers of the texts with the separator's number after each text
         per = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -146,9 +160,10 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     path = path or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _WordIds(path)  # goes with the task
         for batch in batches:
             at, doc, piece, start, length, crc = 0, [], [], [], [], []
-            for ids, ends in tokenised(batch.column("text"), path):
+            for ids, ends in tokenised(batch.column("text"), table):
                 raw, begin = memoryview(ids).cast("B"), 0
                 for end in ends.tolist():
                     for k, s in enumerate(range(begin, end, capacity)):
@@ -163,9 +178,9 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
                 [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    ship_package(docs.sparkSession)
+    python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidied(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Lengths:
