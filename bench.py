@@ -34,8 +34,6 @@ def main():
     # one shuffle partition per core locally (AQE coalesces further); clusters size it by data volume
     shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus)))
     spark = get_spark(app="variantlake-bench", cpus=cpus, shuffle_partitions=shuffle)
-    if os.environ.get("BENCH_PYTHON_TASKS"):
-        spark.conf.set("spark.variantlake.pythonTasks", os.environ["BENCH_PYTHON_TASKS"])
     registry.load_all()
     # warm-up: JVM code paths and Python workers (not timed)
     registry.QUERIES["parse_judge"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
