@@ -19,27 +19,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variantlake.session import ship_package
+from variantlake.llm.common import python_ready, tidied
 
 DATE = "2024-01-01T00:00:00Z"
-_DROPPED = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+_DROPPED = r"(?is)<(?:!--.*?--|script\b.*?</script\s*|style\b.*?</style\s*)>"
 _BLOCK = (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre"
           r"|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>")
 _TAG = r"<[!/?a-zA-Z][^>]*>"
 
 
 def plain_text(page: Column) -> Column:
-    """The text of HTML: comments, scripts and styles dropped, block tags as line ends,
-    other tags dropped, entities decoded once, white space collapsed."""
+    """Struct (text, words) of HTML: comments, scripts and styles dropped, block tags as
+    line ends, other tags dropped, white space collapsed, entities decoded once, lines
+    trimmed and empty ones dropped."""
 
-    def unescape(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def finish(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in series:
-            yield texts.map(html.unescape, na_action="ignore")
+            texts = ["\n".join(filter(None, (x.strip(" ") for x in html.unescape(t).split("\n")))) for t in texts]
+            words = [sum(map(bool, t.replace("\n", " ").split(" "))) for t in texts]
+            yield pd.DataFrame({"text": texts, "words": words})
 
     text = F.regexp_replace(F.coalesce(page, F.lit("")), _DROPPED, "")
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), _BLOCK, "\n"), _TAG, "")
-    text = F.pandas_udf(unescape, "string")(text)
-    return F.regexp_replace(F.regexp_replace(text, r" *\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+\z", "")
+    text = F.regexp_replace(text, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")  # a single space stays as it is
+    text = F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), _TAG, "")
+    return F.pandas_udf(tidied(finish), "text string, words long")(text)
 
 
 def record_id(kind: Column | str, *keys: Column) -> Column:
@@ -66,26 +69,27 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
 def derive(sources: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
     """Two rows for every response: its ``metadata`` and ``conversion`` records."""
-    ship_package(sources.sparkSession)
+    python_ready(sources.sparkSession)
     keep = keep or []
     payload = F.coalesce(F.col("payload"), F.lit(""))
     rows = sources.select(*keep, "record_id", "target_uri", "date", "http_headers", _digest(payload).alias("payload_digest"),
-                          plain_text(payload).alias("text"))
+                          plain_text(payload).alias("plain"))
+    rows = rows.withColumn("text_digest", _digest(F.col("plain.text")))
     meta_id, text_id = record_id("metadata", F.col("record_id")), record_id("conversion", F.col("record_id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    n_words = F.size(F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")).cast("string")
     fields = F.concat_ws(
         "", line("source-record-id", F.col("record_id")), line("source-payload-digest", F.col("payload_digest")),
         line("source-http-headers", F.regexp_replace("http_headers", "\r\n", " | ")), line("conversion-record-id", text_id),
-        line("conversion-block-digest", _digest(F.col("text"))), line("conversion-words", n_words))
+        line("conversion-block-digest", F.col("text_digest")), line("conversion-words", F.col("plain.words").cast("string")))
 
-    def record(kind: str, own_id: Column, mime: str, block: Column) -> Column:
-        return F.struct(F.lit(kind).alias("record_type"), own_id.alias("id"), F.lit(mime).alias("content_type"), block.alias("block"))
+    def record(kind: str, own_id: Column, mime: str, block: Column, digest: Column) -> Column:
+        return F.struct(F.lit(kind).alias("record_type"), own_id.alias("id"), F.lit(mime).alias("content_type"), block.alias("block"), digest.alias("digest"))
 
-    both = F.array(record("metadata", meta_id, "application/warc-fields", fields), record("conversion", text_id, "text/plain; charset=utf-8", F.col("text")))
+    both = F.array(record("metadata", meta_id, "application/warc-fields", fields, _digest(fields)),
+                   record("conversion", text_id, "text/plain; charset=utf-8", F.col("plain.text"), F.col("text_digest")))
     return rows.withColumn("r", F.explode(both)).select(
         *keep, "r.record_type", F.col("r.id").alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "date", "http_headers",
-        "payload_digest", "r.content_type", F.octet_length("r.block").cast("long").alias("content_length"), _digest(F.col("r.block")).alias("block_digest"), "r.block")
+        "payload_digest", "r.content_type", F.octet_length("r.block").cast("long").alias("content_length"), F.col("r.digest").alias("block_digest"), "r.block")
 
 
 def serialised(records: DataFrame) -> DataFrame:
