@@ -23,11 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variantlake.llm.common import map_batches
-from variantlake.session import ship_package
+from variantlake.llm.common import map_batches, python_ready, tidied
 
 DIM = 2048
-CHUNK_DOCS, CHUNK_CHARS, CHUNK_GRAMS = 512, 2_000_000, 4096
+CHUNK_DOCS, CHUNK_CHARS, CHUNK_GRAMS = 512, 1_500_000, 2048
 _DENSE = 1 << 22  # trigram codes that fit a lookup table; beyond it they are sorted
 
 _LETTERS: dict[tuple[int, int], np.ndarray] = {}
@@ -155,13 +154,13 @@ def predict(text: Column, prototypes: dict[str, np.ndarray], *, dim: int = DIM)
                 score[s:e] = np.where(known, np.clip(cos[np.arange(e - s), best], 0, 1), 0)
             yield pd.DataFrame({"lang": lang, "score": score})
 
-    return F.pandas_udf(classify, "lang string, score double")(text)
+    return F.pandas_udf(tidied(classify), "lang string, score double")(text)
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text", lang_out: str = "lang_pred",
              score_out: str = "score", dim: int = DIM) -> DataFrame:
     """``docs`` with the predicted language and its cosine; columns of these names are replaced."""
-    ship_package(docs.sparkSession)
+    python_ready(docs.sparkSession)
     hit = predict(F.col(text_col), prototypes, dim=dim)
     return docs.drop(lang_out, score_out).withColumn("_language_hit", hit).select(
         *[c for c in docs.columns if c not in (lang_out, score_out)], F.col("_language_hit.lang").alias(lang_out), F.col("_language_hit.score").alias(score_out))

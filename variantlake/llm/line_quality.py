@@ -27,8 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variantlake.llm.common import map_batches, stored, text_words
-from variantlake.session import ship_package
+from variantlake.llm.common import map_batches, python_ready, stored, text_words
 
 SYMBOLS = "#*$%&|<>"
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -138,7 +137,7 @@ def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     The boilerplate lines of a host - at most 1 / ``max_share`` times its average number
     of lines a document - reach its documents as one array.
     """
-    ship_package(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -25,8 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from variantlake.llm.common import rank_in_group, stored, text_words
-from variantlake.session import ship_package
+from variantlake.llm.common import python_ready, rank_in_group, stored, text_words, tidied
 
 RANGES = 1024
 
@@ -36,7 +35,7 @@ def word_count(text: Column) -> Column:
         for texts in series:
             yield pd.Series([len(text_words(t)) for t in texts], dtype="int64")
 
-    return F.pandas_udf(run, "long")(text)
+    return F.pandas_udf(tidied(run), "long")(text)
 
 
 def cycled_weights(sources: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
@@ -68,7 +67,7 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
         keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``keep``, all by default) with ``size``, ``source_size``, ``target``, ``reps`` (times the mix takes
     the document) and ``taken`` (words, repeats counted); columns of these names are replaced."""
-    ship_package(docs.sparkSession)
+    python_ready(docs.sparkSession)
     added = ["size", "source_size", "target", "reps", "taken"]
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in added and (keep is None or c in keep)]
     size = word_count(F.col(text_col))

@@ -44,7 +44,7 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
-    """word -> 64-bit hash; emptied when full, so a worker's memory stays bounded."""
+    """word -> 64-bit hash, for one task; emptied when full."""
 
     LIMIT = 400_000
 
@@ -55,8 +55,6 @@ class _WordHashes(dict):
         return value
 
 
-_WORDS = _WordHashes()
-
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = 128) -> tuple[int, int]:
     """(bands, rows): most rows per band - fewest false candidates - whose bands reach
@@ -77,12 +75,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngram_set(text: str | None, n: int) -> np.ndarray:
+def ngram_set(text: str | None, n: int, hashes_of: _WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams."""
     words = text.lower().encode("utf-8", "surrogatepass").split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(hashes_of.__getitem__, words), np.uint64, len(words))
     k = min(n, len(words))
     grams = np.full(len(words) - k + 1, k, np.uint64)
     for j in range(k):
@@ -239,8 +237,9 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     keyed = docs.withColumn("text_key", F.md5(F.col("text")))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = _WordHashes()
         for pdf in batches:
-            sets = [ngram_set(t, n) for t in pdf["text"]]
+            sets = [ngram_set(t, n, words) for t in pdf["text"]]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "digest": [_digest(s) for s in sets],
                 "n_grams": [len(s) for s in sets],
@@ -278,8 +277,9 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     # full sets of the representatives that have something to verify
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = _WordHashes()
         for pdf in batches:
-            pdf["grams"] = [ngram_set(t, n).tobytes() for t in pdf["text"]]
+            pdf["grams"] = [ngram_set(t, n, words).tobytes() for t in pdf["text"]]
             yield pdf.drop(columns="text")
 
     wanted = owned.select("digest").distinct().join(reps, "digest").select(

@@ -21,8 +21,7 @@ from variantlake.llm import (
     url_filter,
     warc_derive,
 )
-from variantlake.llm.common import table
-from variantlake.session import ship_package
+from variantlake.llm.common import python_ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,7 +60,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_secret_worklist")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text, in it and in its encoded layers."""
-    ship_package(spark)
+    python_ready(spark)
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", secret_scan.findings(F.col("text")).alias("f")).select("doc_id", "f.*")
 

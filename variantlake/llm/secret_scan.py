@@ -33,6 +33,8 @@ import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from variantlake.llm.common import tidied
+
 KINDS = ("assign", "access", "hex")
 MAX_LAYER_BYTES = 64 << 20
 MASK = "[SECRET]"
@@ -261,7 +263,7 @@ def findings(text: Column, max_layer_bytes: int = MAX_LAYER_BYTES) -> Column:
                              _joined(spans), len(spans) - len(base), layers, cut))
             yield pd.DataFrame(rows, columns=names)
 
-    return F.pandas_udf(run, FINDINGS)(text)
+    return F.pandas_udf(tidied(run), FINDINGS)(text)
 
 
 def redact(text: str, mask: str = MASK) -> str:
@@ -283,4 +285,4 @@ def redacted(text: Column, mask: str = MASK) -> Column:
         for texts in series:
             yield pd.Series([redact(t, mask) if isinstance(t, str) else None for t in texts], dtype=object)
 
-    return F.pandas_udf(run, "string")(text)
+    return F.pandas_udf(tidied(run), "string")(text)

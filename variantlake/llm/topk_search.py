@@ -23,8 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from variantlake.llm.common import stored
-from variantlake.session import ship_package
+from variantlake.llm.common import python_ready, stored
 
 CELL_NUMBERS = 1 << 20  # components of a cell's candidates; its queries are an eighth
 SEGMENTS = (1, 4, 16)
@@ -70,7 +69,7 @@ def top_k(vectors: DataFrame, *, is_query: Column, k: int = 20, id_col: str = "v
           scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query's ``k`` best by inner product of
     ``floor(scale * x)``; scores are exact below 2^53."""
-    ship_package(vectors.sparkSession)
+    python_ready(vectors.sparkSession)
     vec = F.col(vector_col)
     fit = vec.isNotNull() & F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     rows = stored(
