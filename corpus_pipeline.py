@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variantlake.llm import language_id, mixing, ngram_join, packing, secret_scan
-from variantlake.llm.common import stored, table
-from variantlake.session import ship_package
+from variantlake.llm.common import python_ready, stored, table
 
-MIN_LANGUAGE_SCORE = 0.1
+MIN_LANGUAGE_SCORE = 0.03  # chance gives a cosine of 0.02; one known short word about 0.08
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; the secrets in their texts are masked."""
-    ship_package(spark)
+    python_ready(spark)
     masked = docs.withColumn("text", secret_scan.redacted(F.col("text")))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
