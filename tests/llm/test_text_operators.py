@@ -94,6 +94,18 @@ def test_base64_spans_are_exact_and_cycles_end():
     assert secret_scan.scan(bomb, max_layer_bytes=1000)[3] == 1
 
 
+def test_every_decoded_base64_layer_is_scanned():
+    secret = "token=abcdef123"
+    marks = ["\u00a0", "\ufeff", "\u200b", "\u3000", "\0", "\x1b"]
+    raws = [f"{m} {secret} end".encode() for m in marks]
+    raws += [f"\u00e9 {secret} \u00fc".encode("latin-1"), *(f"\u0442 {secret} z\u0442".encode(c) for c in ("utf-16", "utf-16-le", "utf-16-be"))]
+    raws += [f"{start}{secret}".encode() for start in ("x ", "x?", "x^", "x}")]
+    for raw in raws:
+        text = f"Before. {base64.b64encode(raw).decode()} after."
+        assert {s[0] for s in secret_scan.scan(text)[1]} == {"assign"}, raw
+        assert secret_scan.scan(secret_scan.redact(text))[1] == [], raw
+
+
 def test_secret_query(spark):
     want = Counter()
     for d in documents(spark):

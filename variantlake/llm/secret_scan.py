@@ -8,7 +8,9 @@ which also stops cycles (data that decompresses to itself).
 
 One narrow pass, no shuffle.  A layer maps positions to its parent's; escapes keep an
 exact position per character, base64 the characters that carry a byte, and compressed
-data the whole run it came from.
+data the whole run it came from.  Decoded bytes are read as UTF-8, else one character a
+byte, and as UTF-16 where they hold zero bytes; whatever they look like they are scanned,
+also beside their decompressed form.
 
 Defined results: null counts as empty; spans are (kind, start, end) in code points, each
 once, by start, then kind as listed, then end; base matches always stay.  A decompressed
@@ -26,8 +28,9 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column
@@ -108,6 +111,21 @@ def _byte_text(raw: bytes) -> tuple[str, list[int]]:
     return text, starts
 
 
+def _byte_texts(raw: bytes) -> Iterator[tuple[str, Sequence[int]]]:
+    """All readings of bytes as text, each with its characters' first bytes (and the end):
+    ``_byte_text``, and UTF-16 in both byte orders from both offsets where a zero byte is
+    the high half of a unit - without one, no ASCII character and so no secret is there."""
+    yield _byte_text(raw)
+    for offset in (0, 1) if b"\0" in raw else ():
+        n = (len(raw) - offset) // 2
+        for order, high in (("<", 1), (">", 0)):
+            if 0 not in raw[offset + high : offset + 2 * n : 2]:
+                continue
+            units = np.frombuffer(raw, order + "u2", n, offset).astype("<u4")
+            units[(units >= 0xD800) & (units < 0xE000)] = 0xFFFD
+            yield units.tobytes().decode("utf-32-le"), range(offset, offset + 2 * n + 1, 2)
+
+
 def _unescape_url(text: str) -> tuple[str, Mapper] | None:
     if "%" not in text:
         return None
@@ -189,10 +207,6 @@ def _base64_runs(text: str) -> Iterator[tuple[int, int, bytes]]:
         yield m.start(), m.end(), raw
 
 
-def _readable(text: str) -> bool:
-    return all(c.isprintable() or c in "\t\r\n" for c in text)
-
-
 def scan(text: str | None, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list, list, int, int]:
     """(base matches, all spans, layers scanned, layers cut) of one text."""
     text = text or ""
@@ -216,29 +230,22 @@ def scan(text: str | None, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list
             if child is not None:
                 work.append((child[0], lambda s, e, up=to_text, back=child[1]: up(*back(s, e))))
         for s, e, raw in _base64_runs(layer):
-            if _packed(raw):
-                whole = to_text(s, e)
-                seen = set()
-                while raw and _packed(raw) and (digest := hashlib.blake2b(raw, digest_size=16).digest()) not in seen:
-                    seen.add(digest)
-                    out = _unpack(raw, max_layer_bytes)
-                    if out is None:
-                        break
-                    raw, was_cut = out
-                    cut += was_cut
-                    work.append((_byte_text(raw)[0], lambda s, e, whole=whole: whole))
-                continue
-            try:
-                inner = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if _readable(inner):
-                starts = _byte_text(raw)[1]
-
+            whole = to_text(s, e)
+            inner, seen = raw, set()
+            while inner and _packed(inner) and (digest := hashlib.blake2b(inner, digest_size=16).digest()) not in seen:
+                seen.add(digest)
+                out = _unpack(inner, max_layer_bytes)
+                if out is None:
+                    break
+                inner, was_cut = out
+                cut += was_cut
+                for found, _ in _byte_texts(inner):
+                    work.append((found, lambda s, e, whole=whole: whole))
+            for found, starts in _byte_texts(raw):
                 def back(a: int, b: int, at=s, starts=starts) -> Span:
                     return at + starts[a] * 8 // 6, at - (-starts[b] * 8 // 6)
 
-                work.append((inner, lambda a, b, up=to_text, back=back: up(*back(a, b))))
+                work.append((found, lambda a, b, up=to_text, back=back: up(*back(a, b))))
     return base, sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])), layers, cut
 
 
