@@ -6,28 +6,32 @@ mapped back to the characters of the text that produced it.  The worklist ends a
 fixpoint: a layer with the same content over the same characters is never done twice,
 which also stops cycles (data that decompresses to itself).
 
+Base64 is decoded at all four alignments, as other characters of its alphabet may be
+glued to it, and lines of it are joined first.  Compressed data is found by its first
+bytes anywhere in decoded base64, in decompressed data, and in URL, Unicode and C escapes
+taken as one character a byte; members that follow each other are one stream.
+
 One narrow pass, no shuffle.  A layer maps positions to its parent's; escapes keep an
 exact position per character, base64 the characters that carry a byte, and compressed
-data the whole run it came from.  Decoded bytes are read as UTF-8, else one character a
-byte, and as UTF-16 where they hold zero bytes; whatever they look like they are scanned,
-also beside their decompressed form.
+data the whole base64 run or the escapes it came from.
 
 Defined results: null counts as empty; spans are (kind, start, end) in code points, each
-once, by start, then kind as listed, then end; base matches always stay.  A decompressed
-layer stops at ``max_layer_bytes`` (a guard against bombs, not reached by plain data):
-what was decoded up to there is scanned, and ``n_cut_layers`` reports it.
+once, by start, then kind as listed, then end; base matches always stay.  Decompressed
+data is read to its end, in windows of ``WINDOW`` bytes.  A window overlaps the next by
+``OVERLAP`` bytes and by the encoded run open at its end; a run that fills a window, or
+compressed data inside that a window's end cuts off, is read piece by piece, and
+``n_cut_layers`` reports it.  With ``max_layer_bytes`` (a guard against bombs, off by
+default) a layer stops there, which is reported likewise.
 """
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -39,7 +43,8 @@ from pyspark.sql import functions as F
 from variantlake.llm.common import tidied
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER_BYTES = 64 << 20
+WINDOW, OVERLAP = 64 << 20, 1 << 20
+PIECE = 64  # compressed bytes a step: damaged data loses what the failing step would give
 MASK = "[SECRET]"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -51,7 +56,16 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(
     r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u\{[0-9a-fA-F]{1,6}\}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}"
     r"|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_C_ESCAPE = re.compile(_ESCAPE.pattern + r"""|\\[0-7]{1,3}|\\[abfnrtv'"\\/]""")
+_C_CHARS = dict(zip("abfnrtv", "\a\b\f\n\r\t\v"))
+_LONG = re.compile(r"[A-Za-z0-9+/_-]{16}")
+_BREAK = r"[\x20\t]*(?:\r\n?|\n|(?:\\r)?\\n)[\x20\t>]*"
+_BASE64 = re.compile(  # runs of 16 or more, with the lines around them
+    rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}|[A-Za-z0-9+/_-]+(?={_BREAK}[A-Za-z0-9+/_-]{{16}}))(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_WORDS64 = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAKS = re.compile(_BREAK)
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd|x[\x01^\x9c\xda]")
+_RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\{}&#;\r\n\0"
 
 Span = tuple[int, int]
 Mapper = Callable[[int, int], Span]
@@ -154,99 +168,203 @@ def _unescape_unicode(text: str) -> tuple[str, Mapper] | None:
     return _replaced(text, pieces) if pieces else None
 
 
-def _packed(raw: bytes) -> bool:
-    return raw[:2] == b"\x1f\x8b" or raw[:3] == b"BZh" or raw[:6] == b"\xfd7zXZ\x00" or raw[:4] == b"\x28\xb5\x2f\xfd" or (
-        len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0)
+def _byte_forms(text: str) -> Iterator[tuple[str, Mapper]]:
+    """Escapes of ``text`` as one character a byte, whatever the bytes say."""
+    if "%" in text and _URL.search(text):
+        for plain in {text, text.replace("+", " ")}:
+            yield _replaced(plain, [
+                (m.start(), m.end(), bytes.fromhex(m.group().replace("%", "")).decode("latin-1"), [(i, i + 3) for i in range(m.start(), m.end(), 3)])
+                for m in _URL.finditer(plain)])
+    if ("\\" in text or "&#" in text) and _ESCAPE.search(text):
+        yield _replaced(text, [(m.start(), m.end(), _c_char(m.group()), [m.span()]) for m in _C_ESCAPE.finditer(text)])
 
 
-def _unpack(raw: bytes, limit: int) -> tuple[bytes, bool] | None:
-    """Decompressed bytes (what could be read of damaged data) and whether the limit cut them."""
-    if raw[:2] == b"\x1f\x8b" or raw[0] == 0x78:
-        step = zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
-        step = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        step = lzma.LZMADecompressor()
-    else:
-        step = None
-    out = bytearray()
-    try:
-        if step is None:
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                while len(out) <= limit and (part := reader.read(1 << 16)):
-                    out += part
-        else:
-            for at in range(0, len(raw), 1 << 10):
-                left = limit + 1 - len(out)
-                if left <= 0 or step.eof:
-                    break
-                out += step.decompress(raw[at : at + (1 << 10)], left)
-                while len(out) <= limit and (more := _pending(step, limit + 1 - len(out))):
-                    out += more
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        pass
-    return (bytes(out[:limit]), len(out) > limit) if out else None
-
-
-def _pending(step, left: int) -> bytes:
-    """More output for input that the decompressor still holds."""
-    if isinstance(step, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
-        return b"" if step.eof or step.needs_input else step.decompress(b"", left)
-    return step.decompress(step.unconsumed_tail, left) if step.unconsumed_tail else b""
+def _c_char(escape: str) -> str:
+    if escape[0] == "&" or escape[1] in "uUx":
+        return _escape_char(escape)
+    return chr(int(escape[1:], 8) & 255) if escape[1].isdigit() else _C_CHARS.get(escape[1], escape[1])
 
 
-def _base64_runs(text: str) -> Iterator[tuple[int, int, bytes]]:
-    for m in _BASE64.finditer(text):
-        run = m.group().rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        yield m.start(), m.end(), raw
+def _decompressor(head: bytes):
+    if head[:2] == b"\x1f\x8b" or head[0] == 0x78:
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:1] == b"\xfd":
+        return lzma.LZMADecompressor()
+    return zstandard.ZstdDecompressor().decompressobj()
 
 
-def scan(text: str | None, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list, list, int, int]:
+def _inflated(raw: bytes, at: int, end: list[int]) -> Iterator[bytes]:
+    """Decompressed parts (what can be read of damaged data) of the compressed data at
+    ``at``, with the members right after it; ``end`` gets where it ends, and -1 in the
+    second place when ``raw`` ended first."""
+    while _PACKED.match(raw, at):
+        step = _decompressor(raw[at : at + 6])
+        try:
+            while not step.eof:
+                if at >= len(raw):
+                    end[:] = [at, -1]
+                    if part := step.flush() if hasattr(step, "flush") else b"":
+                        yield part
+                    return
+                piece = raw[at : at + PIECE]
+                at += len(piece)
+                yield from _step(step, piece)
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+            end[:] = [at, 0]
+            return
+        at -= len(step.unused_data)
+        end[:] = [at, 0]
+        if raw[at : at + 1] == b"\0":  # padding between members
+            at = len(raw) - len(raw[at:].lstrip(b"\0"))
+
+
+def _step(step, piece: bytes) -> Iterator[bytes]:
+    """What one piece of input gives, in parts of bounded size where the format lets us."""
+    if isinstance(step, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+        while part := step.decompress(piece, 1 << 20):
+            yield part
+            if step.eof or step.needs_input:
+                return
+            piece = b""
+    elif isinstance(step, type(zlib.decompressobj())):
+        while piece:
+            if part := step.decompress(piece, 1 << 20):
+                yield part
+            piece = step.unconsumed_tail
+    elif part := step.decompress(piece):
+        yield part
+
+
+def _windows(parts: Iterator[bytes], limit: int | None, cut: list[int]) -> Iterator[bytes]:
+    """A stream in overlapping windows; ``cut`` counts layers cut by ``limit`` and runs
+    that fill a window."""
+    held, total, fresh, filled = bytearray(), 0, False, False
+    for part in parts:
+        over = limit is not None and total + len(part) > limit
+        part = part[: limit - total] if over else part
+        held += part
+        total += len(part)
+        fresh |= bool(part)
+        if over:
+            cut[0] += 1
+            break
+        if len(held) >= WINDOW:
+            yield bytes(held)
+            tail = min(len(held) - OVERLAP, len(held.rstrip(_RUN_BYTES)))
+            if tail <= 0:
+                filled |= bool(held.strip(b"\0"))
+                tail = len(held) - OVERLAP
+            del held[:tail]
+            fresh = False
+    cut[0] += filled
+    if fresh:
+        yield bytes(held)
+
+
+def _base64_runs(text: str) -> Iterator[tuple[bytes, Mapper]]:
+    """The bytes of base64 runs at each alignment, and the mapping of byte ranges to ``text``."""
+    if not _LONG.search(text):
+        return
+    for m in _BASE64.finditer(text):
+        run, start = m.group().rstrip("="), m.start()
+        at: Sequence[int] = range(start, start + len(run))
+        if _BREAKS.search(run):
+            at, lines, place = [], [], 0
+            while w := _WORDS64.match(run, place):
+                lines.append(w.group())
+                at += range(start + place, start + w.end())
+                gap = _BREAKS.match(run, w.end())
+                place = gap.end() if gap else len(run)
+            run = "".join(lines)
+        run = run.replace("-", "+").replace("_", "/")
+        for skip in range(4):
+            part = run[skip:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+
+            def back(a: int, b: int, at=at, skip=skip) -> Span:
+                return at[skip + a * 8 // 6], at[skip - (-b * 8 // 6) - 1] + 1
+
+            if raw:
+                yield raw, back
+
+
+def _up(chain: tuple | None, s: int, e: int) -> Span:
+    """A span of a layer in the text: ``chain`` is (mapper to the parent, the parent's chain)."""
+    while chain is not None:
+        s, e = chain[0](s, e)
+        chain = chain[1]
+    return s, e
+
+
+def scan(text: str | None, max_layer_bytes: int | None = None) -> tuple[list, list, int, int]:
     """(base matches, all spans, layers scanned, layers cut) of one text."""
     text = text or ""
     base = sorted(matches(text), key=lambda x: (x[1], KINDS.index(x[0])))
     spans = set(base)
-    work: deque = deque([(text, lambda s, e: (s, e))])
     done: set = set()
-    layers = cut = 0
+    layers, cut = 0, [0]
+
+    def new(data: bytes, kind: str, chain, length: int) -> bool:
+        key = (kind, hashlib.blake2b(data, digest_size=16).digest(), _up(chain, 0, length))
+        if key in done:
+            return False
+        done.add(key)
+        return True
+
+    def of_text(layer: str, chain):
+        for child in (_unescape_url(layer), _unescape_unicode(layer)):
+            if child is not None:
+                yield child[0], (child[1], chain)
+        for form, back in _byte_forms(layer):
+            yield from packed(form.encode("latin-1", "replace"), (back, chain), None)
+        for raw, back in _base64_runs(layer):
+            yield raw, (back, chain)
+
+    def of_bytes(raw: bytes, chain):
+        for found, starts in _byte_texts(raw):
+            yield found, (lambda a, b, starts=starts: (starts[a], starts[b]), chain)
+        yield from packed(raw, chain, _up(chain, 0, len(raw)))
+
+    def packed(raw: bytes, chain, whole: Span | None):
+        at = 0
+        while m := _PACKED.search(raw, at):
+            end = [m.end(), 0]
+            span = whole
+            if span is None:  # escapes: as far as the data goes
+                if not any([bool(p) for p in _inflated(raw, m.start(), end)]):
+                    at = m.start() + 1
+                    continue
+                span = _up(chain, m.start(), end[0])
+            found = False
+            for window in _windows(_inflated(raw, m.start(), end), max_layer_bytes, cut):
+                found = True
+                yield window, (lambda a, b, span=span: span, None)
+            cut[0] += found and end[1] < 0 and len(raw) >= WINDOW
+            at = max(end[0], m.end()) if found else m.start() + 1
+
+    work: list = [iter([(text, None)])]
     while work:
-        layer, to_text = work.popleft()
+        item = next(work[-1], None)
+        if item is None:
+            work.pop()
+            continue
+        layer, chain = item
         if not layer:
             continue
-        key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), to_text(0, len(layer)))
-        if key in done:
+        if isinstance(layer, bytes):
+            if new(layer, "bytes", chain, len(layer)):
+                work.append(of_bytes(layer, chain))
+            continue
+        if not new(layer.encode("utf-8", "surrogatepass"), "text", chain, len(layer)):
             continue
-        done.add(key)
         layers += 1
         if layers > 1:
-            spans.update((kind, *to_text(s, e)) for kind, s, e in matches(layer))
-        for child in (_unescape_url(layer), _unescape_unicode(layer)):
-            if child is not None:
-                work.append((child[0], lambda s, e, up=to_text, back=child[1]: up(*back(s, e))))
-        for s, e, raw in _base64_runs(layer):
-            whole = to_text(s, e)
-            inner, seen = raw, set()
-            while inner and _packed(inner) and (digest := hashlib.blake2b(inner, digest_size=16).digest()) not in seen:
-                seen.add(digest)
-                out = _unpack(inner, max_layer_bytes)
-                if out is None:
-                    break
-                inner, was_cut = out
-                cut += was_cut
-                for found, _ in _byte_texts(inner):
-                    work.append((found, lambda s, e, whole=whole: whole))
-            for found, starts in _byte_texts(raw):
-                def back(a: int, b: int, at=s, starts=starts) -> Span:
-                    return at + starts[a] * 8 // 6, at - (-starts[b] * 8 // 6)
-
-                work.append((found, lambda a, b, up=to_text, back=back: up(*back(a, b))))
-    return base, sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])), layers, cut
+            spans.update((kind, *_up(chain, s, e)) for kind, s, e in matches(layer))
+        work.append(of_text(layer, chain))
+    return base, sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])), layers, cut[0]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -256,7 +374,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 FINDINGS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long, n_layers long, n_cut_layers long"
 
 
-def findings(text: Column, max_layer_bytes: int = MAX_LAYER_BYTES) -> Column:
+def findings(text: Column, max_layer_bytes: int | None = None) -> Column:
     """Struct ``FINDINGS`` of a text column."""
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
