@@ -6,20 +6,29 @@ DataFrame, which ``run`` writes to the shared folder and reads again as the next
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variantlake.llm import language_id, mixing, ngram_join, packing, secret_scan
 from variantlake.llm.common import python_ready, stored, table
 
-MIN_LANGUAGE_SCORE = 0.03  # chance gives a cosine of 0.02; one known short word about 0.08
+LANGUAGE_DIM = 16_384  # unrelated vectors have cosines of deviation 1 / sqrt(dim) = 0.008
+MIN_LANGUAGE_SCORE = 0.04  # five deviations; one known short word has about 0.08
+RANDOM_LETTERS = 0.0035  # random letters hit learned trigrams: about 0.004 times the root of the words
+MOST_LANGUAGE_SCORE = 0.3
+
+
+def least_score(text: Column) -> Column:
+    """The cosine a text must reach: chance, and what random letters of as many different words reach."""
+    words = F.size(F.array_distinct(F.split(F.lower(text), r"[\x20\x09-\x0D]+")))
+    return F.least(F.lit(MIN_LANGUAGE_SCORE) + F.lit(RANDOM_LETTERS) * F.sqrt(words), F.lit(MOST_LANGUAGE_SCORE))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those unlike every learned language."""
-    learned = language_id.learn(docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out()).select("text", "lang"))
-    known = language_id.identify(docs, learned, lang_out="_lang", score_out="_score")
-    return known.where((F.col("_lang") != "und") & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    learned = language_id.learn(docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out()).select("text", "lang"), dim=LANGUAGE_DIM)
+    known = language_id.identify(docs, learned, lang_out="_lang", score_out="_score", dim=LANGUAGE_DIM)
+    return known.where((F.col("_lang") != "und") & (F.col("_score") >= least_score(F.col("text")))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -451,6 +451,22 @@ def test_pipeline_against_a_brute_force_version(spark):
         (r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed)
 
 
+def test_language_stage_rejects_unlearned_scripts_and_gibberish(spark):
+    rng = np.random.default_rng(7)
+    docs = table(spark, SF_SMALL, "documents")
+    alphabets = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "".join(map(chr, range(0x430, 0x450))),
+                 "greek": "".join(map(chr, range(0x3B1, 0x3CA))), "han": "".join(map(chr, range(0x4E00, 0x5200)))}
+    words = lambda a, n: " ".join("".join(rng.choice(list(a), rng.integers(2, 10))) for _ in range(n))
+    texts = [(name, words(a, n)) for name, a in alphabets.items() for n in (2, 5, 30, 100, 500) for _ in range(12)]
+    texts += [("clean", " ".join(r["text"].split()[:n])) for r in docs.collect() if len(r["text"].split()) > 100 for n in (5, 30, 100)]
+    odd = spark.createDataFrame([(10_000 + i, text, None, name, None) for i, (name, text) in enumerate(texts)], DOC)
+    odd = odd.withColumn("n_chars", F.col("n_chars").cast(docs.schema["n_chars"].dataType))
+    kept = Counter(r["source"] for r in corpus_pipeline.language(spark, docs.unionByName(odd.select(*docs.columns)), SF_SMALL).collect())
+    n = Counter(name for name, _ in texts)
+    assert not any(kept[name] for name in ("cyrillic", "greek", "han"))
+    assert kept["latin"] <= 0.15 * n["latin"] and kept["clean"] >= 0.98 * n["clean"] > 50, (kept, n)
+
+
 def test_pipeline_of_odd_rows(spark):
     docs = odd_docs(spark)
     for name, stage in corpus_pipeline.STAGES:

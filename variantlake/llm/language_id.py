@@ -27,6 +27,7 @@ from variantlake.llm.common import map_batches, python_ready, tidied
 
 DIM = 2048
 CHUNK_DOCS, CHUNK_CHARS, CHUNK_GRAMS = 512, 1_500_000, 2048
+_NUMBERS = 1 << 22  # of a chunk's trigram vectors; twice that for letters' vectors
 _DENSE = 1 << 22  # trigram codes that fit a lookup table; beyond it they are sorted
 
 _LETTERS: dict[tuple[int, int], np.ndarray] = {}
@@ -36,7 +37,7 @@ def letter_vector(code: int, dim: int) -> np.ndarray:
     """The random +1/-1 vector of a code point (0: word boundary)."""
     vec = _LETTERS.get((code, dim))
     if vec is None:
-        if len(_LETTERS) >= 4096:
+        if len(_LETTERS) >= 2 * _NUMBERS // dim:
             _LETTERS.clear()
         bits = np.random.default_rng(77_003 + code).integers(0, 2, dim)
         vec = _LETTERS[code, dim] = (2 * bits - 1).astype(np.float32)
@@ -91,9 +92,10 @@ def bundle(texts: list[str], owner: np.ndarray, n_owners: int, dim: int) -> np.n
         return out
     doc, code, grams = _trigrams(texts)
     own = owner[doc]
-    for at in range(0, len(grams), CHUNK_GRAMS):
-        part = grams[at : at + CHUNK_GRAMS]
-        here = (code >= at) & (code < at + len(part)) if len(grams) > CHUNK_GRAMS else slice(None)
+    step = max(1, min(CHUNK_GRAMS, _NUMBERS // dim))
+    for at in range(0, len(grams), step):
+        part = grams[at : at + step]
+        here = (code >= at) & (code < at + len(part)) if len(grams) > step else slice(None)
         counts = np.bincount(own[here] * len(part) + code[here] - at, minlength=n_owners * len(part))
         out += counts.reshape(n_owners, len(part)).astype(np.float32) @ _gram_vectors(part, dim)
     return out
