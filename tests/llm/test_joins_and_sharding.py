@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from variantlake.llm import kd_sharding, ngram_join, queries, topk_search, url_filter
@@ -89,6 +90,19 @@ def test_join_of_odd_rows(spark):
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0
 
 
+def test_large_ids_beside_a_null_id_stay_exact(spark):
+    big, words = 2**62 + 1, [f"w{i}" for i in range(60)]
+    rows = [(None, "alone here", "en", "s", 1)] + [(big + 2 * i, " ".join([*words, f"x{i}"]), "en", "s", 1) for i in range(3)]
+    docs = spark.createDataFrame(rows, DOC).coalesce(1)
+    joined = ngram_join.ngram_join(docs)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in joined.collect()} == {
+        None: (None, 0), **{big + 2 * i: (big, 2) for i in range(3)}}
+    kept = ngram_join.one_per_class(docs, joined).collect()
+    assert Counter(r["doc_id"] for r in kept) == Counter([None, big])
+    got = kd_sharding.kd_shards(docs, size=F.length("text"), dims=[F.length("text")], keep={"doc_id": F.col("doc_id"), "size": F.length("text")}, n_shards=2)
+    assert dict(got.dtypes)["doc_id"] == "bigint" and Counter(r["doc_id"] for r in got.collect()) == Counter(r[0] for r in rows)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["root"] for r in ngram_join.components(edges).collect()}

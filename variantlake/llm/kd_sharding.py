@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from variantlake.llm.common import map_batches, rank_in_group, stored
 
@@ -197,7 +198,10 @@ def kd_shards(docs: DataFrame, *, size: Column, dims: list[Column], keep: dict[s
             pdf["shard"] = shard_of[_place(cols, nodes)].astype(np.int32)
             yield pdf.drop(columns=[f"_d{i}" for i in range(n_dims)])
 
+    # kept numbers travel as strings: pandas would round long ones of a batch with a null
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if not c.startswith("_d")) + ", shard int"
-    placed = stored(map_batches(rows, assign, schema), "kd-shards")
+    texts = [k for k in keep if isinstance(rows.schema[k].dataType, IntegralType)]
+    schema = ", ".join(f"`{c}` {'string' if c in texts else kinds[c]}" for c in rows.columns if not c.startswith("_d")) + ", shard int"
+    placed = map_batches(rows.withColumns({k: F.col(f"`{k}`").cast("string") for k in texts}), assign, schema)
+    placed = stored(placed.withColumns({k: F.col(f"`{k}`").cast(kinds[k]) for k in texts}), "kd-shards")
     return rank_in_group(placed, ["shard"], [F.col("_rid")], "slot").select(*keep, "shard", "slot")

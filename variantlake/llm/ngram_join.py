@@ -235,6 +235,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     n_bands, n_rows = choose_bands(threshold, recall)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     keyed = docs.withColumn("text_key", F.md5(F.col("text")))
+    kind = docs.schema["doc_id"].dataType
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHashes()
@@ -245,7 +246,10 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 "n_grams": [len(s) for s in sets],
                 "bands": [band_hashes(s, n_bands, n_rows) if len(s) else None for s in sets]})
 
-    slim = stored(map_batches(keyed, hashed, "doc_id long, text_key string, digest binary, n_grams long, bands array<long>"), "ngram-slim")
+    # ids travel as strings: pandas would round long ids of a batch with a null
+    slim = map_batches(keyed.withColumn("doc_id", F.col("doc_id").cast("string")), hashed,
+                       "doc_id string, text_key string, digest binary, n_grams long, bands array<long>")
+    slim = stored(slim.withColumn("doc_id", F.col("doc_id").cast(kind)), "ngram-slim")
     reps = stored(
         slim.where("digest is not null").groupBy("digest").agg(
             F.min(F.struct("doc_id", "text_key")).alias("home"), F.min("doc_id").alias("first_id"),
