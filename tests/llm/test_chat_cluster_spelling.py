@@ -1,14 +1,16 @@
 """Reply trees, heap-bound clustering and spelling variants against brute force."""
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from variantlake.llm import chat_trees, queries
+from variantlake.llm import chat_trees, heap_clusters, queries
+from variantlake.llm.common import stored, table
 
 NODES = "tree_id long, node_id long, parent_id long, role string, text string, score double, rid int, leaf string, mask int"
 NASTY = ["\\", "<turn>", "<text>", "</turn>", "</turn>\n", "<\\turn>", "<", "\\\\</turn>", "\n", "é", "𝄞", "user", ""]
@@ -116,3 +118,55 @@ def test_turns_in_order_with_ties_and_nulls(spark):
 def test_chat_plan_is_native(spark):
     plan = queries.op11(spark, SF_SMALL)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def brute_clusters(rows, k=16, dim=64, rounds=3):
+    vec = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows
+           if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    sha = lambda i: (1, "") if i is None else (0, hashlib.sha256(f"1:{i}".encode()).hexdigest())
+    c = [v for _, v in sorted(vec, key=lambda r: (sha(r[0]), r[1]))[:k]]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    for turn in range(rounds + 1):
+        at = [min((far(v, m), j) for j, m in enumerate(c)) for _, v in vec]
+        for j in range(len(c)) if turn < rounds else ():
+            if own := [v for (_, v), (_, a) in zip(vec, at) if a == j]:
+                c[j] = [sum(col) // len(own) for col in zip(*own)]
+    inertia = Counter()
+    for d, j in at:
+        inertia[j] += d
+    sha_c = [hashlib.sha256(",".join(map(str, m)).encode()).hexdigest() for m in c]
+    return Counter((i, j, d, inertia[j], sum(inertia.values()), sha_c[j]) for (i, _), (d, j) in zip(vec, at))
+
+
+def test_clusters_equal_brute_force_and_the_sql(spark):
+    cols, want = oracle("op12_heap_bound_clusters")
+    rows = [(r["vec_id"], r["embedding"]) for r in table(spark, SF_SMALL, "embeddings").collect()]
+    got = Counter(tuple(r) for r in queries.op12(spark, SF_SMALL).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256").collect())
+    assert got == brute_clusters(rows)
+    assert cols == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"] and got == want
+
+
+@pytest.mark.parametrize("n", [700, 9, 0])
+def test_clusters_of_odd_vectors(spark, n):
+    rng = random.Random(n)
+    near = [[rng.gauss(8 * (i % 5), 0.4) for _ in range(3)] for i in range(n)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(near)]
+    if n > 100:  # copies, ties, wrong lengths, nulls, empty clusters
+        rows += [(7, rows[7][1])] * 200 + [(None, [1.0, 2.0, 3.0])] * 3
+        rows += [(1, None), (2, [1.0, None, 2.0]), (3, [float("nan")] * 3), (4, [1.0, 2.0]), (5, [float("inf"), 0.0, 0.0]), (6, [])]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, cluster int, key int")
+    got = heap_clusters.cluster(frame, n_clusters=12, dim=3)
+    assert Counter(tuple(r) for r in got.collect()) == brute_clusters(rows, k=12, dim=3)
+
+
+def test_heaps_spare_most_vectors(spark):
+    """After the first rounds most keys outlast the drift; every vector is in one place."""
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(8, 16)) * 400
+    x = np.floor(centers[rng.integers(0, 8, 4000)] + rng.normal(size=(4000, 16)) * 20)
+    rows = stored(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "rid long, vec array<double>"), "v")
+    state = heap_clusters.fit(rows, [[int(v) for v in c] for c in np.floor(centers + 15)], 4)
+    assert state.popped[0] == 4000 and sum(state.popped[1:]) < 400
+    got = heap_clusters.assigned(state).collect()
+    d = ((x[:, None, :] - np.array(state.centroids, float)[None]) ** 2).sum(axis=2)
+    assert {r["rid"]: (r["cluster"], r["distance"]) for r in got} == {i: (int(row.argmin()), int(row.min())) for i, row in enumerate(d)} and len(got) == 4000

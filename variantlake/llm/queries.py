@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from variantlake.llm import (
     chat_trees,
+    heap_clusters,
     kd_sharding,
     language_id,
     line_quality,
@@ -227,3 +228,27 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_trees.read_back(paths).select(
         F.col("tree_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), digest(F.array_join(F.transform("turns", turn), "")).alias("turns_sha256"),
         F.char_length("loss_text").cast("long").alias("loss_chars"), digest(F.col("loss_text")).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Rounds of assignment and update, written out; lists of components are compared whole."""
+    far = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.c[i]) * (v.v[i] - c.c[i])))"
+    parts = ["""v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS INTEGER) AS j, v AS c FROM
+  (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT 16))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT rid, vec_id, v, j, d FROM (SELECT v.rid, v.vec_id, v.v, c.j, {far} AS d FROM v CROSS JOIN c{i} c)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, j) = 1)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT j, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY j, i),
+c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m, c) AS c FROM c{i} LEFT JOIN (SELECT j, list(m ORDER BY i) AS m FROM s{i} GROUP BY j) USING (j))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, a.j AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.j = c.j"""
+
+
+@query("op12_heap_bound_clusters", _clusters_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three rounds over 16 centroids."""
+    return heap_clusters.cluster(table(spark, sf_dir, "embeddings"))
