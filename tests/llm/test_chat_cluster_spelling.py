@@ -2,14 +2,17 @@
 import hashlib
 import math
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
+from os.path import commonprefix
 
 import duckdb
 import numpy as np
 import pytest
 
 from conftest import SF_SMALL
-from variantlake.llm import chat_trees, heap_clusters, queries
+from variantlake.llm import chat_trees, heap_clusters, queries, spelling
 from variantlake.llm.common import stored, table
 
 NODES = "tree_id long, node_id long, parent_id long, role string, text string, score double, rid int, leaf string, mask int"
@@ -170,3 +173,92 @@ def test_heaps_spare_most_vectors(spark):
     got = heap_clusters.assigned(state).collect()
     d = ((x[:, None, :] - np.array(state.centroids, float)[None]) ** 2).sum(axis=2)
     assert {r["rid"]: (r["cluster"], r["distance"]) for r in got} == {i: (int(row.argmin()), int(row.min())) for i, row in enumerate(d)} and len(got) == 4000
+
+
+def brute_words(docs):
+    n = Counter()
+    for doc_id, text in docs:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{w}".encode())
+            if h % 31 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1:]
+            n[w] += 1
+    return {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
+
+
+def brute_variants(n):
+    without = defaultdict(set)  # words one deletion away, and the same with a hole, are met by key
+    for w in n:
+        for i in range(len(w)):
+            without["-", w[:i] + w[i + 1:]].add(w)
+            without[i, w[:i] + w[i + 1:]].add(w)
+    near = defaultdict(set)
+    for (kind, key), words in without.items():
+        if kind == "-":
+            if key in n:
+                near[key] |= words
+                for w in words:
+                    near[w].add(key)
+        else:
+            for w in words:
+                near[w] |= words - {w}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * n[w] else None
+    out = Counter()
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None] += 1
+    return out
+
+
+def test_spelling_equals_brute_force_on_documents(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "BLOCK", 300)  # several blocks
+    docs = [tuple(r) for r in table(spark, SF_SMALL, "documents").select("doc_id", "text").collect()]
+    want = brute_variants(brute_words(docs))
+    assert Counter(tuple(r) for r in queries.op13(spark, SF_SMALL).collect()) == want and any(r[1] for r in want)
+
+
+def test_spelling_of_a_dense_vocabulary(spark, monkeypatch):
+    """Words over two letters: prefixes shared by whole blocks, many near words, long chains."""
+    monkeypatch.setattr(spelling, "BLOCK", 60)
+    monkeypatch.setattr(spelling, "CELL_QUERIES", 100)
+    rng = random.Random(2)
+    n = {"".join(rng.choice("ab") for _ in range(rng.randrange(7, 13))): 2 + rng.randrange(9) ** rng.randrange(6) for _ in range(1500)}
+    n |= {"aaaaaaa" + "b" * i: 2 * 10**i for i in range(9)} | {"ÿabcdefg": 3, "ÿabcdefgÀ": 30, "zabcdefg": 40, "x" * 5000: 5, "x" * 5001: 50}
+    frame = spark.createDataFrame(list(n.items()), "word string, n long")
+    got = Counter(tuple(r) for r in spelling.variants(frame).collect())
+    short = {w: k for w, k in n.items() if len(w) < 100}
+    want = brute_variants(short) + Counter({("x" * 5000, "x" * 5001, "x" * 5001, 5, 1, 50): 1, ("x" * 5001, None, "x" * 5001, 50, 1, None): 1})
+    assert got == want
+
+
+def test_spelling_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (None, "Variant VARIANT variants"), (3, "variant×variante variante ÷ Étéétéé étéétéé"), (4, "a" * 100_000 + " " + "b" * 7), (4, "a" * 100_000 + " " + "b" * 7)]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, word string")
+    got = Counter(tuple(r) for r in spelling.variants(spelling.word_counts(frame)).collect())
+    short = brute_words([(i, (t or "").replace("a" * 100_000, " ")) for i, t in rows])
+    crc = zlib.crc32(("4:" + "a" * 100_000).encode())
+    want = brute_variants(short) + Counter({("a" * (100_000 - (crc % 31 == 0)), None, "a" * (100_000 - (crc % 31 == 0)), 2, 0, None): 1})
+    assert got == want
+    assert spelling.variants(spelling.word_counts(frame.limit(0))).count() == 0
+
+
+def test_scan_skips_ranges_and_finds_all():
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))) for _ in range(800)})
+    queries_ = rng.sample(words, 120) + ["", "z"]
+    listed = spelling.SortedList(words)
+    got = {(queries_[i], words[j]) for i, j in zip(*spelling.scan(queries_, listed))}
+
+    def one_edit(a, b):
+        if abs(len(a) - len(b)) > 1 or a == b:
+            return False
+        i = len(commonprefix([a, b]))
+        return a[i + 1:] == b[i + 1:] or a[i + 1:] == b[i:] or a[i:] == b[i + 1:]
+
+    assert got == {(a, b) for a in queries_ for b in words if one_edit(a, b) and a[: max(0, len(a) - 1) // 2] == b[: max(0, len(a) - 1) // 2]}

@@ -19,6 +19,7 @@ from variantlake.llm import (
     ngram_join,
     packing,
     secret_scan,
+    spelling,
     topk_search,
     url_filter,
     warc_derive,
@@ -252,3 +253,9 @@ SELECT vec_id, a.j AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's cluster after three rounds over 16 centroids."""
     return heap_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_sorted_list_spelling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven letters or more that occurs twice, with its form and root."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
