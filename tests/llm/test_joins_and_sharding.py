@@ -136,7 +136,7 @@ def test_shards_of_equal_and_odd_rows(spark):
     rows = [(None, None, None)] * 40 + [(1, "same", "s")] * 40 + [(i, "x" * i, None) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("shard", F.lit("clash"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
-    make = lambda d, **k: kd_sharding.kd_shards(d, size=size, dims=[F.col("doc_id"), kd_sharding.text_number(F.col("source"))],
+    make = lambda d, **k: kd_sharding.kd_shards(d, size=size, dims=[F.col("doc_id"), F.col("source")],
                                                 keep={"doc_id": F.col("doc_id"), "size": size}, **k)
     got = make(docs, n_shards=7).collect()
     assert len(got) == 120
@@ -146,6 +146,55 @@ def test_shards_of_equal_and_odd_rows(spark):
     assert len({r["shard"] for r in make(docs, target_bytes=1000).collect()}) == round(sum(r["size"] for r in got) / 1000)
 
 
+def brute_shards(rows, n_shards):
+    """Shard of each (dims, tie, size) row by the definition: widest dimension, weighted quantile."""
+    n_dims = len(rows[0][0])
+    span = [max(1, max(r[0][d] for r in rows) - min(r[0][d] for r in rows)) for d in range(n_dims)]
+    out = []
+
+    def split(part, first, count):
+        if count == 1 or not part:
+            out.extend((*r, first) for r in part)
+            return
+        spread = [(max(r[0][d] for r in part) - min(r[0][d] for r in part)) / span[d] for d in range(n_dims)]
+        d = spread.index(max(spread))
+        part = sorted(part, key=lambda r: (r[0][d], r[1]))
+        goal, below = sum(r[2] for r in part) * (count // 2) / count, 0
+        for i, r in enumerate(part):
+            if below + r[2] >= goal or i == len(part) - 1:
+                break
+            below += r[2]
+        i += not goal - below < below + r[2] - goal
+        split(part[:i], first, count // 2)
+        split(part[i:], first + count // 2, count - count // 2)
+
+    split(rows, 0, n_shards)
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 1024])
+def test_shards_equal_a_brute_force_tree(spark, monkeypatch, few):
+    """Ids of both signs, extreme, tied and null; sources that differ after many letters."""
+    monkeypatch.setattr(kd_sharding, "FEW", max(few, 1))
+    rng = random.Random(6)
+    rows = [(rng.choice([None, -(2**63), 2**63 - 1, 0, rng.randrange(-(2**63), 2**63)]), rng.randrange(1, 40), rng.choice([None, "https://a", "https://b", "https://c", "x", ""])) for _ in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, size long, source string")
+    keep = {"doc_id": F.col("doc_id"), "size": F.col("size"), "source": F.col("source")}
+    dims = [F.col("doc_id"), F.col("source")]
+    tie = F.shiftrightunsigned(F.xxhash64(*keep.values(), F.col("size"), *dims), 1)
+    ties = {tuple(r)[:3]: r[3] for r in docs.select("doc_id", "size", "source", tie).collect()}
+    rank = {s: i for i, s in enumerate(sorted({r[2] for r in rows} - {None}))} | {None: -1}
+    brute = brute_shards([((-(2**63) if r[0] is None else r[0], rank[r[2]]), ties[r], r[1], r) for r in rows], 11)
+    got = kd_sharding.kd_shards(docs, size=F.col("size"), dims=dims, keep=keep, n_shards=11).collect()
+    assert Counter(((r["doc_id"], r["size"], r["source"]), r["shard"]) for r in got) == Counter((r[3], r[4]) for r in brute)
+
+
+def test_shards_of_hash_ids_are_even(spark):
+    docs = spark.range(4000).select(F.xxhash64("id").alias("doc_id"))
+    got = kd_sharding.kd_shards(docs, size=F.lit(100), dims=[F.col("doc_id")], keep={"doc_id": F.col("doc_id")}, n_shards=8).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in got) == [500] * 8
+
+
 def brute_top(rows, k=20):
     vec = {i: (v_id, [np.floor(64 * float(x)) for x in v]) for i, (v_id, v) in enumerate(rows)
            if v is not None and all(x is not None and np.isfinite(x) for x in v)}

@@ -54,7 +54,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes, split over id, length, source and language."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     crc = F.coalesce(F.crc32(F.col("text")), F.lit(0)).cast("long")
-    dims = [F.col("doc_id"), F.length("text"), kd_sharding.text_number(F.col("source")), kd_sharding.text_number(F.col("lang"))]
+    dims = [F.col("doc_id"), F.length("text"), F.col("source"), F.col("lang")]
     shards = kd_sharding.kd_shards(table(spark, sf_dir, "documents"), size=size, dims=dims, n_shards=N_SHARDS,
                                    keep={"doc_id": F.col("doc_id"), "size": size, "text_crc32": crc})
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
