@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import html
 import lzma
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -476,3 +477,35 @@ def test_pipeline_of_odd_rows(spark):
         assert docs_out.count() > 0
         if name != "pack":
             assert docs_out.columns == docs.columns
+
+
+def _nested(rng, depth, secret):
+    """Bytes that hold ``secret`` under ``depth`` compressed layers with noise around each."""
+    pack = [zlib.compress, gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress]
+    data = secret.encode()
+    for _ in range(depth):
+        noise = lambda n: rng.randbytes(n).replace(b"x", b"y")
+        data = rng.choice(pack)(noise(rng.randrange(2, 3000)) + data + b"\n" + noise(rng.randrange(2, 3000)))
+    return data
+
+
+def test_nested_compressed_data_goes_on_over_windows(monkeypatch):
+    """Small windows find what one large window finds, with compressed members over their ends."""
+    rng = random.Random(9)
+    texts = [base64.b64encode(_nested(rng, 1 + i % 4, f" token=inside{i}secret ")).decode() for i in range(40)]
+    two = gzip.compress(rng.randbytes(3000) + b" password=first12345 ") + gzip.compress(b"\n secret=second678901 " + rng.randbytes(500))
+    texts.append(base64.b64encode(gzip.compress(rng.randbytes(2100) + two + rng.randbytes(2500))).decode())
+    whole = [secret_scan.scan(t) for t in texts]
+    assert all(any(kind == "assign" for kind, _, _ in w[1]) for w in whole)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 200)
+    for size in (1000, 1777, 4000):
+        monkeypatch.setattr(secret_scan, "WINDOW", size)
+        for text, want in zip(texts, whole):
+            got = secret_scan.scan(text)
+            assert got[:2] == want[:2] and got[3] == 0
+    monkeypatch.setattr(secret_scan, "WINDOW", 64 << 10)
+    inner = zlib.compress(rng.randbytes(120_000) + b" token=abcdef123456 ", 9)
+    text = base64.b64encode(gzip.compress(rng.randbytes(30_000) + inner + rng.randbytes(70_000))).decode()
+    _, spans, _, cut = secret_scan.scan(text)
+    assert ("assign", 0, len(text.rstrip("="))) in [(k, s, e) for k, s, e in spans] or ("assign", 0, len(text)) in spans
+    assert cut == 0

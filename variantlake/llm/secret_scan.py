@@ -18,9 +18,9 @@ data the whole base64 run or the escapes it came from.
 Defined results: null counts as empty; spans are (kind, start, end) in code points, each
 once, by start, then kind as listed, then end; base matches always stay.  Decompressed
 data is read to its end, in windows of ``WINDOW`` bytes.  A window overlaps the next by
-``OVERLAP`` bytes and by the encoded run open at its end; a run that fills a window, or
-compressed data inside that a window's end cuts off, is read piece by piece, and
-``n_cut_layers`` reports it.  With ``max_layer_bytes`` (a guard against bombs, off by
+``OVERLAP`` bytes and by the encoded run open at its end; compressed data inside that a
+window's end cuts off waits for the next window and goes on there, at any nesting.  An
+encoded run that fills a window is read piece by piece, and ``n_cut_layers`` reports it.  With ``max_layer_bytes`` (a guard against bombs, off by
 default) a layer stops there, which is reported likewise.
 """
 from __future__ import annotations
@@ -44,6 +44,7 @@ from variantlake.llm.common import tidied
 
 KINDS = ("assign", "access", "hex")
 WINDOW, OVERLAP = 64 << 20, 1 << 20
+MAGIC = 10  # bytes that tell compressed data at most
 PIECE = 64  # compressed bytes a step: damaged data loses what the failing step would give
 MASK = "[SECRET]"
 
@@ -195,29 +196,50 @@ def _decompressor(head: bytes):
     return zstandard.ZstdDecompressor().decompressobj()
 
 
-def _inflated(raw: bytes, at: int, end: list[int]) -> Iterator[bytes]:
+class _Source:
+    """A stream read in windows: the bytes that the newest window adds, where it ends, where
+    compressed data is to be looked for next, the reader that waits for more of it, and the
+    windows that the stream lies in."""
+
+    def __init__(self, path: frozenset = frozenset()):
+        self.fresh, self.end, self.look, self.waiting, self.path = b"", 0, 0, None, path
+
+
+def _inflated(raw: bytes, at: int, end: list[int], source: _Source | None = None) -> Iterator[bytes | None]:
     """Decompressed parts (what can be read of damaged data) of the compressed data at
-    ``at``, with the members right after it; ``end`` gets where it ends, and -1 in the
-    second place when ``raw`` ended first."""
+    ``at``, with the members right after it; ``end`` gets where it ends.  When ``raw`` ends
+    first, None is yielded, and ``source.fresh`` read on the return."""
+    gone = 0
     while _PACKED.match(raw, at):
         step = _decompressor(raw[at : at + 6])
         try:
             while not step.eof:
                 if at >= len(raw):
-                    end[:] = [at, -1]
-                    if part := step.flush() if hasattr(step, "flush") else b"":
-                        yield part
-                    return
+                    if source is not None:
+                        yield None
+                    if source is None or not source.fresh:
+                        end[0] = gone + at
+                        if part := step.flush() if hasattr(step, "flush") else b"":
+                            yield part
+                        return
+                    gone, raw, at = gone + at, source.fresh, 0
                 piece = raw[at : at + PIECE]
                 at += len(piece)
                 yield from _step(step, piece)
         except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-            end[:] = [at, 0]
+            end[0] = gone + at
             return
         at -= len(step.unused_data)
-        end[:] = [at, 0]
-        if raw[at : at + 1] == b"\0":  # padding between members
-            at = len(raw) - len(raw[at:].lstrip(b"\0"))
+        end[0] = gone + at
+        while True:
+            if raw[at : at + 1] == b"\0":  # padding between members
+                at = len(raw) - len(raw[at:].lstrip(b"\0"))
+            if source is None or len(raw) - at >= MAGIC:
+                break
+            yield None  # the next member may begin here
+            if not source.fresh:
+                break
+            gone, raw, at = gone + at, raw[at:] + source.fresh, 0
 
 
 def _step(step, piece: bytes) -> Iterator[bytes]:
@@ -237,11 +259,14 @@ def _step(step, piece: bytes) -> Iterator[bytes]:
         yield part
 
 
-def _windows(parts: Iterator[bytes], limit: int | None, cut: list[int]) -> Iterator[bytes]:
-    """A stream in overlapping windows; ``cut`` counts layers cut by ``limit`` and runs
-    that fill a window."""
-    held, total, fresh, filled = bytearray(), 0, False, False
+def _windows(parts: Iterator[bytes | None], limit: int | None, cut: list[int]) -> Iterator[tuple[bytes, int, int] | None]:
+    """A stream in overlapping windows, each with where it begins and how many bytes of it
+    are new; ``cut`` counts layers cut by ``limit`` and runs that fill a window."""
+    held, total, fresh, filled, old = bytearray(), 0, False, False, 0
     for part in parts:
+        if part is None:
+            yield None
+            continue
         over = limit is not None and total + len(part) > limit
         part = part[: limit - total] if over else part
         held += part
@@ -251,16 +276,16 @@ def _windows(parts: Iterator[bytes], limit: int | None, cut: list[int]) -> Itera
             cut[0] += 1
             break
         if len(held) >= WINDOW:
-            yield bytes(held)
+            yield bytes(held), total - len(held), len(held) - old
             tail = min(len(held) - OVERLAP, len(held.rstrip(_RUN_BYTES)))
             if tail <= 0:
                 filled |= bool(held.strip(b"\0"))
                 tail = len(held) - OVERLAP
             del held[:tail]
-            fresh = False
+            fresh, old = False, len(held)
     cut[0] += filled
     if fresh:
-        yield bytes(held)
+        yield bytes(held), total - len(held), len(held) - old
 
 
 def _base64_runs(text: str) -> Iterator[tuple[bytes, Mapper]]:
@@ -305,10 +330,13 @@ def scan(text: str | None, max_layer_bytes: int | None = None) -> tuple[list, li
     base = sorted(matches(text), key=lambda x: (x[1], KINDS.index(x[0])))
     spans = set(base)
     done: set = set()
+    waits: dict = {}  # where the compressed data begins that a window's end cuts off
     layers, cut = 0, [0]
 
-    def new(data: bytes, kind: str, chain, length: int) -> bool:
-        key = (kind, hashlib.blake2b(data, digest_size=16).digest(), _up(chain, 0, length))
+    def named(data: bytes, kind: str, chain, length: int) -> tuple:
+        return kind, hashlib.blake2b(data, digest_size=16).digest(), _up(chain, 0, length)
+
+    def new(key: tuple) -> bool:
         if key in done:
             return False
         done.add(key)
@@ -323,27 +351,49 @@ def scan(text: str | None, max_layer_bytes: int | None = None) -> tuple[list, li
         for raw, back in _base64_runs(layer):
             yield raw, (back, chain)
 
-    def of_bytes(raw: bytes, chain):
+    def of_bytes(raw: bytes, chain, key: tuple, source: _Source | None = None, begin: int = 0):
         for found, starts in _byte_texts(raw):
             yield found, (lambda a, b, starts=starts: (starts[a], starts[b]), chain)
-        yield from packed(raw, chain, _up(chain, 0, len(raw)))
-
-    def packed(raw: bytes, chain, whole: Span | None):
-        at = 0
+        yield from packed(raw, chain, key[2], key, source, begin)
+
+    def packed(raw: bytes, chain, whole: Span | None, key: tuple | None = None, source: _Source | None = None, begin: int = 0, only: int | None = None):
+        """Windows of the compressed data in ``raw``, which begins at ``begin`` of ``source``;
+        ``(None, source)`` when the data goes on in its next window.  ``only``: just the data
+        there, which another stream with the same window had to end with."""
+        at = max(0, source.look - begin) if source else 0
+        if only is not None:
+            if only < at:
+                return
+            at = only
         while m := _PACKED.search(raw, at):
-            end = [m.end(), 0]
+            end = [m.end()]
             span = whole
             if span is None:  # escapes: as far as the data goes
                 if not any([bool(p) for p in _inflated(raw, m.start(), end)]):
                     at = m.start() + 1
                     continue
                 span = _up(chain, m.start(), end[0])
-            found = False
-            for window in _windows(_inflated(raw, m.start(), end), max_layer_bytes, cut):
-                found = True
-                yield window, (lambda a, b, span=span: span, None)
-            cut[0] += found and end[1] < 0 and len(raw) >= WINDOW
+            found, waited = False, False
+            inner = _Source((source.path if source else frozenset()) | {key})
+            for window in _windows(_inflated(raw, m.start(), end, source), max_layer_bytes, cut):
+                if window is None:
+                    if not waited:
+                        waits[key] = m.start()
+                    waited, source.look = True, source.end
+                    yield None, source
+                    continue
+                layer, start, fresh = window
+                found, inner.fresh, inner.end = True, layer[len(layer) - fresh:], start + len(layer)
+                yield layer, (lambda a, b, span=span: span, None), inner, start
+            inner.fresh = b""
+            if inner.waiting is not None:
+                yield b"", None, inner, 0  # what waits for more gets the end
             at = max(end[0], m.end()) if found else m.start() + 1
+            if waited or only is not None:  # the newest window goes on from here
+                source.look = begin + at
+                return
+        if source:
+            source.look = max(source.look, begin + max(at, len(raw) - MAGIC))
 
     work: list = [iter([(text, None)])]
     while work:
@@ -351,14 +401,29 @@ def scan(text: str | None, max_layer_bytes: int | None = None) -> tuple[list, li
         if item is None:
             work.pop()
             continue
-        layer, chain = item
+        layer, chain, *stream = item
+        if layer is None:  # set aside until its source has another window
+            chain.waiting = work.pop()
+            continue
+        if stream:
+            source, begin = stream
+            waiting, source.waiting = source.waiting, None
+            key = layer and named(layer, f"bytes {begin}", chain, len(layer))
+            if key and new(key):
+                work.append(of_bytes(layer, chain, key, source, begin))
+            elif key in waits and key not in source.path:
+                work.append(packed(layer, chain, key[2], key, source, begin, waits[key]))
+            if waiting is not None:
+                work.append(waiting)
+            continue
         if not layer:
             continue
         if isinstance(layer, bytes):
-            if new(layer, "bytes", chain, len(layer)):
-                work.append(of_bytes(layer, chain))
+            key = named(layer, "bytes", chain, len(layer))
+            if new(key):
+                work.append(of_bytes(layer, chain, key))
             continue
-        if not new(layer.encode("utf-8", "surrogatepass"), "text", chain, len(layer)):
+        if not new(named(layer.encode("utf-8", "surrogatepass"), "text", chain, len(layer))):
             continue
         layers += 1
         if layers > 1:
