@@ -509,3 +509,27 @@ def test_nested_compressed_data_goes_on_over_windows(monkeypatch):
     _, spans, _, cut = secret_scan.scan(text)
     assert ("assign", 0, len(text.rstrip("="))) in [(k, s, e) for k, s, e in spans] or ("assign", 0, len(text)) in spans
     assert cut == 0
+
+
+def test_response_ids_tell_nulls_and_payloads_apart(spark):
+    rows = [(None, "u", "a"), (None, "u", "b"), (None, "", "a"), (None, None, "a"), (1, "u", "a"), (1, "u", "a")]
+    ids = [r["record_id"] for r in warc_derive.responses(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(set(ids)) == 5
+
+
+def test_a_hot_host_has_an_absolute_line_limit(spark):
+    """130 of 20,000 documents have the footer: under 1 %, above the absolute limit; 90 have another."""
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.range(20_000).selectExpr(
+        "id AS doc_id", f"concat('{words} ', translate(id, '0123456789', 'abcdefghij'), CASE WHEN id < 130 THEN concat('\n', repeat('all rights reserved ', 12)) WHEN id < 220 THEN concat('\n', repeat('rare footer ', 18)) ELSE '' END) AS text", "'hot' AS source")
+    got = line_quality.quality(docs).groupBy("n_removed_words", "depleted").count().collect()
+    assert {(r["n_removed_words"], r["depleted"]): r["count"] for r in got} == {(36, True): 130, (0, False): 19_870}
+
+
+def test_documents_without_words_are_never_extra(spark):
+    rows = [(i, None, "empty") for i in range(20)] + [(100 + i, "a b c", "full") for i in range(6)] + [(200 + i, "", "full") for i in range(30)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["reps"] for r in mixed if r["source"] == "empty"} == {0}
+    whole = {r["reps"] for r in mixed if r["source"] == "full" and r["size"] == 0}
+    assert len(whole) == 1 and whole.pop() == min(r["reps"] for r in mixed if r["source"] == "full" and r["size"])
+    assert len(mixing.repeated(mixing.mix(spark.createDataFrame(rows[:20], "doc_id long, text string, source string"))).collect()) == 0

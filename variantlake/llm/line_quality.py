@@ -5,8 +5,8 @@ once a document).  Lines are counted as distinct documents per host; those above
 limits are boilerplate.  A document loses its boilerplate lines, and one that is left with
 too little is rejected.
 
-A line is above the limits when more than ``min_docs`` documents of its host and more than
-``max_share`` of them have it, so the rule reads alike at every corpus size.  A document
+A line is above the limits when more than ``max_docs`` documents of its host have it,
+however large the host, or more than ``min_docs`` and more than ``max_share`` of them.  A document
 is depleted when fewer than ``min_words`` words or less than ``min_left`` of its words
 remain.  Counting combines on the map side, so a line or host with a third of all rows is
 an ordinary key there; removals join the few boilerplate lines to the stored line hashes,
@@ -79,8 +79,13 @@ def measure(text: str | None) -> tuple:
     return (len(words), len(text) - blanks, sum(map(text.count, SYMBOLS)), dups, repeated_words(words), list(lines), list(lines.values()))
 
 
+def _frequent(max_docs: int, max_share: float) -> Column:
+    """Whether ``n`` of the host's ``n_docs`` documents are above the limits."""
+    return (F.col("n") > max_docs) | (F.col("n") > F.col("n_docs") * max_share)
+
+
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10,
-            max_share: float = 0.01, min_words: int = 20, min_left: float = 0.5) -> DataFrame:
+            max_docs: int = 100, max_share: float = 0.01, min_words: int = 20, min_left: float = 0.5) -> DataFrame:
     """One row per document: its measures, ``base_failed``, ``n_removed_words`` (words in
     boilerplate lines), ``depleted`` and ``kept``."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"]
@@ -100,9 +105,9 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     lines = measured.select("rid", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
         "rid", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs")).withColumnRenamed("host", "h")
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(min_docs, max_docs))
     frequent = stored(
-        counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > F.col("n_docs") * max_share)
+        counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(_frequent(max_docs, max_share))
         .select(F.col("host").alias("f_host"), F.col("line").alias("f_line")), "frequent-lines")
     removed = (
         lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")))
@@ -131,11 +136,11 @@ def without_lines(text: Column, removed: Column) -> Column:
 
 
 def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10,
-            max_share: float = 0.01) -> DataFrame:
+            max_docs: int = 100, max_share: float = 0.01) -> DataFrame:
     """``docs`` with the text stripped of its host's boilerplate lines (rows as they are).
 
-    The boilerplate lines of a host - at most 1 / ``max_share`` times its average number
-    of lines a document - reach its documents as one array.
+    The boilerplate lines of a host - at most all its lines divided by ``min_docs`` - reach
+    its documents as one array.
     """
     python_ready(docs.sparkSession)
 
@@ -149,8 +154,8 @@ def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs")).withColumnRenamed("host", "h")
     counts = map_batches(texts, run, "host string, line binary").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     gone = (
-        counts.where(F.col("n") > min_docs).join(hosts, F.col("host").eqNullSafe(F.col("h")))
-        .where(F.col("n") > F.col("n_docs") * max_share)
+        counts.where(F.col("n") > min(min_docs, max_docs)).join(hosts, F.col("host").eqNullSafe(F.col("h")))
+        .where(_frequent(max_docs, max_share))
         .groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_gone")))
     joined = docs.join(gone, F.col(host_col).eqNullSafe(F.col("_host")), "left")
     return joined.withColumn(text_col, without_lines(F.col(text_col), F.col("_gone"))).select(*docs.columns)

@@ -15,7 +15,8 @@ numbers on the driver are the water level and its sums.
 Defined results: words are runs of ``[^\\x20\\x09-\\x0D]``, null and empty texts have none.
 Sources are ordered by code point, null is a source of its own and comes last.  Repeated
 rows hash alike and are told apart by their row number where the threshold falls among
-them.  A source without words has target 0 and none of its documents is taken.
+them.  Documents without words are never extra: they are taken as often as all of their
+source are.  A source without words has target 0 and none of its documents is taken.
 """
 from __future__ import annotations
 
@@ -90,7 +91,8 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
         "extra", F.when(F.col("hash") < F.col("hash_at"), 1).otherwise(0))
     at = rank_in_group(marked.where(F.col("hash") == F.col("hash_at")), ["source"], [F.col("rid")], "_rank")
     at = at.withColumn("extra", F.when(F.col("_rank") < F.col("n_at"), 1).otherwise(0)).drop("_rank")
-    done = below.unionByName(at).withColumn("reps", (F.col("whole") + F.col("extra")).cast("int"))
+    extra = F.when(F.col("size") > 0, F.col("extra")).otherwise(0)
+    done = below.unionByName(at).withColumn("reps", (F.col("whole") + extra).cast("int"))
     return done.select("row.*", "size", "source_size", "target", "reps", (F.col("size") * F.col("reps")).cast("long").alias("taken"))
 
 

@@ -71,7 +71,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH src AS (
   SELECT page_id, url, coalesce(html, '') AS payload,
-         md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS h FROM pages),
+         md5('response|' || coalesce('=' || CAST(page_id AS VARCHAR), '') || '|' || coalesce('=' || url, '') || '|=sha256:' || sha256(coalesce(html, ''))) AS h FROM pages),
 resp AS (
   SELECT page_id, url AS target_uri, payload,
          '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS refers_to,
@@ -85,7 +85,7 @@ text AS (
   SELECT *, regexp_replace(regexp_replace(
       replace(replace(replace(replace(replace(replace(t0, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'),
       ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g') AS txt,
-    md5('metadata|' || refers_to) AS mh, md5('conversion|' || refers_to) AS ch FROM resp),
+    md5('metadata|=' || refers_to) AS mh, md5('conversion|=' || refers_to) AS ch FROM resp),
 ids AS (
   SELECT *, '<urn:uuid:' || mh[1:8] || '-' || mh[9:12] || '-' || mh[13:16] || '-' || mh[17:20] || '-' || mh[21:32] || '>' AS mid,
          '<urn:uuid:' || ch[1:8] || '-' || ch[9:12] || '-' || ch[13:16] || '-' || ch[17:20] || '-' || ch[21:32] || '>' AS cid FROM text),
@@ -122,7 +122,7 @@ lw AS (SELECT rid, source, line, regexp_replace(lower(trim(regexp_replace(line,
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY rid),
 hosts AS (SELECT source, count(*) AS n_docs FROM docs GROUP BY source),
 freq AS (SELECT lw.source, norm FROM lw JOIN hosts ON lw.source IS NOT DISTINCT FROM hosts.source
-         GROUP BY lw.source, norm, n_docs HAVING count(DISTINCT rid) > 10 AND count(DISTINCT rid) > n_docs * 0.01),
+         GROUP BY lw.source, norm, n_docs HAVING count(DISTINCT rid) > 100 OR (count(DISTINCT rid) > 10 AND count(DISTINCT rid) > n_docs * 0.01)),
 gone AS (SELECT rid, CAST(sum(words) AS BIGINT) AS removed FROM lw JOIN freq ON lw.source IS NOT DISTINCT FROM freq.source AND lw.norm = freq.norm GROUP BY rid),
 m AS (SELECT d.rid, d.doc_id, d.source AS host, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,

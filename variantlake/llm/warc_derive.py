@@ -3,8 +3,8 @@
 Every response record gets a ``conversion`` record (its HTML as plain text) and a
 ``metadata`` record (fields about both), each naming the response in WARC-Refers-To and
 keeping its target URI, date, HTTP headers and payload digest; the metadata record also
-names the conversion.  Record ids derive from the response's id, so reruns agree and the
-links hold without a join.  One narrow pass: no shuffle, and a record's text stays in its
+names the conversion.  A response's id derives from its page id, URL and payload digest, the
+others from it, so reruns agree and the links hold without a join.  One narrow pass: no shuffle, and a record's text stays in its
 row.
 
 Defined results: a null payload is an empty one; a null URI, date or header gives no such
@@ -46,9 +46,9 @@ def plain_text(page: Column) -> Column:
 
 
 def record_id(kind: Column | str, *keys: Column) -> Column:
-    """A urn:uuid derived from ``keys``."""
+    """A urn:uuid derived from ``keys``, in which null and empty differ."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    h = F.md5(F.concat_ws("|", kind, *[F.coalesce(k.cast("string"), F.lit("")) for k in keys]))
+    h = F.md5(F.concat_ws("|", kind, *[F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("")) for k in keys]))
     cut = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-"), cut(13, 4), F.lit("-"), cut(17, 4), F.lit("-"), cut(21, 12), F.lit(">"))
 
@@ -58,13 +58,15 @@ def _digest(text: Column) -> Column:
 
 
 def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
-    """Response records of a table of pages: ``record_id, target_uri, date, http_headers, payload``
-    with the page's id."""
+    """Response records of a table of pages: ``record_id, target_uri, date, http_headers, payload,
+    payload_digest`` with the page's id.  The table has no headers and no date of its own:
+    they say what any such response would, and ``date`` is the caller's."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"))
     return pages.select(
-        F.col(id_col).alias("page_id"), record_id("response", F.col(id_col), F.col(url_col)).alias("record_id"),
-        F.col(url_col).alias("target_uri"), F.lit(date).alias("date"), headers.alias("http_headers"), payload.alias("payload"))
+        F.col(id_col).alias("page_id"), record_id("response", F.col(id_col), F.col(url_col), _digest(payload)).alias("record_id"),
+        F.col(url_col).alias("target_uri"), F.lit(date).alias("date"), headers.alias("http_headers"), payload.alias("payload"),
+        _digest(payload).alias("payload_digest"))
 
 
 def derive(sources: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
@@ -72,7 +74,7 @@ def derive(sources: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
     python_ready(sources.sparkSession)
     keep = keep or []
     payload = F.coalesce(F.col("payload"), F.lit(""))
-    rows = sources.select(*keep, "record_id", "target_uri", "date", "http_headers", _digest(payload).alias("payload_digest"),
+    rows = sources.select(*keep, "record_id", "target_uri", "date", "http_headers", "payload_digest",
                           plain_text(payload).alias("plain"))
     rows = rows.withColumn("text_digest", _digest(F.col("plain.text")))
     meta_id, text_id = record_id("metadata", F.col("record_id")), record_id("conversion", F.col("record_id"))
