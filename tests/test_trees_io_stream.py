@@ -83,6 +83,49 @@ def test_deep_trees_are_whole(spark):
     assert len(rows) == depth + 1 and max(r.depth for r in rows) == depth
 
 
+def _chain(depth):
+    return '{"variants":["integrate(x, x)"],"children":[' * depth + '{"variants":["leaf \\\\ \\" [{"]}' + "]}" * depth
+
+
+def test_chains_beyond_the_parser_are_whole(spark):
+    """Deeper than the JSON parser follows: 700 to 3,000 levels, with side branches and broken ones."""
+    doc = '{"base_question":"integrate(2*x, x)","tree":[%s]}'
+    side = '{"variants":["side","' + "y" * 30 + '"],"children":[{"level":"7","variants":["below"]}]}'
+    rows = [("a", doc % _chain(700)), ("b", doc % (_chain(3) + "," + _chain(3000))), ("c", doc % _chain(1200).replace('{"variants":["leaf', '{"children":[%s],"variants":["leaf' % side, 1)),
+            ("d", doc % _chain(800)[:-1]), ("e", doc % _chain(800) + "x"), ("f", '{"tree":[%s]}' % _chain(600)), ("g", doc % _chain(900).replace('["leaf', '[5],"children":["leaf', 1)),
+            ("h", doc % '{"variants":[%s]}' % ("[" * 1200 + "]" * 1200)), ("i", doc % ",".join([_chain(2)] * 600)), ("a", doc % _chain(700))]
+    docs = spark.createDataFrame(rows, "tree_id string, value string")
+    from variantlake.operators.flatten import parsed_trees
+
+    reasons = sorted((r.tree_id, r.reason or "", len(r.variants or [])) for r in parsed_trees(docs).collect())
+    assert reasons == [("a", "", 701), ("a", "", 701), ("b", "", 3005), ("c", "", 1204), ("d", "broken_json", 0), ("e", "broken_json", 0),
+                       ("f", "missing_keys", 0), ("g", "wrong_type", 0), ("h", "wrong_type", 0), ("i", "", 1800)]
+    flat = flatten_trees(docs.where("tree_id = 'b'")).orderBy("order_idx").collect()
+    assert [r.root_idx for r in flat] == [0] * 4 + [1] * 3001 and flat[-1].depth == 3000 and flat[-1].path == [0] * 3000
+    assert flat[-1].variant == flat[3].variant == 'leaf \\ " [{'
+    side_rows = {r.variant: (r.depth, r.level, r.path) for r in flatten_trees(docs.where("tree_id = 'c'"), "dfs").where("vpos < 2 AND variant IN ('side', 'below')").collect()}
+    assert side_rows["side"] == (1201, None, [0] * 1201) and side_rows["below"] == (1202, 7, [0] * 1202)
+
+
+def test_odd_tree_documents(spark):
+    doc = '{"base_question":"integrate(2*x, x)","tree":%s}'
+    cases = {
+        doc % '[{"level":2.7,"variants":[1.5,null,true,{"a":[1]}],"children":null},{"level":"x","variants":["b"]}]': None,
+        doc % "[5]": "wrong_type", doc % "[null]": "wrong_type", doc % '[{"variants":"a"}]': "wrong_type", doc % '[{"children":{}}]': "wrong_type",
+        doc % "[{}]": None, doc % "[]": None, doc % "null": "missing_keys", doc % "7": "wrong_type", doc % "[] x": "broken_json", doc % "[],": "broken_json",
+        "[]": "missing_keys", "5": "missing_keys", "": "empty", None: "empty", '{"base_question":null,"tree":[]}': "missing_keys",
+        doc % "[]" + "," + doc % "[]": "broken_json", '{"base_question":3,"tree":[{"variants":["v"]}]}': None}
+    docs = spark.createDataFrame([(str(i), t, 1) for i, t in enumerate(cases)], "tree_id string, value string, variants int").drop("variants")
+    from variantlake.operators.flatten import parsed_trees
+
+    got = {int(r.tree_id): r for r in parsed_trees(docs).collect()}
+    assert [got[i].reason for i in range(len(cases))] == list(cases.values())
+    assert [(v.level, v.vpos, v.variant) for v in got[0].variants] == [(2, 0, "1.5"), (2, 1, None), (2, 2, "true"), (2, 3, '{"a":[1]}'), (None, 0, "b")]
+    assert got[len(cases) - 1].base_question == "3" and flatten_trees(docs.limit(0)).count() == 0
+    plan = flatten_trees(docs)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
 def test_base_questions_that_fail_are_rejected(spark):
     from variantlake.operators.prompts import make_splits
     from variantlake.operators.variants import base_questions
