@@ -88,16 +88,33 @@ def test_quadrature_smooth_singular_and_oscillating():
     assert np.isnan(E.integrate(E.compile_expr("1/x"), "x", [-10.0], [10.0])[0])  # hits 0
 
 
-def test_fingerprint_equal_for_equal_functions():
-    fp = lambda t: E.fingerprint(E.compile_expr(t), "x")
-    assert fp("2*x + 3") == fp("3 + x*2")
-    assert fp("sin(x)**2 + cos(x)**2") == fp("1")
-    assert fp("(x+1)**2") == fp("x**2 + 2*x + 1")
-    assert fp("x") != fp("x + 1e-3")
-    assert len({fp("Abs(x)"), fp("sqrt(x**2)"), fp("x")}) == 3 and fp("log(x**2)") != fp("2*log(x)")
-    assert fp("sin(x)**2 + cos(x)**2 - 1") == fp("0")
-    assert fp("(x-1)**10") == fp("x**10-10*x**9+45*x**8-120*x**7+210*x**6-252*x**5+210*x**4-120*x**3+45*x**2-10*x+1")
-    assert fp("y*x") is None  # not evaluable: the caller falls back to text
+EQUAL = [("2*x + 3", "3 + x*2"), ("sin(x)**2 + cos(x)**2", "1"), ("(x+1)**2", "x**2 + 2*x + 1"), ("sin(x)**2 + cos(x)**2 - 1", "0"), ("0.1*x + 0.2*x", "0.3*x"),
+         ("(x-1)**10", "x**10-10*x**9+45*x**8-120*x**7+210*x**6-252*x**5+210*x**4-120*x**3+45*x**2-10*x+1"), ("y*x", "y*x"), ("exp(2*x)", "exp(x)**2"),
+         ("1/(x*(x+1))", "1/x - 1/(x+1)"), ("tan(x)", "sin(x)/cos(x)"), ("10**9*x", "x*1000000000"), ("(x**2-1)/(x-1)", "x+1"), ("log(x)/log(x)", "x/x")]
+DIFFERENT = [("x", "x + 1e-3"), ("x", "x + 10**(-9)"), ("x", "x + 10**(-8)"), ("Abs(x)", "sqrt(x**2)"), ("Abs(x)", "x"), ("log(x**2)", "2*log(x)"), ("x/3", "0.333333*x"),
+             ("y*x", "x*y"), ("x**2", "x**2 + 1e-7*sin(x)"), ("exp(x)", "2.718281828**x"), ("1/x", "1/x + 1e-9")]
+
+
+def test_equal_expressions_go_and_different_ones_stay(spark):
+    from variantlake.operators.dedup import add_fingerprint, dedup_semantic
+
+    rows = [(f"{kind}{i}", k, text, "x") for kind, pairs in (("e", EQUAL), ("d", DIFFERENT)) for i, pair in enumerate(pairs) for k, text in enumerate(pair)]
+    got = dedup_semantic(add_fingerprint(spark.createDataFrame(rows, "tree_id string, order_key int, integrand string, var string")))
+    kept = {t: sorted(r.order_key for r in got.collect() if r.tree_id == t) for t in {r[0] for r in rows}}
+    assert kept == {t: [0] if t[0] == "e" else [0, 1] for t in kept}
+
+
+def test_values_at_the_edge_of_a_cell_meet(spark):
+    """Expressions whose places straddle cells of either grid, by the thousand, against the rule itself."""
+    from variantlake.operators.dedup import add_fingerprint, dedup_semantic
+
+    rows = [(str(i // 4), i % 4, t, "x") for k in range(300) for i, t in enumerate(
+        (f"(x + {k})*(x + 1)", f"x**2 + {k + 1}*x + {k}", f"x*(x + {k + 1}) + {k}", f"x**2 + {k + 1}*x + {k} + 1e-7"), 4 * k)]
+    got = dedup_semantic(add_fingerprint(spark.createDataFrame(rows, "tree_id string, order_key int, integrand string, var string"))).collect()
+    assert sorted((int(r.tree_id), r.order_key) for r in got) == [(k, o) for k in range(300) for o in (0, 3)]
+    base = spark.createDataFrame([("0", "x*x + 1*x", "x"), ("5", "y", "x")], "tree_id string, integrand string, var string")
+    less = dedup_semantic(add_fingerprint(spark.createDataFrame(rows[:24], "tree_id string, order_key int, integrand string, var string")), base=add_fingerprint(base))
+    assert sorted((r.tree_id, r.order_key) for r in less.collect()) == [("0", 3)] + [(str(k), o) for k in range(1, 6) for o in (0, 3)]
 
 
 # Golden pairs (truth, var, lb, ub, answer, expected status), FIXTURES.md

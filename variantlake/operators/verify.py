@@ -311,27 +311,24 @@ def score_exact(df: DataFrame, response="response", truth="ground_truth", out="s
     )
 
 
-def validate_and_fingerprint_one(integrand, var, lb, ub):
-    """V1-V5 plus the dedup fingerprint, from one compilation of the text."""
-    valid, why = validate_one(integrand, var, lb, ub)
-    fp = None
-    if integrand is not None and var is not None:
-        comp = E.try_compile(integrand)
-        fp = E.fingerprint(comp, var) if comp is not None else None
-    return valid, why, fp
+PROBE = [T.StructField("fingerprint", T.LongType()), T.StructField("place", T.DoubleType()), T.StructField("blur", T.DoubleType()), T.StructField("finite", T.IntegerType())]
+
+
+def probe_one(integrand, var):
+    """Summary of the integrand's probe values (nulls when it cannot be evaluated)."""
+    comp = E.try_compile(integrand) if integrand is not None and var is not None else None
+    return (comp is not None and E.probe_summary(comp, var)) or (None,) * len(PROBE)
 
 
 def validate(df: DataFrame, integrand="integrand", var="var", lb="lb", ub="ub",
-             out="valid", reason="invalid_reason", fingerprint: str | None = None) -> DataFrame:
+             out="valid", reason="invalid_reason", probes: bool = False) -> DataFrame:
     """V1-V5: the integrand parses and its integral over the bounds or domain is finite;
-    with ``fingerprint`` that column is added from the same evaluation."""
-    fields = [T.StructField("valid", T.BooleanType()), T.StructField("why", T.StringType()), T.StructField("fp", T.LongType())]
-    fn = validate_and_fingerprint_one if fingerprint else lambda *key: (*validate_one(*key), None)
+    with ``probes`` the columns of ``PROBE`` come from the same pass."""
+    fields = [T.StructField("valid", T.BooleanType()), T.StructField("why", T.StringType()), *(PROBE if probes else [])]
+    fn = (lambda i, v, lo, hi: (*validate_one(i, v, lo, hi), *probe_one(i, v))) if probes else validate_one
     res = _verdicts(df, fn, {"i": _c(integrand), "v": _c(var), "lo": _c(lb).cast("double"), "hi": _c(ub).cast("double")}, fields)
     columns = {out: F.col("_verdict.valid"), reason: F.col("_verdict.why")}
-    if fingerprint:
-        columns[fingerprint] = F.col("_verdict.fp")
-    return _take(res, columns)
+    return _take(res, columns | ({f.name: F.col(f"_verdict.{f.name}") for f in PROBE} if probes else {}))
 
 
 def verify_solutions(df: DataFrame, question="question", solution="ground_truth_solution",
