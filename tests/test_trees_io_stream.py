@@ -324,3 +324,59 @@ def test_stream_writes_per_batch_metrics(spark, tmpdir_path):
     score_stream(stream, f"{tmpdir_path}/sink", f"{tmpdir_path}/ckpt", metrics_sink=f"{tmpdir_path}/metrics")
     m = {r.metric: (r.mean, r.sum) for r in spark.read.parquet(f"{tmpdir_path}/metrics").collect()}
     assert m["FORMAL/OK"] == (0.5, 5.0) and m["FORMAL/NO_OK"] == (0.5, 5.0) and m["JUDGE/OK"] == (1.0, 10.0)
+
+
+def _scored_steps(spark, start, n, day):
+    """Scored rollouts of steps 0..2 at one day; step 2 only in the first days."""
+    steps = [(i % 3 if day < 3 else i % 2) for i in range(start, start + n)]
+    rows = [(f"r{start + i}", s, ("OK", "NO_OK", "NO_SYMPY_EXPR")[(start + i) % 3], ("OK", "NO_OK")[(start + i) % 2], float((start + i) % 3 == 0), 10 + i, "j" * (i % 5))
+            for i, s in enumerate(steps)]
+    return spark.createDataFrame(rows, "rollout_id string, step int, formal_status string, judge_status string, formal_result double, response_tokens int, judge_response string"
+                                 ).withColumn("ts", F.to_timestamp(F.lit(f"2024-01-{day:02d} 12:00:00")))
+
+
+def _step_rows(df):
+    return sorted((r.step, r.metric, None if r["mean"] is None else round(r["mean"], 9), r["sum"]) for r in df.collect())
+
+
+def test_a_step_over_several_batches_is_one_row(spark, tmpdir_path):
+    """Three batches, a restart from the checkpoint, a step that expires and one that comes back late."""
+    from variantlake.operators.metrics import batch_metrics
+    from variantlake.streaming.step_metrics import read_step_metrics, step_totals, write_step_totals
+
+    src, sink, ckpt = (f"{tmpdir_path}/{d}" for d in ("src", "sink", "ckpt"))
+    arrivals = [_scored_steps(spark, 0, 40, 1), _scored_steps(spark, 40, 25, 2), _scored_steps(spark, 65, 30, 20), _scored_steps(spark, 95, 12, 21), _scored_steps(spark, 107, 9, 2)]
+    everything = None
+    for i, rows in enumerate(arrivals):
+        rows.coalesce(2).write.parquet(f"{src}/{i}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{src}/*")
+        write_step_totals(step_totals(stream, watermark="1 hour", expiry_seconds=3 * 86400), sink, ckpt)  # a new start each time
+        everything = rows if everything is None else everything.unionByName(rows)
+        got = read_step_metrics(spark, sink, rows.columns)
+        assert _step_rows(got) == _step_rows(batch_metrics(everything)), i
+    state = {r.step: (r.n, r.closed) for r in got.select("step", "n", "closed").distinct().collect()}
+    counts = {r.step: r["count"] for r in everything.groupBy("step").count().collect()}
+    assert {s: n for s, (n, _) in state.items()} == counts
+    parts = spark.read.parquet(sink)
+    assert parts.where("step = 2 AND closed").count() == 1 and parts.where("step = 2").select("part").distinct().count() == 2  # expired, then late rows
+    assert parts.where("step = 0").select("part").distinct().count() == 1  # new rows put its end off
+
+
+def test_the_log_shows_committed_batches_once(spark, tmpdir_path):
+    """A batch that failed after writing files, and one that runs again, leave one copy of each row."""
+    from variantlake.sources import writers as W
+
+    src, log, ckpt = (f"{tmpdir_path}/{d}" for d in ("src", "log", "ckpt"))
+    row = lambda i: (f"r{i}", 0, "t", "x", 0.0, 1.0, 1, True, "rule", "x", "a", "j", "OK", "OK", 1, 1.0, i % 2)
+    for i in range(3):
+        spark.createDataFrame([row(10 * i + k) for k in range(5)], W.EVAL_LOG).write.parquet(f"{src}/{i}")
+        W.stream_eval_log(spark.readStream.schema(W.EVAL_LOG).parquet(f"{src}/*"), log, ckpt)
+    ids = [10 * i + k for i in range(3) for k in range(5)]
+    with open(f"{log}/eval_step=0/part-of-a-failed-batch.json", "w") as f:
+        f.write(json.dumps({"rollout_id": "never committed"}) + "\n")
+    assert sorted(r.rollout_id for r in W.read_eval_log(spark, log).collect()) == sorted(f"r{i}" for i in ids)
+    for name in ("2", ".2.crc"):  # the query forgets that its last batch was done and runs it again
+        if os.path.exists(f"{ckpt}/commits/{name}"):
+            os.remove(f"{ckpt}/commits/{name}")
+    W.stream_eval_log(spark.readStream.schema(W.EVAL_LOG).parquet(f"{src}/*"), log, ckpt)
+    assert sorted(r.rollout_id for r in W.read_eval_log(spark, log).collect()) == sorted(f"r{i}" for i in ids)

@@ -140,10 +140,10 @@ def confusion(scored: DataFrame, by=("step",), judge="judge_status", formal="for
     return _mean_sum(scored, list(by), _status_hits(judge, formal)[1])
 
 
-def batch_metrics(scored: DataFrame, by=("step",), judge="judge_status", formal="formal_status", reward="formal_result",
-                  tokens="response_tokens", judge_text="judge_response") -> DataFrame:
-    """A5-A8 from one aggregation: statuses, reward, confusion cells, and the answer and
-    judge lengths within each status (NULL where it does not occur)."""
+def metric_values(columns: list[str], judge="judge_status", formal="formal_status", reward="formal_result",
+                  tokens="response_tokens", judge_text="judge_response") -> list:
+    """(metric, value) of A5-A8: statuses, reward, confusion cells, and the answer and judge
+    lengths within each status (NULL where it does not occur)."""
     hits, cells = _status_hits(judge, formal)
     judge_len = F.coalesce(F.length(F.col(judge_text)), F.lit(0))
     lengths = []
@@ -152,7 +152,12 @@ def batch_metrics(scored: DataFrame, by=("step",), judge="judge_status", formal=
             lengths.append((f"AGENT_LEN/{prefix}/{st}", F.when(F.col(col) == st, F.col(tokens))))
             if prefix == "JUDGE":
                 lengths.append((f"JUDGE_LEN/{st}", F.when(F.col(col) == st, judge_len)))
-    return _mean_sum(scored, list(by), [*hits, ("FORMAL/REWARD", F.col(reward)), *cells, *[x for x in lengths if tokens in scored.columns]])
+    return [*hits, ("FORMAL/REWARD", F.col(reward)), *cells, *[x for x in lengths if tokens in columns]]
+
+
+def batch_metrics(scored: DataFrame, by=("step",), **columns) -> DataFrame:
+    """A5-A8 from one aggregation (see ``metric_values``)."""
+    return _mean_sum(scored, list(by), metric_values(scored.columns, **columns))
 
 
 def length_metrics(scored: DataFrame, by=("step",), judge="judge_status", formal="formal_status",

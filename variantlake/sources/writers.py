@@ -59,6 +59,18 @@ def write_eval_log(rows: DataFrame, path: str, mode: str = "append") -> None:
      .partitionBy("eval_step").json(path))
 
 
+def stream_eval_log(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """K3 as a committed log: rows of a stream appended to ``path``, one directory per eval step.
+
+    Tasks write files of their own, and a batch becomes visible when the driver adds its
+    files to the manifest that lies with the log; ``read_eval_log`` reads what the manifest
+    lists.  Files of a failed batch are never seen, and a batch that runs again after a
+    failure is in the log once.
+    """
+    (rows.writeStream.format("json").partitionBy("eval_step").outputMode("append").option("path", path)
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+
+
 def read_eval_log(spark, path: str) -> DataFrame:
     return spark.read.schema(EVAL_LOG).json(path)
 
