@@ -31,6 +31,7 @@ _NUMBERS = 1 << 22  # of a chunk's trigram vectors; twice that for letters' vect
 _DENSE = 1 << 22  # trigram codes that fit a lookup table; beyond it they are sorted
 
 _LETTERS: dict[tuple[int, int], np.ndarray] = {}
+_SIGNS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def letter_vector(code: int, dim: int) -> np.ndarray:
@@ -74,31 +75,45 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, code, np.stack([alphabet[grams // base // base], alphabet[grams // base % base], alphabet[grams % base]], axis=1)
 
 
-def _gram_vectors(grams: np.ndarray, dim: int) -> np.ndarray:
-    """One row per trigram: rotate each letter's vector by its place, then multiply."""
+def _letter_signs(code: int, dim: int) -> np.ndarray:
+    """The sign bits of a letter's vector, rotated by 2, 1 and 0 places."""
+    rows = _SIGNS.get((code, dim))
+    if rows is None:
+        if len(_SIGNS) >= 2 * _NUMBERS // dim:
+            _SIGNS.clear()
+        vec = letter_vector(code, dim)
+        rows = _SIGNS[code, dim] = np.packbits(np.stack([np.roll(vec, r) < 0 for r in (2, 1, 0)]), axis=1)
+    return rows
+
+
+def _gram_signs(grams: np.ndarray, dim: int) -> np.ndarray:
+    """One row per trigram, 1 where its vector is -1: the product of +1/-1 vectors is the
+    exclusive or of their sign bits."""
     codes, at = np.unique(grams, return_inverse=True)
-    table = np.stack([letter_vector(int(c), dim) for c in codes])
+    table = np.stack([_letter_signs(int(c), dim) for c in codes])
     at = at.reshape(grams.shape)
-    out = np.roll(table, 2, axis=1)[at[:, 0]]
-    out *= np.roll(table, 1, axis=1)[at[:, 1]]
-    out *= table[at[:, 2]]
-    return out
+    return np.unpackbits(table[at[:, 0], 0] ^ table[at[:, 1], 1] ^ table[at[:, 2], 2], axis=1, count=dim)
 
 
 def bundle(texts: list[str], owner: np.ndarray, n_owners: int, dim: int) -> np.ndarray:
     """Sum of the trigram vectors of the texts of each owner (``owner[i]`` of text i)."""
-    out = np.zeros((n_owners, dim), np.float32)
     if not texts:
-        return out
+        return np.zeros((n_owners, dim), np.float32)
     doc, code, grams = _trigrams(texts)
     own = owner[doc]
+    number = np.float32 if len(code) < 1 << 22 else np.float64  # sums stay exact
+    minus, total = np.zeros((n_owners, dim), number), np.bincount(own, minlength=n_owners).astype(number)
     step = max(1, min(CHUNK_GRAMS, _NUMBERS // dim))
+    more, signs = np.empty_like(minus), np.empty((min(step, len(grams)), dim), number)  # one allocation for all steps
     for at in range(0, len(grams), step):
         part = grams[at : at + step]
         here = (code >= at) & (code < at + len(part)) if len(grams) > step else slice(None)
         counts = np.bincount(own[here] * len(part) + code[here] - at, minlength=n_owners * len(part))
-        out += counts.reshape(n_owners, len(part)).astype(np.float32) @ _gram_vectors(part, dim)
-    return out
+        np.copyto(signs[: len(part)], _gram_signs(part, dim))
+        minus += np.matmul(counts.reshape(n_owners, len(part)).astype(number), signs[: len(part)], out=more)
+    minus *= -2
+    minus += total[:, None]
+    return minus
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
