@@ -31,7 +31,6 @@ _NUMBERS = 1 << 22  # of a chunk's trigram vectors; twice that for letters' vect
 _DENSE = 1 << 22  # trigram codes that fit a lookup table; beyond it they are sorted
 
 _LETTERS: dict[tuple[int, int], np.ndarray] = {}
-_SIGNS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def letter_vector(code: int, dim: int) -> np.ndarray:
@@ -75,45 +74,31 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, code, np.stack([alphabet[grams // base // base], alphabet[grams // base % base], alphabet[grams % base]], axis=1)
 
 
-def _letter_signs(code: int, dim: int) -> np.ndarray:
-    """The sign bits of a letter's vector, rotated by 2, 1 and 0 places."""
-    rows = _SIGNS.get((code, dim))
-    if rows is None:
-        if len(_SIGNS) >= 2 * _NUMBERS // dim:
-            _SIGNS.clear()
-        vec = letter_vector(code, dim)
-        rows = _SIGNS[code, dim] = np.packbits(np.stack([np.roll(vec, r) < 0 for r in (2, 1, 0)]), axis=1)
-    return rows
-
-
-def _gram_signs(grams: np.ndarray, dim: int) -> np.ndarray:
-    """One row per trigram, 1 where its vector is -1: the product of +1/-1 vectors is the
-    exclusive or of their sign bits."""
+def _gram_vectors(grams: np.ndarray, dim: int) -> np.ndarray:
+    """One row per trigram: rotate each letter's vector by its place, then multiply."""
     codes, at = np.unique(grams, return_inverse=True)
-    table = np.stack([_letter_signs(int(c), dim) for c in codes])
+    table = np.stack([letter_vector(int(c), dim) for c in codes])
     at = at.reshape(grams.shape)
-    return np.unpackbits(table[at[:, 0], 0] ^ table[at[:, 1], 1] ^ table[at[:, 2], 2], axis=1, count=dim)
+    out = np.roll(table, 2, axis=1)[at[:, 0]]
+    out *= np.roll(table, 1, axis=1)[at[:, 1]]
+    out *= table[at[:, 2]]
+    return out
 
 
 def bundle(texts: list[str], owner: np.ndarray, n_owners: int, dim: int) -> np.ndarray:
     """Sum of the trigram vectors of the texts of each owner (``owner[i]`` of text i)."""
+    out = np.zeros((n_owners, dim), np.float32)
     if not texts:
-        return np.zeros((n_owners, dim), np.float32)
+        return out
     doc, code, grams = _trigrams(texts)
     own = owner[doc]
-    number = np.float32 if len(code) < 1 << 22 else np.float64  # sums stay exact
-    minus, total = np.zeros((n_owners, dim), number), np.bincount(own, minlength=n_owners).astype(number)
     step = max(1, min(CHUNK_GRAMS, _NUMBERS // dim))
-    more, signs = np.empty_like(minus), np.empty((min(step, len(grams)), dim), number)  # one allocation for all steps
     for at in range(0, len(grams), step):
         part = grams[at : at + step]
         here = (code >= at) & (code < at + len(part)) if len(grams) > step else slice(None)
         counts = np.bincount(own[here] * len(part) + code[here] - at, minlength=n_owners * len(part))
-        np.copyto(signs[: len(part)], _gram_signs(part, dim))
-        minus += np.matmul(counts.reshape(n_owners, len(part)).astype(number), signs[: len(part)], out=more)
-    minus *= -2
-    minus += total[:, None]
-    return minus
+        out += counts.reshape(n_owners, len(part)).astype(np.float32) @ _gram_vectors(part, dim)
+    return out
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -152,33 +137,50 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", di
     return {lang: found[lang] for lang in sorted(found) if found[lang].any()}
 
 
-def predict(text: Column, prototypes: dict[str, np.ndarray], *, dim: int = DIM) -> Column:
-    """Struct (lang, score) of a text column."""
-    names = list(prototypes)
-    unit = np.stack([p / np.linalg.norm(p) for p in prototypes.values()]).astype(np.float32).T if names else None
-
-    def classify(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in series:
+def _best(texts: list[str], names: list[str], unit: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Language and cosine of each text; ``und`` and 0 without a letter."""
+    lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+    for s, e in _chunks(texts) if names else ():
+        vec = bundle(texts[s:e], np.arange(e - s), e - s, dim)
+        length = np.sqrt(np.einsum("ij,ij->i", vec, vec, dtype=np.float64))
+        cos = (vec @ unit) / np.maximum(length, 1e-9)[:, None]
+        best = cos.argmax(axis=1)
+        known = length > 0
+        lang[s:e][known] = np.array(names, object)[best[known]]
+        score[s:e] = np.where(known, np.clip(cos[np.arange(e - s), best], 0, 1), 0)
+    return lang, score
+
+
+def predict(text: Column, prototypes: dict[str, np.ndarray], *, dim: int = DIM, limit: Column | None = None,
+            longer: dict[str, np.ndarray] | None = None, longer_dim: int = DIM) -> Column:
+    """Struct (lang, score) of a text column.
+
+    With ``limit``, a cosine that is to be reached, texts that are not six deviations
+    (of chance at ``dim``) above it are decided by the prototypes ``longer`` instead.
+    """
+    units = [(list(p), np.stack([v / np.linalg.norm(v) for v in p.values()]).astype(np.float32).T if p else None, d)
+             for p, d in ((prototypes, dim), (longer or {}, longer_dim))]
+    clear = 6 / dim**0.5
+
+    def classify(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, limits in batches:
             texts = [t if isinstance(t, str) else "" for t in texts]
-            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            for s, e in _chunks(texts) if names else ():
-                vec = bundle(texts[s:e], np.arange(e - s), e - s, dim)
-                length = np.sqrt(np.einsum("ij,ij->i", vec, vec, dtype=np.float64))
-                cos = (vec @ unit) / np.maximum(length, 1e-9)[:, None]
-                best = cos.argmax(axis=1)
-                known = length > 0
-                lang[s:e][known] = np.array(names, object)[best[known]]
-                score[s:e] = np.where(known, np.clip(cos[np.arange(e - s), best], 0, 1), 0)
+            lang, score = _best(texts, *units[0])
+            close = np.flatnonzero((lang != "und") & (score < limits.to_numpy(float) + clear))  # NaN: no limit
+            if len(close):
+                lang[close], score[close] = _best([texts[i] for i in close], *units[1])
             yield pd.DataFrame({"lang": lang, "score": score})
 
-    return F.pandas_udf(tidied(classify), "lang string, score double")(text)
+    limit = F.lit(None) if limit is None else limit
+    return F.pandas_udf(tidied(classify), "lang string, score double")(text, limit.cast("double"))
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text", lang_out: str = "lang_pred",
-             score_out: str = "score", dim: int = DIM) -> DataFrame:
-    """``docs`` with the predicted language and its cosine; columns of these names are replaced."""
+             score_out: str = "score", **how) -> DataFrame:
+    """``docs`` with the predicted language and its cosine (``how``: see ``predict``); columns of
+    these names are replaced."""
     python_ready(docs.sparkSession)
-    hit = predict(F.col(text_col), prototypes, dim=dim)
+    hit = predict(F.col(text_col), prototypes, **how)
     return docs.drop(lang_out, score_out).withColumn("_language_hit", hit).select(
         *[c for c in docs.columns if c not in (lang_out, score_out)], F.col("_language_hit.lang").alias(lang_out), F.col("_language_hit.score").alias(score_out))
 
