@@ -13,8 +13,7 @@ from variantlake.llm import language_id, mixing, ngram_join, packing, secret_sca
 from variantlake.llm.common import python_ready, stored, table
 
 LANGUAGE_DIM = 16_384  # unrelated vectors have cosines of deviation 1 / sqrt(dim) = 0.008
-FIRST_DIM = 2_048
-CLEAR = 6 / FIRST_DIM**0.5  # six deviations there: above it the longer vectors would say the same
+FIRST_DIM = 2_048  # settles the texts that are six deviations above the limit there
 MIN_LANGUAGE_SCORE = 0.04  # five deviations; one known short word has about 0.08
 RANDOM_LETTERS = 0.0035  # random letters hit learned trigrams: about 0.004 times the root of the words
 MOST_LANGUAGE_SCORE = 0.3
@@ -34,12 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labelled = docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out()).select("text", "lang")
     short, long = (language_id.learn(labelled, dim=dim) for dim in (FIRST_DIM, LANGUAGE_DIM))
-    first = language_id.identify(docs, short, lang_out="_lang", score_out="_score", dim=FIRST_DIM)
-    close = F.col("_score") < least_score(F.col("text")) + CLEAR
-    first = first.where(F.col("_lang") != "und").withColumn("_close", close)
-    second = first.withColumn("_close_text", F.when(F.col("_close"), F.col("text")))
-    known = language_id.identify(second, long, text_col="_close_text", lang_out="_lang2", score_out="_score2", dim=LANGUAGE_DIM)
-    return known.where(~F.col("_close") | (F.col("_score2") >= least_score(F.col("text")))).select(*docs.columns)
+    least = least_score(F.col("text"))
+    known = language_id.identify(docs, short, lang_out="_lang", score_out="_score", dim=FIRST_DIM, limit=least, longer=long, longer_dim=LANGUAGE_DIM)
+    return known.where((F.col("_lang") != "und") & (F.col("_score") >= least)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
