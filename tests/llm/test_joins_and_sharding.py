@@ -226,6 +226,31 @@ def test_topk_of_odd_vectors(spark, monkeypatch):
     assert topk_search.top_k(df.limit(0), is_query=F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_prunes_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "CELL_NUMBERS", 1 << 14)  # blocks of 512 rows
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 32))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 40 if i % 3 else 0] + 0.1 * rng.normal(size=32)]) for i in range(6000)]  # a third in one cluster
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    is_query = F.col("vec_id") % 20 == 0
+    got = topk_search.top_k(df, is_query=is_query).select("query_id", "rank", "vec_id", "score")
+    assert Counter(tuple(r) for r in got.collect()) == brute_top(rows)
+    share = {r["level"]: r["share"] for r in topk_search.survival(df, is_query=is_query).collect()}
+    assert sorted(share) == [0, 1, 4, 16, 32] and share[0] == 1
+    assert share[16] < 0.25 and share[32] < 0.1 and share[1] >= share[4] >= share[16] >= share[32]
+
+
+def test_ranges_bound_their_members():
+    rng = np.random.default_rng(2)
+    f = topk_search.segment_features(np.floor(rng.normal(size=(60, 37)) * 64), 16)
+    bound = topk_search.box_bounds(f[:20], f[20:].min(axis=0)[None], f[20:].max(axis=0)[None])[:, 0]
+    assert (bound + 1e-6 >= (f[:20] @ f[20:].T).max(axis=1)).all()
+    x = np.floor(rng.normal(size=(50, 8)) * 64)
+    least = topk_search.home_thresholds(x, np.array([0, 7]), 5)
+    assert [np.sort(np.delete(x @ x[i], i))[-5] for i in (0, 7)] == list(least)
+    assert (topk_search.home_thresholds(x[:5], np.array([0]), 5) == -np.inf).all()
+
+
 def test_segment_features_bound_the_product():
     rng = np.random.default_rng(1)
     x = np.floor(rng.normal(size=(40, 37)) * 64)
