@@ -41,6 +41,7 @@ BLOCK_SEGMENTS = 16  # resolution of a block's ranges
 BOXES_PER_TASK = 4096
 MOST_BITS = 40
 QUERY_STEP = 128
+GATHER = 16  # a product of gathered rows costs about as much as so many in one matrix product
 BLOCK, GROUP = ["dim", "bucket", "salt"], ["dim", "q_bucket", "q_salt", "q_part"]
 FOUND = "q_rid long, query_id long, rid long, vec_id long, no_id boolean, score long, level int, pairs long"
 
@@ -86,6 +87,23 @@ def box_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
 
 
+def survivors_only(a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The products of rows of ``a`` and ``b`` where ``left``, -inf elsewhere: all at once
+    while many are left, else pair by pair."""
+    if np.count_nonzero(left) * GATHER > left.size:
+        return np.where(left, a @ b.T, -np.inf)
+    out = np.full(left.shape, -np.inf)
+    for row, keep, to in zip(a, left, out):
+        pos = np.flatnonzero(keep)
+        to[pos] = b[pos] @ row
+    return out
+
+
+def left_over(a: np.ndarray, b: np.ndarray, left: np.ndarray, bar: np.ndarray) -> np.ndarray:
+    """The pairs of ``left`` whose bound is at least ``bar``."""
+    return left & (survivors_only(a, b, left) >= bar[:, None])
+
+
 def cell_top(q: np.ndarray, least: np.ndarray, x: np.ndarray, own: list[np.ndarray], ids: np.ndarray, k: int):
     """For each query the positions and scores of its best ``k`` candidates with a score of at
     least ``least``, and the number of pairs each level left; ``own``: the positions of the
@@ -94,24 +112,26 @@ def cell_top(q: np.ndarray, least: np.ndarray, x: np.ndarray, own: list[np.ndarr
     slack = 1e-9 * _norms(q) * max(1.0, float(_norms(x).max(initial=0)))
     found, survivors = [], np.zeros(len(SEGMENTS), np.int64)
     for at in range(0, len(q), QUERY_STEP):
-        coarse = qf[0][at : at + QUERY_STEP] @ xf[0].T + slack[at : at + QUERY_STEP, None]
-        for i, bound in enumerate(coarse, at):
-            bound[own[i]] = -np.inf
-            bar = least[i]
-            if not np.isfinite(bar) and len(x) > k:  # home was too small
+        step = slice(at, at + QUERY_STEP)
+        bar = least[step].copy()
+        coarse = qf[0][step] @ xf[0].T + slack[step, None]
+        for i, bound in enumerate(coarse):
+            bound[own[at + i]] = -np.inf
+            if not np.isfinite(bar[i]) and len(x) > k:  # home was too small
                 first = np.argpartition(-bound, k - 1)[:k]
                 if np.isfinite(bound[first]).all():
-                    bar = np.sort(x[first] @ q[i])[0]
-            left = np.flatnonzero((bound >= bar) & (bound > -np.inf))
-            survivors[0] += len(left)
-            for level, (a, b) in enumerate(zip(qf[1:], xf[1:]), 1):
-                if len(left):
-                    left = left[b[left] @ a[i] + slack[i] >= bar]
-                survivors[level] += len(left)
-            score = x[left] @ q[i]
-            left, score = left[score >= bar], score[score >= bar]
-            best = np.lexsort((ids[left], -score))[:k]
-            found.append((left[best], score[best]))
+                    bar[i] = np.sort(x[first] @ q[at + i])[0]
+        left = (coarse >= bar[:, None]) & (coarse > -np.inf)
+        survivors[0] += np.count_nonzero(left)
+        for level, (a, b) in enumerate(zip(qf[1:], xf[1:]), 1):
+            left = left_over(a[step], b, left, bar - slack[step])
+            survivors[level] += np.count_nonzero(left)
+        score = survivors_only(q[step], x, left)
+        left &= score >= bar[:, None]
+        for keep, row in zip(left, score):
+            pos = np.flatnonzero(keep)
+            best = np.lexsort((ids[pos], -row[pos]))[:k]
+            found.append((pos[best], row[pos[best]]))
     return found, survivors
 
 
