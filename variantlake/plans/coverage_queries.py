@@ -54,7 +54,7 @@ def q_read_raw_questions(spark, sf):
         F.when(F.col("event_id") % 7 == 0, F.lit('{"integral": 3, ')).otherwise(body).alias("value"), F.col("event_id"))
     path = scratch_path(spark, "raw_files")
     # the layout of the raw files, many documents a file: arrays of documents
-    docs.groupBy((F.col("event_id") % 7 == 0).alias("broken"), F.pmod("event_id", F.lit(64)).alias("part")).agg(
+    docs.groupBy((F.col("event_id") % 7 == 0).alias("broken"), F.floor(F.col("event_id") / 10_000).alias("part")).agg(
         F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).select("value", "broken", "part").repartition(
             "broken", "part").write.partitionBy("broken", "part").text(path)
     ok, _bad = R.read_raw_questions(spark, path, glob="*.txt")
@@ -91,13 +91,13 @@ def q_read_test_questions(spark, sf):
     return back.select(F.regexp_replace("question_id", "^question_dir", "question").alias("question_id"), "question")
 
 
-# --- K6, S5: formatted questions keep file order ---
+# --- K6, S5: formatted questions keep file order; fifty parts make a question ---
 @register("formatted_roundtrip", """
-SELECT p_brand AS question, count(*) AS n, string_agg('v' || p_partkey, ',' ORDER BY p_size % 3, p_partkey) AS variants FROM part GROUP BY p_brand
+SELECT 'q' || (p_partkey // 50) AS question, count(*) AS n, string_agg('v' || p_partkey, ',' ORDER BY p_size % 3, p_partkey) AS variants FROM part GROUP BY 1
 """)
 def q_formatted_roundtrip(spark, sf):
     rows = table(spark, sf, "part").select(
-        F.col("p_brand").alias("question"), (F.col("p_size") % 3).alias("bucket_pos"), F.col("p_partkey").alias("pos"),
+        _part_question().alias("question"), (F.col("p_size") % 3).alias("bucket_pos"), F.col("p_partkey").alias("pos"),
         F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("variant"), F.lit("r").alias("reasoning"), F.lit("easier").alias("difficulty"))
     path = scratch_path(spark, "formatted")
     W.write_formatted(rows, path)
@@ -105,6 +105,25 @@ def q_formatted_roundtrip(spark, sf):
     return back.select("question", F.size("variants").cast("long").alias("n"), F.array_join(F.transform("variants", lambda v: v["variant"]), ",").alias("variants"))
 
 
+def _part_question():
+    return F.concat(F.lit("q"), F.floor(F.col("p_partkey") / 50).cast("string"))
+
+
+# --- S5: formatted questions as top-level arrays, with brackets and quotes inside the texts ---
+@register("read_formatted_array", """
+SELECT 'q' || p_partkey AS question, CAST(p_partkey AS VARCHAR) || ' "}],[{\\ ' || p_name AS variant, p_brand AS difficulty FROM part
+""")
+def q_read_formatted_array(spark, sf):
+    text = F.concat(F.col("p_partkey").cast("string"), F.lit(' "}],[{\\ '), "p_name")
+    record = F.struct(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("question"), F.array(
+        F.struct(text.alias("variant"), F.lit("r").alias("reasoning"), F.col("p_brand").alias("difficulty"))).alias("variants"))
+    path = scratch_path(spark, "formatted_arrays")
+    docs = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 5_000).alias("part"), F.to_json(record).alias("value"))
+    docs.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n "), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
+    back = R.read_formatted(spark, path)
+    return back.select("question", F.explode("variants").alias("v")).select("question", "v.variant", "v.difficulty")
+
+
 # --- S6, K8: rollout tables in Parquet and JSON ---
 @register("read_rollouts", """
 SELECT CAST(l_linenumber AS INTEGER) AS sample_idx, f.fmt, count(*) AS n, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS tokens
