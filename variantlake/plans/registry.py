@@ -38,7 +38,7 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 def load_all() -> None:
     # importing the modules registers their queries
     from variantlake.plans import (  # noqa: F401
-        metric_queries, text_queries, scoring_queries, tree_queries, io_queries, coverage_queries)
+        metric_queries, text_queries, scoring_queries, tree_queries, io_queries, coverage_queries, incremental_queries)
 
 
 def sql_on(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
