@@ -284,3 +284,27 @@ def test_url_verdicts_equal_brute_force(spark):
     none = url_filter.judge(pages, url_filter.rules_frame(spark, rules).limit(0)).collect()
     assert len(none) == len(urls) * 2 and {r["verdict"] for r in none} == {"allow"}
     assert url_filter.judge(pages.limit(0), url_filter.rules_frame(spark, rules)).count() == 0
+
+
+def test_many_rule_shapes_keep_the_plan(spark):
+    rng = random.Random(8)
+    hosts = [f"h{i}.{'a.' * (i % 7)}net" for i in range(300)]
+    rules = [(rng.choice(hosts), "/" + "p" * n + rng.choice(["", "/"]), rng.choice(["allow", "block"])) for n in range(1000) for _ in range(3)]
+    urls = [f"https://{rng.choice(['', 'x.', 'y.x.'])}{h}{p}{rng.choice(['', '/', 'p', 'q', '?p'])}" for h, p, _ in rng.sample(rules, 900)] + ["http://a" + ".a" * 5000 + "/p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(pages, url_filter.rules_frame(spark, rules))
+    few = url_filter.judge(pages, url_filter.rules_frame(spark, rules[:3]))
+    lines = [len(f._jdf.queryExecution().optimizedPlan().toString().splitlines()) for f in (got, few)]
+    assert lines[0] == lines[1]
+    best = {}
+    for h, p, v in rules:
+        best[h, p] = max(v, best.get((h, p), v), key=lambda w: w == "allow")
+
+    def verdict(url):
+        host, path = url.split("://", 1)[1].split("/", 1)
+        path = "/" + path.split("?")[0]
+        ends = {host.split(".", i)[-1] for i in range(min(20, host.count(".") + 1))}
+        hits = [(len(h + path[:n]), best[h, path[:n]] == "allow", h + path[:n]) for h in ends for n in range(len(path) + 1) if (h, path[:n]) in best]
+        return (max(hits)[2], "allow" if max(hits)[1] else "block") if hits else (None, "allow")
+
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got.collect()} == {i: verdict(u) for i, u in enumerate(urls)}

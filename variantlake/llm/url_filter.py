@@ -5,10 +5,11 @@ in an equi-join on a short prefix of their SHA-256, full digests confirm the hit
 longest confirmed rule decides.  Distinct (host, path) pairs are expanded, so repeated
 URLs cost one expansion; the verdict goes back to the rows by an equi-join.
 
-Only expressions that some rule could equal are made: host suffixes of the label counts
-and path prefixes of the lengths that occur among the rules.  The set of these shapes
-(label count, path length) is bounded by the lengths of hosts and paths, not by the number
-of rules or URLs; the rules themselves stay a DataFrame.
+Only expressions that some rule could equal are made.  Distinct hosts are expanded into
+suffixes of as many labels as the longest rule has at most, and meet the rules' hosts; each
+match brings the lengths of the paths that occur under that rule host, and a URL's path is
+cut to these lengths alone.  The plan is the same for any number of rules, which stay a
+DataFrame; the only value that comes to the driver is the largest label count.
 
 Defined results: see ``split_url``; a URL without host matches no rule; without a matching
 rule the verdict is ``default``.  Of rules of equal length ``allow`` wins over ``block``;
@@ -44,26 +45,39 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
+def _labels(host: str) -> Column:
+    return F.size(F.split(host, r"\."))
+
+
 def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages``."""
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     keyed = rules.dropDuplicates().select("rule", "verdict", _digest(F.col("host"), F.col("path")).alias("full"))
     keyed = keyed.withColumn("short", F.substring("full", 1, PREFIX))
-    labels = F.size(F.split("host", r"\."))
-    shapes = rules.select(labels.alias("labels"), F.length("path").alias("chars")).distinct().collect()  # see the module's text
+    most = rules.agg(F.max(_labels("host"))).first()[0] or 0
 
     urls = rows.where(F.col("host") != "").select("host", "path").distinct()
-    parts = F.split(F.col("host"), r"\.")
-    suffix = {n: F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n), ".") for n in {s["labels"] for s in shapes}}
-    expressions = F.array(*[
-        F.when((F.size(parts) >= s["labels"]) & (F.length("path") >= s["chars"]),
-               _digest(suffix[s["labels"]], F.substring(F.col("path"), 1, s["chars"]))) for s in shapes]) if shapes else F.array().cast("array<string>")
-    expanded = urls.select("host", "path", F.explode(expressions).alias("full_url")).where("full_url is not null")
+    hosts = urls.select("host").distinct().where(F.lit(most > 0))
+    suffixes = hosts.select("host", F.explode(F.transform(
+        F.sequence(F.lit(1), F.least(_labels("host"), F.lit(max(1, most)))),
+        lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))).alias("suffix"))
+    rule_hosts = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths")).select(
+        F.sha2("host", 256).alias("r_full"), F.substring(F.sha2("host", 256), 1, PREFIX).alias("short"), "lengths")
+    under = (
+        suffixes.withColumn("short", F.substring(F.sha2("suffix", 256), 1, PREFIX)).join(rule_hosts, "short")
+        .where(F.sha2("suffix", 256) == F.col("r_full"))
+        .groupBy("host").agg(F.collect_list(F.struct("suffix", "lengths")).alias("under")))  # at most a row per label
+    expressions = F.flatten(F.transform("under", lambda u: F.transform(
+        F.filter(u["lengths"], lambda n: n <= F.length("path")), lambda n: _digest(u["suffix"], F.substring(F.col("path"), F.lit(1), n)))))
+    expanded = urls.join(under, "host").select("host", "path", F.explode(expressions).alias("full_url"))
     hits = (
         expanded.withColumn("short", F.substring("full_url", 1, PREFIX)).join(keyed, "short")  # candidates
         .where(F.col("full_url") == F.col("full")))  # confirmed
     best = hits.groupBy(F.col("host").alias("b_host"), F.col("path").alias("b_path")).agg(
         F.max(F.struct(F.length("rule").alias("chars"), (F.col("verdict") == "allow").alias("allow"), "rule", "verdict")).alias("best"))
-    return rows.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").select(
+    # rows without host match nothing, and would all meet under one key
+    judged = rows.where(F.col("host") != "").join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
+    return judged.unionByName(rows.where(F.col("host") == "").select(
+        "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
