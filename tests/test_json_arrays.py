@@ -75,3 +75,37 @@ def test_a_bad_record_is_rejected_alone_and_a_broken_file_whole(spark, tmpdir_pa
     ok, bad = R.read_raw_questions(spark, tmpdir_path)
     assert [(os.path.basename(r.file), r.record, r.variants["easier"][0].variant) for r in ok.collect()] == [("a_train.json", 0, "v")]
     assert sorted(os.path.basename(r.file) for r in bad.collect()) == ["a_train.json", "a_train.json", "b_train.json"]
+
+
+def test_lookup_of_one_tree_passes_over_other_row_groups(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from variantlake.sources import writers as W
+
+    prompts = spark.range(60_000).select(
+        F.lit("d").alias("data_source"), F.array(F.struct(F.lit("user").alias("role"), F.sha2(F.col("id").cast("string"), 256).alias("content"))).alias("prompt"),
+        F.lit("math").alias("ability"), F.struct(F.lit("x").alias("ground_truth")).alias("reward_model"),
+        F.struct((F.col("id") % 3).cast("int").alias("question_index")).alias("extra_info"),
+        F.concat(F.lit("t"), F.floor(F.col("id") / 3)).alias("tree_id"), F.when(F.col("id") % 2 == 0, "train").otherwise("eval").alias("split"))
+    W.write_prompts(prompts, tmpdir_path, row_group_bytes=1 << 17)
+    assert sorted(p for p in os.listdir(f"{tmpdir_path}/parquet") if p.startswith("split")) == ["split=eval", "split=train"]
+
+    def rows_scanned(df):
+        rows = df.collect()
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return rows, scan.metrics().apply("numOutputRows").value()
+
+    rows, scanned = rows_scanned(R.read_prompts(spark, tmpdir_path, trees=["t777"]))
+    assert sorted(r.extra_info.question_index for r in rows) == [0, 1, 2] and scanned < 12_000
+    rows, scanned = rows_scanned(R.read_prompts(spark, tmpdir_path, trees=["t777x"]))  # in the range of a file, in no filter
+    assert rows == [] and scanned == 0
+    assert R.read_prompts(spark, tmpdir_path, split="eval").count() == 30_000
+
+
+def test_bucketed_key_join_has_no_exchange(spark):
+    from conftest import SF_SMALL
+
+    from variantlake.plans.io_queries import bucketed_rollouts
+
+    plan = bucketed_rollouts(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan

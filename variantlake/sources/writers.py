@@ -26,13 +26,20 @@ EVAL_LOG = T.StructType([
 ])
 
 
-def write_prompts(df: DataFrame, path: str, also_json: bool = False, mode: str = "overwrite") -> None:
-    """K1/K2: prompt records partitioned by ``tree_id`` and ``split`` (train / eval)."""
-    # a tree's records meet in few files; AQE splits a tree that is large
-    out = df.select(*PROMPT_COLUMNS, "tree_id", "split").hint("rebalance", "tree_id", "split")
-    out.write.mode(mode).partitionBy("tree_id", "split").parquet(f"{path}/parquet")
+def write_prompts(df: DataFrame, path: str, also_json: bool = False, mode: str = "overwrite", row_group_bytes: int = 16 << 20) -> None:
+    """K1/K2: prompt records in one directory per ``split`` (train / eval), clustered by tree.
+
+    Rows are range-partitioned and sorted by (split, tree, question), so a file covers a range
+    of trees, however many trees there are, and a large tree spreads over several.  Row groups
+    carry the range of their trees and a Bloom filter, by which ``read_prompts`` passes over
+    those without the trees it looks for.
+    """
+    order = ["split", "tree_id", F.col("extra_info.question_index")] if "question_index" in df.select("extra_info.*").columns else ["split", "tree_id"]
+    out = df.select(*PROMPT_COLUMNS, "tree_id", "split").repartitionByRange(*order).sortWithinPartitions(*order)
+    (out.write.mode(mode).partitionBy("split").option("parquet.bloom.filter.enabled#tree_id", "true")
+     .option("parquet.block.size", row_group_bytes).parquet(f"{path}/parquet"))
     if also_json:
-        out.write.mode(mode).partitionBy("tree_id", "split").json(f"{path}/json")
+        out.write.mode(mode).partitionBy("split").json(f"{path}/json")
 
 
 def eval_log_rows(scored: DataFrame, step="step", response="response") -> DataFrame:
@@ -99,3 +106,14 @@ def write_question_list(df: DataFrame, path: str, question="question", mode: str
 def write_generated(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K8: processed generated variants."""
     df.write.mode(mode).json(path)
+
+
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str) -> DataFrame:
+    """``df`` as the table ``name`` under ``path``, in sorted buckets of ``keys``.
+
+    Tables with the same number of buckets on the same keys join without an exchange (X6).  The
+    rows are shuffled once, here, and every task writes the file of one bucket.
+    """
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path)
+     .mode("overwrite").saveAsTable(name))
+    return df.sparkSession.table(name)
