@@ -380,3 +380,16 @@ def test_the_log_shows_committed_batches_once(spark, tmpdir_path):
             os.remove(f"{ckpt}/commits/{name}")
     W.stream_eval_log(spark.readStream.schema(W.EVAL_LOG).parquet(f"{src}/*"), log, ckpt)
     assert sorted(r.rollout_id for r in W.read_eval_log(spark, log).collect()) == sorted(f"r{i}" for i in ids)
+
+
+def test_filter_on_tree_id_opens_its_file_alone(spark, tmpdir_path):
+    for i in range(300):
+        with open(f"{tmpdir_path}/tree_{i}.json", "w") as f:
+            json.dump({"base_question": "integrate(x, x)", "tree": [{"level": 0, "variants": [f"integrate({i}*x, x)"], "children": []}]}, f)
+    trees, _ = R.read_trees(spark, tmpdir_path)
+    assert trees.rdd.getNumPartitions() <= 30
+    one = trees.where(F.col("tree_id") == "77")
+    assert [r.tree_id for r in one.collect()] == ["77"]
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numFiles").value() == 1
+    assert [r.variant for r in flatten_trees(one, order="bfs").collect()] == ["integrate(77*x, x)"]
