@@ -144,5 +144,6 @@ def read_census(spark: SparkSession, path: str, difficulty="difficulty") -> Data
     per = counts.join(questions, F.col("difficulty").eqNullSafe(F.col("_d")), "left").select(
         "difficulty", "variants", F.coalesce("questions", F.lit(0)).cast("long").alias("questions"))
     every = merged.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap")).agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).cast("long").alias("questions"))
-    total = counts.agg(F.coalesce(F.sum("variants"), F.lit(0)).alias("variants")).join(every).select(F.lit("total").alias("difficulty"), "variants", "questions")  # one row each
+    sums = counts.select("variants", F.lit(0).cast("long").alias("questions")).unionByName(every.select(F.lit(0).cast("long").alias("variants"), "questions"))
+    total = sums.agg(F.lit("total").alias("difficulty"), F.coalesce(F.sum("variants"), F.lit(0)).alias("variants"), F.coalesce(F.sum("questions"), F.lit(0)).alias("questions"))
     return per.unionByName(total).withColumn("mean", F.when(F.col("questions") > 0, F.col("variants") / F.col("questions"))).withColumnRenamed("difficulty", difficulty)
