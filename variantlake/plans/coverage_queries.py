@@ -14,12 +14,20 @@ from variantlake.operators import verify as V
 from variantlake.operators.variants import kept_variants
 from variantlake.plans import scoring_queries as SQ
 from variantlake.plans import text_queries as TQ
-from variantlake.plans.registry import ORACLES, register, rounded, table
+from variantlake.plans.registry import ORACLES, register, rounded, table, task_count
 from variantlake.session import scratch_path
 from variantlake.sources import readers as R
 from variantlake.sources import writers as W
 
 
+def _write_folders(rows, of, name: str, fmt: str, path: str) -> None:
+    """One folder and file for each value of ``name``.  Shares of equal count write side by side
+    (by bytes, small rows would all be one task's), and tasks commit their own files: the driver
+    would move them one after another."""
+    (rows.repartition(task_count(of, rows=500), name).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+     .partitionBy(name).format(fmt).save(path))
+
+
 # --- S1, S2: tree files in named folders, some broken ---
 @register("read_trees", """
 SELECT CAST(s_suppkey AS VARCHAR) AS tree_id, CASE WHEN s_suppkey % 10 < 7 THEN 2 ELSE 0 END AS kept,
@@ -33,8 +41,8 @@ def q_read_trees(spark, sf):
     text = (F.when(F.col("s_suppkey") % 10 == 7, "{oops").when(F.col("s_suppkey") % 10 == 8, '{"tree": []}')
             .when(F.col("s_suppkey") % 10 == 9, '{"base_question": "integrate(x, x)", "tree": [{"variants": 3}]}').otherwise(good))
     path = scratch_path(spark, "tree_files")
-    docs = table(spark, sf, "supplier").select(text.alias("value"), F.concat(F.lit("tree_"), key).alias("name"))
-    docs.repartition("name").write.partitionBy("name").text(path)  # one folder and file a tree
+    suppliers = table(spark, sf, "supplier")
+    _write_folders(suppliers.select(text.alias("value"), F.concat(F.lit("tree_"), key).alias("name")), suppliers, "name", "text", path)  # one folder and file a tree
     ok, bad = R.read_trees(spark, path, glob="*.txt", name=R.parent_folder())
     kept = kept_variants(ok).groupBy("tree_id").agg(F.count(F.lit(1)).cast("int").alias("kept"))
     return kept.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(
@@ -85,8 +93,7 @@ def q_read_test_questions(spark, sf):
     s = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("dir"), F.concat(F.lit("integrate("), F.col("s_suppkey").cast("string"), F.lit(", x)")).alias("question"),
         F.lit(None).cast("string").alias("ground_truth_solution"))
-    s.withColumnRenamed("dir", "question_dir").select("question", "ground_truth_solution", F.col("question_dir")).repartition("question_dir").write.partitionBy(
-        "question_dir").json(path)
+    _write_folders(s.withColumnRenamed("dir", "question_dir"), s, "question_dir", "json", path)
     back = R.read_test_questions(spark, path, glob="*.json")
     return back.select(F.regexp_replace("question_id", "^question_dir", "question").alias("question_id"), "question")
 
