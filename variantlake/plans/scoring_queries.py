@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from variantlake.operators import verify as V
-from variantlake.plans.registry import register, rounded, sql_on, table
+from variantlake.plans.registry import register, rounded, spread, sql_on, table
 
 _ANTI = """CASE p_type
     WHEN 'PROMO' THEN CAST(p_size AS STRING) || '*x**2/2'
@@ -333,6 +333,8 @@ SELECT l_orderkey, l_linenumber, l_partkey,
 FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
 def q_score_hostile(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").hint("rebalance")
-    r = sql_on(spark, _HOSTILE_SQL, lineitem=li, part=_part(spark, sf)).withColumn("judge_response", F.lit(None).cast("string"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    # the narrow joined rows are dealt out before the long answers are made of them
+    asked = spread(li.join(_part(spark, sf), F.col("l_partkey") == F.col("p_partkey")), rows=50_000, of=li)
+    r = sql_on(spark, _HOSTILE_SQL.replace("lineitem JOIN part ON l_partkey = p_partkey", "asked"), asked=asked).withColumn("judge_response", F.lit(None).cast("string"))
     return V.score_rollouts(r).select("l_orderkey", "l_linenumber", "l_partkey", "formal_status")
