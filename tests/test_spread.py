@@ -10,10 +10,12 @@ from variantlake.operators import flatten as FL
 from variantlake.operators import metrics as M
 from variantlake.plans import registry
 from variantlake.plans.registry import task_count
+from variantlake.sources import writers as W
 from variantlake.streaming import step_metrics as SM
 
 registry.load_all()
 CQ, TR = registry.QUERIES["read_trees"].__globals__, registry.QUERIES["flatten_bfs"].__globals__
+TQ = registry.QUERIES["prompt_records"].__globals__
 
 
 def test_task_count_follows_the_rows(spark):
@@ -65,3 +67,22 @@ def test_partial_sums_take_a_column_per_metric():
     (out,) = SM._partial_sums(iter([pdf]))
     assert out[["step", "n", "counts", "sums"]].values.tolist() == [[1, 2, [1, 2], [1.0, 0.75]], [2, 1, [1, 0], [2.0, 0.0]]]
     assert out["latest"].tolist() == [pd.Timestamp("2024-01-03"), pd.Timestamp("2024-01-02")]
+
+
+def test_calls_are_parsed_by_many_tasks(spark, tmp_path):
+    rows = spark.range(25_000).selectExpr("id AS p_partkey", "'b' AS p_brand", "'n' AS p_name", "if(id % 2 = 0, 'PROMO', 'OTHER') AS p_type", "CAST(id % 50 AS INT) AS p_size")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    parsed = TQ["_parsed_part"](spark, str(tmp_path))
+    assert parsed.count() == 12_500 and parsed.rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("mode", ["overwrite", "append"])
+def test_prompt_files_and_their_twin(spark, tmp_path, mode):
+    rows = spark.range(90).selectExpr("'s' AS data_source", "array(struct('user' AS role, concat('q', id) AS content)) AS prompt", "'m' AS ability", "struct('rule' AS style, 'x' AS ground_truth) AS reward_model",
+                                      "struct(CAST(id AS INT) AS question_index, '-Infinity' AS lb) AS extra_info", "concat('t', id % 3) AS tree_id", "if(id % 9 = 0, '01', NULL) AS split")
+    W.write_prompts(rows, f"{tmp_path}/p", also_json=True, mode=mode, files=3)
+    if mode == "append":
+        W.write_prompts(rows, f"{tmp_path}/p", also_json=True, mode=mode, files=3)
+    assert len({f.rsplit("/part-", 1)[1][:5] for f in glob.glob(f"{tmp_path}/p/parquet/split=*/part-*")}) == 3
+    twin = spark.read.schema(rows.schema).json(f"{tmp_path}/p/json")
+    assert sorted(map(repr, twin.collect())) == sorted(map(repr, rows.collect() * (1 + (mode == "append"))))

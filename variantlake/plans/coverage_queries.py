@@ -158,7 +158,7 @@ def q_roundtrip_prompts_json(spark, sf):
     parsed = TQ._parsed_part(spark, sf).withColumns({
         "tree_id": F.col("p_brand"), "question_index": F.col("p_partkey").cast("int"), "level": F.lit(1), "split": F.lit("train")})
     records, path = PR.to_prompts(parsed), scratch_path(spark, "prompts_json")
-    W.write_prompts(records, path, also_json=True)
+    W.write_prompts(records, path, also_json=True, files=task_count(table(spark, sf, "part"), rows=100_000))
     schema = T.StructType([records.schema[c] for c in W.PROMPT_COLUMNS])
     back = spark.read.schema(schema.add("tree_id", "string").add("split", "string")).json(f"{path}/json")
     finite = lambda c: F.when(F.col("extra_info.is_definite"), F.col(f"extra_info.{c}"))

@@ -16,7 +16,8 @@ from variantlake.operators import prompts as PR
 from variantlake.operators import verify as V
 from variantlake.operators.verify import score_exact
 from variantlake.plans import sqlfrag as S
-from variantlake.plans.registry import register, table
+from variantlake.plans.registry import register, spread, table
+from variantlake.session import scratch_path
 
 # ---------------------------------------------------------------------------
 # P6 extract_answer: documents wrapped in answer tags at known places
@@ -422,8 +423,13 @@ parsed AS (
 
 
 def _parsed_part(spark, sf):
-    """Every part row's call through the parser; the variants that parse."""
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", call_col().alias("c"))
+    """Every part row's call through the parser; the variants that parse.
+
+    The narrow rows are dealt out by count before the calls are made: the table may be one task's.
+    They are written, as Spark moves the filter and the parser with it below a mere deal."""
+    path = scratch_path(spark, "part_rows")
+    spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size")).write.parquet(path)
+    p = spark.read.parquet(path).select("p_partkey", "p_brand", "p_size", call_col().alias("c"))
     return parse_problems(p, "c").where(F.col("reject_reason").isNull()).select(
         "p_partkey", "p_brand", "p_size", "integrand", "var", "lb", "ub", "is_definite")
 

@@ -26,20 +26,26 @@ EVAL_LOG = T.StructType([
 ])
 
 
-def write_prompts(df: DataFrame, path: str, also_json: bool = False, mode: str = "overwrite", row_group_bytes: int = 16 << 20) -> None:
+def write_prompts(df: DataFrame, path: str, also_json: bool = False, mode: str = "overwrite", row_group_bytes: int = 16 << 20,
+                  files: int | None = None) -> None:
     """K1/K2: prompt records in one directory per ``split`` (train / eval), clustered by tree.
 
     Rows are range-partitioned and sorted by (split, tree, question), so a file covers a range
     of trees, however many trees there are, and a large tree spreads over several.  Row groups
     carry the range of their trees and a Bloom filter, by which ``read_prompts`` passes over
-    those without the trees it looks for.
+    those without the trees it looks for.  ``files`` is the number of ranges; by default the
+    shuffled bytes decide, which are few where the prompts are alike.  The JSON twin is made of
+    the Parquet rows, so that the prompts are made and sorted once (an append makes them again:
+    the folder holds earlier rows).
     """
     order = ["split", "tree_id", F.col("extra_info.question_index")] if "question_index" in df.select("extra_info.*").columns else ["split", "tree_id"]
-    out = df.select(*PROMPT_COLUMNS, "tree_id", "split").repartitionByRange(*order).sortWithinPartitions(*order)
+    records = df.select(*PROMPT_COLUMNS, "tree_id", "split")
+    out = records.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
     (out.write.mode(mode).partitionBy("split").option("parquet.bloom.filter.enabled#tree_id", "true")
      .option("parquet.block.size", row_group_bytes).parquet(f"{path}/parquet"))
     if also_json:
-        out.write.mode(mode).partitionBy("split").json(f"{path}/json")
+        rows = records.sparkSession.read.schema(records.schema).parquet(f"{path}/parquet") if mode == "overwrite" else out
+        rows.write.mode(mode).partitionBy("split").json(f"{path}/json")
 
 
 def eval_log_rows(scored: DataFrame, step="step", response="response") -> DataFrame:
