@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from variantlake.operators import flatten as FL
+from variantlake.operators import incremental as I
 from variantlake.operators import metrics as M
 from variantlake.plans import registry
 from variantlake.plans.registry import task_count
@@ -86,3 +87,16 @@ def test_prompt_files_and_their_twin(spark, tmp_path, mode):
     assert len({f.rsplit("/part-", 1)[1][:5] for f in glob.glob(f"{tmp_path}/p/parquet/split=*/part-*")}) == 3
     twin = spark.read.schema(rows.schema).json(f"{tmp_path}/p/json")
     assert sorted(map(repr, twin.collect())) == sorted(map(repr, rows.collect() * (1 + (mode == "append"))))
+
+
+def test_census_broadcasts_no_texts(spark, tmp_path, monkeypatch):
+    plans = {}
+    put, numbered = I._put, I.group_index
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(I, "_put", lambda df, path, name, load: (plans.update({name: plan(df)}), put(df, path, name, load)))
+    monkeypatch.setattr(I, "group_index", lambda df, group, order, **k: (plans.update(new=plan(df), order=order), numbered(df, group, order, **k))[1])
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x")], "question string, difficulty string")
+    I.create_census(spark, f"{tmp_path}/c")
+    I.add_census(rows, f"{tmp_path}/c", 0)
+    assert "Broadcast" not in plans["new"] + plans["bitmaps"] and plans["order"] != ["question"]
+    assert {r["difficulty"]: (r["variants"], r["questions"]) for r in I.read_census(spark, f"{tmp_path}/c").collect()} == {"x": (3, 2), "y": (1, 1), "total": (4, 2)}

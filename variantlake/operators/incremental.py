@@ -127,11 +127,12 @@ def add_census(variants: DataFrame, path: str, load: int, question="question", d
     pairs = variants.groupBy(F.col(question).cast("string").alias("question"), F.col(difficulty).cast("string").alias("difficulty")).agg(F.count(F.lit(1)).alias("variants"))
     _put(pairs, path, "pairs", load)  # read three times below, and small beside the variants
     pairs = spark.read.parquet(f"{path}/pairs/load={load}")
-    new = pairs.where("question is not null").select("question").distinct().join(known, "question", "left_anti")
+    new = pairs.where("question is not null").select("question").distinct().join(known.hint("merge"), "question", "left_anti")
     after = known.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0] + 1
-    _put(group_index(new, [], ["question"], out="id").withColumn("id", F.col("id") + after), path, "questions", load)
+    by_digest = new.withColumn("_digest", F.sha2("question", 256))  # any order does; that of the texts would send the driver a sample of them
+    _put(group_index(by_digest, [], ["_digest"], out="id").withColumn("id", F.col("id") + after).drop("_digest"), path, "questions", load)
     ids = _table(spark, path, "questions", QUESTIONS).where(F.col("load") <= load).select("question", "id")
-    numbered = pairs.join(ids, "question")
+    numbered = pairs.join(ids.hint("merge"), "question")  # texts may be small as files and large in memory: never broadcast
     _put(numbered.groupBy("difficulty", F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bitmap")), path, "bitmaps", load)
     _put(pairs.groupBy("difficulty").agg(F.sum("variants").alias("variants")), path, "counts", load)
 
