@@ -16,7 +16,7 @@ from variantlake.streaming import step_metrics as SM
 
 registry.load_all()
 CQ, TR = registry.QUERIES["read_trees"].__globals__, registry.QUERIES["flatten_bfs"].__globals__
-TQ = registry.QUERIES["prompt_records"].__globals__
+TQ, SQ = registry.QUERIES["prompt_records"].__globals__, registry.QUERIES["score_rollouts"].__globals__
 
 
 def test_task_count_follows_the_rows(spark):
@@ -100,3 +100,19 @@ def test_census_broadcasts_no_texts(spark, tmp_path, monkeypatch):
     I.add_census(rows, f"{tmp_path}/c", 0)
     assert "Broadcast" not in plans["new"] + plans["bitmaps"] and plans["order"] != ["question"]
     assert {r["difficulty"]: (r["variants"], r["questions"]) for r in I.read_census(spark, f"{tmp_path}/c").collect()} == {"x": (3, 2), "y": (1, 1), "total": (4, 2)}
+
+
+def test_eval_log_is_compressed_and_dealt_while_narrow(spark, tmp_path):
+    li = spark.range(400).selectExpr("id AS l_orderkey", "CAST(id % 7 + 1 AS INT) AS l_linenumber", "id % 11 AS l_partkey", "id % 3 AS l_suppkey", "CAST(id % 50 AS DOUBLE) AS l_quantity", "1.5D AS l_extendedprice",
+                                     "0.1D AS l_discount", "0.2D AS l_tax", "'R' AS l_returnflag", "'F' AS l_linestatus", "date_add(DATE'2024-01-01', CAST(id AS INT)) AS l_shipdate")
+    li.unionByName(li.limit(9)).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(10).selectExpr("id AS p_partkey", "element_at(array('ECONOMY', 'PROMO', 'SMALL'), CAST(id % 3 + 1 AS INT)) AS p_type", "CAST(id AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plain, by_step = (SQ[n](spark, str(tmp_path)) for n in ("rollouts", "rollouts_by_step"))
+    assert plain.columns == by_step.columns and sorted(map(repr, plain.collect())) == sorted(map(repr, by_step.collect()))
+    log = [("r1", "x", 1), ("r2", "y", 2)]
+    rows = spark.createDataFrame(log, "rollout_id string, agent_response string, eval_step int").select(
+        *[F.col(f.name) if f.name in ("rollout_id", "agent_response", "eval_step") else F.lit(None).cast(f.dataType).alias(f.name) for f in W.EVAL_LOG.fields])
+    for clustered in (False, True):
+        W.write_eval_log(rows, f"{tmp_path}/log", clustered=clustered)
+    assert len(glob.glob(f"{tmp_path}/log/eval_step=*/*.json.gz")) == 4
+    assert sorted((r["rollout_id"], r["agent_response"], r["eval_step"]) for r in W.read_eval_log(spark, f"{tmp_path}/log").collect()) == sorted(log * 2)

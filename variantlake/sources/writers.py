@@ -62,13 +62,15 @@ def eval_log_rows(scored: DataFrame, step="step", response="response") -> DataFr
 MAX_RECORDS_PER_FILE = 1_000_000
 
 
-def write_eval_log(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """K3: one JSON-lines directory per eval step.
+def write_eval_log(rows: DataFrame, path: str, mode: str = "append", clustered: bool = False) -> None:
+    """K3: one JSON-lines directory per eval step, files compressed (their records repeat the names).
 
     ``rebalance`` brings a step's rows together and lets AQE split a step that holds
-    most of them over as many writers as its size asks for.
+    most of them over as many writers as its size asks for.  ``clustered`` rows have been
+    brought together before, while they were narrow.
     """
-    (rows.hint("rebalance", "eval_step").write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+    rows = rows if clustered else rows.hint("rebalance", "eval_step")
+    (rows.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).option("compression", "gzip")
      .partitionBy("eval_step").json(path))
 
 
