@@ -116,3 +116,33 @@ def test_eval_log_is_compressed_and_dealt_while_narrow(spark, tmp_path):
         W.write_eval_log(rows, f"{tmp_path}/log", clustered=clustered)
     assert len(glob.glob(f"{tmp_path}/log/eval_step=*/*.json.gz")) == 4
     assert sorted((r["rollout_id"], r["agent_response"], r["eval_step"]) for r in W.read_eval_log(spark, f"{tmp_path}/log").collect()) == sorted(log * 2)
+
+
+def test_stored_trees_are_parsed_once_for_both_sides(spark, tmp_path):
+    from variantlake.sources.readers import parse_tree_docs
+
+    good = '{"base_question":"q","tree":[{"variants":["a"],"children":[{"variants":["b",null,3],"level":1}]},{"variants":["c"]}]}'
+    docs = spark.createDataFrame([("t", good), ("t", good), ("u", '{"base_question":"q","tree":[]}'), ("bad", "{no"), ("odd", '{"base_question":"q","tree":[{"variants":[],"children":[1]}]}'),
+                                  ("", good), (None, good), ("none", None)], "tree_id string, value string")
+    for order in ("bfs", "dfs"):
+        ok, rejects = parse_tree_docs(docs)
+        ok2, rejects2 = parse_tree_docs(docs, stored=f"{tmp_path}/{order}", order=order)
+        listed = lambda df: sorted(map(str, df.collect()))
+        assert listed(rejects2) == listed(rejects) and rejects.count() == 5
+        flat, flat2 = FL.flatten_trees(ok, order=order), FL.flatten_trees(ok2, order=order)
+        assert flat2.schema.names == flat.schema.names and listed(flat2) == listed(flat) and flat.count() == 10
+        assert listed(FL.flatten_trees(ok2, order=order, with_base=True)) == listed(FL.flatten_trees(ok, order=order, with_base=True))
+        for df in (flat2, rejects2):
+            assert "parse_json" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    with pytest.raises(ValueError):
+        FL.flatten_trees(ok2, order="bfs")
+
+
+def test_a_let_value_stands_once_in_the_plan(spark):
+    from variantlake.functions import text as TX
+
+    df = spark.createDataFrame([("<answer> x </answer>", "<JUDGE_SCORE>1</JUDGE_SCORE>"), (None, ""), ("<answer>integrate(x, x)</answer>", "<JUDGE_SCORE>7</JUDGE_SCORE>")], "r string, j string")
+    out = df.select(TX.extract_answer("r").alias("a"), TX.parse_judge("j").alias("v"))
+    assert [(r.a, *r.v) for r in out.collect()] == [("x", 1, "OK"), (None, 0, "NO_JUDGE_RESPONSE"), (None, 0, "ERROR")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<answer>") == 1 and plan.count("<JUDGE_SCORE>") == 1
