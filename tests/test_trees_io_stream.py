@@ -393,3 +393,35 @@ def test_filter_on_tree_id_opens_its_file_alone(spark, tmpdir_path):
     scan = one._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
     assert scan.metrics().apply("numFiles").value() == 1
     assert [r.variant for r in flatten_trees(one, order="bfs").collect()] == ["integrate(77*x, x)"]
+
+
+def test_rows_of_a_batch_are_scored_by_their_distinct_arguments(spark):
+    import pandas as pd
+    from pyspark.sql import types as T
+    from variantlake.operators import verify as V
+
+    first, of = V._distinct_rows(pd.DataFrame({"a": ["x", None, "x", None, "y"], "b": [1.0, float("nan"), 1.0, 2.0, 1.0]}))
+    assert list(first[of]) == [0, 1, 0, 3, 4]
+    assert [len(x) for x in V._distinct_rows(pd.DataFrame({"a": pd.Series([], dtype=object)}))] == [0, 0]
+    rows = [("x", 1.0, 1), ("x", 1.0, 2), (None, float("nan"), 3), (None, None, 4), ("x", None, 5)]
+    df = spark.createDataFrame(rows, "a string, b double, id int").coalesce(1)
+    out = V.score_with(df, lambda a, b: (f"{a}/{b}", [a, a]), {"a": "a", "b": "b"}, [T.StructField("s", T.StringType()), T.StructField("l", T.ArrayType(T.StringType()))])
+    assert [(r.s, r.l) for r in out.orderBy("id").collect()] == [("x/1.0", ["x", "x"])] * 2 + [("None/None", [None, None])] * 2 + [("x/None", ["x", "x"])]
+
+
+def test_a_run_over_what_is_there_adds_no_empty_batch(spark, tmpdir_path):
+    import os
+
+    from variantlake.streaming.score_stream import rollout_stream, score_stream
+
+    one = spark.createDataFrame([("a", "<answer>x**2/2</answer>", "x", "x", float("-inf"), float("inf"), "<JUDGE_SCORE>1</JUDGE_SCORE>", 1)],
+                                "rollout_id string, response string, ground_truth string, var string, lb double, ub double, judge_response string, step int")
+    src, before = f"{tmpdir_path}/src", spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    for day, ids in ((1, ["a", "a", "b"]), (1, ["b", "c"]), (9, ["d", "d"])):  # three runs on one checkpoint
+        rows = one.drop("rollout_id").crossJoin(spark.createDataFrame([(i,) for i in ids], "rollout_id string"))
+        rows.withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(1), F.lit(day), F.lit(0), F.lit(0), F.lit(0))).coalesce(1).write.mode("append").parquet(src)
+        stream = rollout_stream(spark, src, spark.read.parquet(src).schema, watermark="2 days")
+        score_stream(stream, f"{tmpdir_path}/sink", f"{tmpdir_path}/ckpt")
+    assert sorted(f for f in os.listdir(f"{tmpdir_path}/sink") if f.startswith("epoch")) == ["epoch=0", "epoch=1", "epoch=2"]
+    assert sorted(r.rollout_id for r in spark.read.parquet(f"{tmpdir_path}/sink").collect()) == ["a", "b", "c", "d"]
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == before
