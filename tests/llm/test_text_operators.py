@@ -7,6 +7,7 @@ import html
 import lzma
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -334,6 +335,15 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix(docs.where("text = ''")).collect()[0]["taken"] == 0
 
 
+@pytest.mark.parametrize("letters", [1_200, 1_289, 1_290, 1_300])
+def test_trigram_codes_fit_any_alphabet(letters):
+    text = "".join(chr(0x4E00 + i) for i in range(letters))
+    doc, code, grams = language_id._trigrams([text[::-1], text])
+    want = [tuple(0 if c == " " else ord(c) for c in t[i : i + 3]) for t in (f" {text[::-1]} ", f" {text} ") for i in range(letters)]
+    assert list(map(tuple, grams[code].tolist())) == want
+    assert doc.tolist() == [0] * letters + [1] * letters
+
+
 # packing
 
 def check_packing(texts, rows, capacity=packing.CAPACITY):
@@ -384,6 +394,29 @@ def test_word_table_stays_bounded(monkeypatch):
     assert len(table.young) <= 50 and len(table.old) <= 50
 
 
+def test_tokenising_memory_follows_the_group_not_the_batch():
+    class Recorded:
+        def __init__(self, tokenizer):
+            self.model, self.encode, self.most = tokenizer.model, tokenizer.encode_batch, 0
+
+        def encode_batch(self, words, **how):
+            self.most = max(self.most, len(words))
+            return self.encode(words, **how)
+
+    table = packing._WordIds(packing.tokenizer_path())
+    table.tokenizer = Recorded(table.tokenizer)
+    texts = pa.array([" ".join(f"w{i % 7}x{j}" for j in range(900)) for i in range(1500)])
+    tracemalloc.start()
+    try:
+        n = sum(len(ends) for _, ends in packing.tokenised(texts, table))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 1500 and texts.nbytes > 8_000_000
+    assert peak < 30_000_000
+    assert table.tokenizer.most <= packing.ENCODED_WORDS
+
+
 def fewest(items, capacity):
     """Exact bin packing by branch and bound on small instances."""
     items = sorted(items, reverse=True)

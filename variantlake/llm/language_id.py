@@ -48,11 +48,12 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, trigram number) of every trigram, and the trigrams' code points."""
     joined = "".join(f" {t.lower()} " for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    doc = np.repeat(np.arange(len(texts)), [len(t.lower()) + 2 for t in texts])
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t.lower()) + 2 for t in texts])
     seen = np.zeros(0x110000, bool)
     seen[codes] = True
     alphabet = np.array([0, *(c for c in np.flatnonzero(seen) if chr(c).isalpha())])
-    number = np.zeros(0x110000, np.int64)
+    # a code is below base ** 3, and base 1,290 fits 32 bits
+    number = np.zeros(0x110000, np.int32 if len(alphabet) <= 1290 else np.int64)
     number[alphabet[1:]] = np.arange(1, len(alphabet))
     letter = number[codes]
     keep = np.ones(len(letter), bool)
@@ -66,7 +67,7 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         there = np.zeros(base**3, bool)
         there[code] = True
         grams = np.flatnonzero(there)
-        number = np.zeros(base**3, np.int64)
+        number = np.zeros(base**3, np.int32)
         number[grams] = np.arange(len(grams))
         code = number[code]
     else:

@@ -34,11 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variantlake.llm.common import python_ready, rank_in_group, stored, tidied
+from variantlake.llm.common import hand_back, python_ready, rank_in_group, stored, tidied
 
 CAPACITY = 2048
 SEPARATOR = 0
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 1_000_000
+ENCODED_WORDS = 512
 
 
 class _WordIds:
@@ -109,8 +110,11 @@ class _WordIds:
         return ids
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        found: list[bytes] = []
+        for at in range(0, len(words), ENCODED_WORDS):  # an encoding takes many times its ids' memory
+            part = [w.decode("utf-8", "surrogatepass") for w in words[at : at + ENCODED_WORDS]]
+            found += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+        return found
 
 
 def _plain(word: str) -> bool:
@@ -134,12 +138,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def tokenised(texts: pa.Array, table: _WordIds) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids with separators, end of each text in them) of groups of consecutive texts."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    size = np.maximum(pc.binary_length(texts).to_numpy(zero_copy_only=False), 1).cumsum()
+    size = np.maximum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64), 1).cumsum()
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + GROUP_BYTES, "right")))
-        words = pc.ascii_split_whitespace(texts.slice(at, end - at))
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.slice(at, end - at), "").cast(pa.large_string()))
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
         found = [*table.ids(distinct), np.array([SEPARATOR], "<u4").tobytes()]
@@ -177,6 +180,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            hand_back()  # else the word table's new entries keep the freed memory between them
 
     python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
