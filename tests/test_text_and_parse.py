@@ -142,3 +142,36 @@ def test_boxed_braces(spark):
 def test_precise_dialect_keeps_exponent_precedence(spark, raw, as_written, precise):
     assert _one(spark, TX.clean_expr, raw) == as_written
     assert _one(spark, lambda c: TX.clean_expr(c, "precise"), raw) == precise
+
+
+def test_stripping_and_cleaning_equal_their_regexes_and_stay_linear(spark):
+    import itertools
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+    from variantlake.functions import text as TX
+
+    rng = random.Random(4)
+    bits = [" ", "\n", "\t", " ", " ", "​", " ", "\x1c", "\x85", "x", "e", "^", "e**", "2", "C", "+ C", "Cx", "éC", "...", "* ...", "$", "\\(", "\\ln", "arctan", "\\arcsin",
+            "<answer>", "</answer>", "<ANSWER>", "</Answer>", "<", "</", "a<b", "Integrate", "integrates", "İntegrate", "(integrate(", "*", "ý", "\U0001d465"]
+    texts = [None, "", " ", *bits, *("".join(p) for p in itertools.product(bits[:8], repeat=2)), *("".join(rng.choices(bits, k=rng.randint(2, 9))) for _ in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    strip = lambda c: F.regexp_replace(c, rf"^{TX.WS}+|{TX.WS}+$", "")
+    columns = {"strip": (TX.py_strip("t"), strip(F.col("t")))}
+    last = F.try_element_at(F.regexp_extract_all("t", F.lit(r"(?is)<answer>(.*?)</answer>"), F.lit(1)), F.lit(-1))
+    columns["tag"] = (TX.last_tag("t", "answer"), strip(last))
+    columns["word"] = (TX.contains_word("t", "integrate"), F.col("t").rlike(r"(?i)(^|[^\p{L}\p{N}_])integrate([^\p{L}\p{N}_]|$)"))
+    for name, (rules, blank_zero) in TX.DIALECTS.items():
+        out = F.col("t")
+        for kind, a, b in rules:
+            out = F.replace(out, F.lit(a), F.lit(b)) if kind == "lit" else F.regexp_replace(out, a, b)
+        out = strip(out)
+        columns[name] = (TX.clean_expr("t", name), F.when(out.isNull() | (out == ""), F.lit("0")).otherwise(out) if blank_zero else out)
+    wrong = df.where(~F.forall(F.array(*[a.cast("string").eqNullSafe(b.cast("string")) for a, b in columns.values()]), lambda ok: ok))
+    assert wrong.select("t", *[F.struct(a, b).alias(n) for n, (a, b) in columns.items()]).take(3) == []
+    # a long gap inside a text: a regex for white space before the end looks from each place of it
+    gap = spark.range(1).select(F.concat(F.lit("x +"), F.repeat(F.lit(" "), 400_000), F.lit("y ")).alias("t"))
+    start = time.time()
+    assert gap.select(F.length(TX.clean_expr("t")).alias("n")).first().n == 400_004
+    assert time.time() - start < 30
