@@ -425,3 +425,37 @@ def test_a_run_over_what_is_there_adds_no_empty_batch(spark, tmpdir_path):
     assert sorted(f for f in os.listdir(f"{tmpdir_path}/sink") if f.startswith("epoch")) == ["epoch=0", "epoch=1", "epoch=2"]
     assert sorted(r.rollout_id for r in spark.read.parquet(f"{tmpdir_path}/sink").collect()) == ["a", "b", "c", "d"]
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == before
+
+
+def _line_tables(spark, path):
+    """Small lineitem and part with null and repeated keys."""
+    import datetime
+
+    days = [datetime.datetime(1995, m, 3) for m in (1, 2, 3)] + [None]
+    lines = [(i, i % 7 if i % 11 else None, 1, i % 7 + 1, float(i % 50), 10.0 * i, 0.1, 0.0, "ANR"[i % 3], "FO"[i % 2], days[i % 4]) for i in range(60)]
+    parts = [(k, kind, k + 3) for k, kind in enumerate(("ECONOMY", "PROMO", "LARGE", "SMALL", "MEDIUM", "STANDARD"))] + [(2, "LARGE", 9), (None, "PROMO", 4)]
+    spark.createDataFrame(lines + lines[:5], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                          "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_size int").write.parquet(f"{path}/part.parquet")
+
+
+def test_the_streamed_log_is_compressed_and_its_rows_are_dealt_while_narrow(spark, tmpdir_path):
+    import glob
+
+    from variantlake.plans import scoring_queries as SQ
+    from variantlake.sources import writers as W
+
+    _line_tables(spark, tmpdir_path)
+    dealt = SQ.rollouts_dealt(spark, tmpdir_path, 3)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(dealt) == rows(SQ.rollouts(spark, tmpdir_path)) and dealt.rdd.getNumPartitions() == 3
+    deal = next(line for line in dealt._jdf.queryExecution().executedPlan().toString().split("\n") if "REPARTITION_BY_NUM" in line)
+    below = dealt._jdf.queryExecution().optimizedPlan().toString().split("Repartition 3")[1]
+    assert deal and "Working:" not in below and "md5" not in below  # no text is made before the rows are dealt
+    src, log = f"{tmpdir_path}/src", f"{tmpdir_path}/log"
+    row = ("r", 0, "t", "x", 0.0, 1.0, 1, True, "rule", "x", "a", "j", "OK", "OK", 1, 1.0, 5)
+    spark.createDataFrame([row], W.EVAL_LOG).write.parquet(src)
+    W.stream_eval_log(spark.readStream.schema(W.EVAL_LOG).parquet(src), log, f"{tmpdir_path}/ckpt")
+    files = glob.glob(f"{log}/eval_step=5/part-*")
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert [r.eval_step for r in W.read_eval_log(spark, log).collect()] == [5]

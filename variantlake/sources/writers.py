@@ -80,9 +80,9 @@ def stream_eval_log(rows: DataFrame, path: str, checkpoint: str) -> None:
     Tasks write files of their own, and a batch becomes visible when the driver adds its
     files to the manifest that lies with the log; ``read_eval_log`` reads what the manifest
     lists.  Files of a failed batch are never seen, and a batch that runs again after a
-    failure is in the log once.
+    failure is in the log once.  Files are compressed as those of ``write_eval_log``.
     """
-    (rows.writeStream.format("json").partitionBy("eval_step").outputMode("append").option("path", path)
+    (rows.writeStream.format("json").option("compression", "gzip").partitionBy("eval_step").outputMode("append").option("path", path)
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
