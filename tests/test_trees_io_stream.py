@@ -459,3 +459,19 @@ def test_the_streamed_log_is_compressed_and_its_rows_are_dealt_while_narrow(spar
     files = glob.glob(f"{log}/eval_step=5/part-*")
     assert files and all(f.endswith(".json.gz") for f in files)
     assert [r.eval_step for r in W.read_eval_log(spark, log).collect()] == [5]
+
+
+def test_a_batch_of_arrow_columns_is_scored_by_its_distinct_rows(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from variantlake.operators import verify as V
+
+    first, of = V._distinct_rows([pa.array(["x", None, "x", None, "y"]), pa.array([1.0, float("nan"), 1.0, 2.0, 1.0]), pa.array([None, 1, None, 1, None])])
+    assert list(first[of]) == [0, 1, 0, 3, 4]
+    assert [len(x) for x in V._distinct_rows([pa.array([], pa.string())])] == [0, 0]
+    rows = [(1, 1.5, True, "2024-01-02 03:00:00"), (None, float("nan"), None, None), (1, 1.5, True, "2024-01-02 03:00:00")]
+    df = spark.createDataFrame(rows, "i long, d double, b boolean, t string").coalesce(1).withColumn("t", F.to_timestamp("t"))
+    kinds = T.ArrayType(T.StringType())
+    out = V.score_with(df, lambda *a: ([f"{x}" for x in a], float("nan")), {c: c for c in df.columns}, [T.StructField("l", kinds), T.StructField("n", T.DoubleType())])
+    assert [r.l[1:] for r in out.collect()] == [["1.5", "True", "2024-01-02 03:00:00"], ["None"] * 3, ["1.5", "True", "2024-01-02 03:00:00"]]
+    assert out.where("n IS NOT NULL").count() == 0  # as before, a NaN is no result
