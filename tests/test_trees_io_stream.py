@@ -475,3 +475,19 @@ def test_a_batch_of_arrow_columns_is_scored_by_its_distinct_rows(spark):
     out = V.score_with(df, lambda *a: ([f"{x}" for x in a], float("nan")), {c: c for c in df.columns}, [T.StructField("l", kinds), T.StructField("n", T.DoubleType())])
     assert [r.l[1:] for r in out.collect()] == [["1.5", "True", "2024-01-02 03:00:00"], ["None"] * 3, ["1.5", "True", "2024-01-02 03:00:00"]]
     assert out.where("n IS NOT NULL").count() == 0  # as before, a NaN is no result
+
+
+def test_only_spellings_with_others_near_are_compared(spark):
+    from variantlake.operators import dedup as D
+
+    expanded = "x**10 - 10*x**9 + 45*x**8 - 120*x**7 + 210*x**6 - 252*x**5 + 210*x**4 - 120*x**3 + 45*x**2 - 10*x + 1"
+    one = ["x", "x*x", "x**2", "(x - 1)**10", expanded, "x + 10**(-9)", "sqrt(x**2)", "Abs(x)", "x", "cos(x)**2 + sin(x)**2", "1 + 0*x", "exp(x)", "no_such(x)", "log(x)"]
+    noisy = ["x + 10**6*(cos(x)**2 + sin(x)**2) - 10**6", "x", "sin(x) + 10**8 - 10**8", "sin(x)", "3*x", "x**3"]
+    rows = [(t, i, e, v) for t, es in (("a", one), ("b", noisy), ("c", ["x", "sin(x)", "x**3"]), (None, one[:6])) for v in ("x",) for i, e in enumerate(es)]
+    rows += [("a", 20, "t", "t"), ("a", 21, "t*t", "t"), ("a", 3, "(x - 1)**10", "x")]  # another variable, and a repeated row
+    df = D.add_fingerprint(spark.createDataFrame(rows, "tree_id string, order_idx int, integrand string, var string")).withColumn("spelled", D.spelled())
+    seen = df.withColumn("near", D.near_others(["tree_id", "var"])).cache()
+    found = lambda d: sorted((str(r.tree_id), r.var, r.spelled, r.earlier) for r in D.earlier_equals(d, ["tree_id"], "order_idx").collect())
+    assert found(seen.where("near")) == found(seen) != []
+    assert seen.where("near IS NULL").count() == 0 and not seen.where("tree_id = 'c' AND near").count()
+    assert 0 < seen.where("tree_id = 'a' AND near").count() < seen.where("tree_id = 'a'").count() / 2
